@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, sharding
+from . import bpe, chat, line_dedup, minhash, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.query,
         "op2_line_dedup": line_dedup.query,
         "op3_sharding": sharding.query,
         "op4_chat_rotation": chat.query,
+        "op5_quality": quality.query,
+        "op8_minhash": minhash.query,
+        "op9_bpe": bpe.query,
     }
 
 
@@ -18,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": line_dedup.SQL,
         "op3_sharding": sharding.SQL,
         "op4_chat_rotation": chat.SQL,
+        "op5_quality": quality.SQL,
     }

@@ -48,3 +48,26 @@ def join_on_key(left: DataFrame, right: DataFrame, how: str = "left", keys: list
         eq = left[k].eqNullSafe(other[f"{k}_r"])
         on = eq if on is None else on & eq
     return left.join(other, on, how).drop(*[f"{k}_r" for k in keys])
+
+
+_SHIPPED: dict[str, str] = {}
+
+
+def _ship(spark: SparkSession) -> None:
+    """Puts this package on the workers' path, once for each application."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        base = Path(tempfile.mkdtemp()) / package.name
+        _SHIPPED[app] = shutil.make_archive(str(base), "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(_SHIPPED[app])
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow where run may refer to this package."""
+    _ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
