@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, line_dedup, minhash, quality, sharding, toxicity
+from . import bpe, chat, decontam, line_dedup, minhash, pii, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_sharding": sharding.query,
         "op4_chat_rotation": chat.query,
         "op5_quality": quality.query,
+        "op6_pii": pii.query,
+        "op7_decontamination": decontam.query,
         "op8_minhash": minhash.query,
         "op9_bpe": bpe.query,
     }
