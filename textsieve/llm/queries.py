@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, line_dedup, minhash, pii, quality, sharding, toxicity
+from . import bpe, chat, decontam, line_dedup, minhash, pii, quality, sharding, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_decontamination": decontam.query,
         "op8_minhash": minhash.query,
         "op9_bpe": bpe.query,
+        "op10_suffix_dedup": suffix_dedup.query,
     }
 
 
