@@ -10,10 +10,9 @@ r"""MinHash near-duplicate groups.
    node's partners are salted over tasks, each with one copy of its text.
 5. Connected components by alternating large-star and small-star.
 6. Buckets that still hold several components are searched for links that the
-   stars missed: members meet in blocks of BLOCK, signatures are compared there,
-   and only pairs from different components leave; first the best few of each
-   node, then all. After that every pair of a bucket is linked, in one
-   component, verified, or below what a linked pair's signatures can show.
+   stars missed. Members meet in blocks, where pairs from different components
+   are verified in place; only links leave. After that every pair of a bucket
+   is in one component, verified, or below what a linked pair's signatures show.
 
 The number of bands follows the threshold: a pair right at it shares no band
 with chance under one in a million.
@@ -35,14 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import join_on_key, map_arrow, staged
+from .stage import KEY, join_on_key, map_arrow, staged, with_row_key
 
 WORDS, PERCENT = 5, 80
 ROWS, MISS = 4, 1e-6
 MINIMA = 200
 #: Signature agreement this many standard deviations below the threshold still counts.
 SIGMAS = 5
-BLOCK, BEST, SALT = 1024, 3, 256
+BLOCK, BLOCK_BYTES, SALT = 1024, 8_000_000, 256
 CHUNK = 60_000
 
 
@@ -192,13 +191,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 if a is None:
                     base = shingle_set(text.as_py(), k)
                     continue
-                own = shingle_set(text.as_py(), k)
-                small, large = sorted((own, base), key=len)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                if 100 * both >= percent * (len(own) + len(base) - both):
+                if linked(shingle_set(text.as_py(), k), base, percent):
                     found_a.append(a)
                     found_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
@@ -206,88 +199,114 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return map_arrow(rows, run, "a long, b long")
 
 
-def unlinked(members: DataFrame, nodes: DataFrame, links: DataFrame, tested: DataFrame, least: int, best: int | None) -> DataFrame:
-    """Untested pairs (a, b) of one bucket and different components whose signatures agree.
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted sets."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
 
-    Members of a bucket are dealt into blocks; two blocks meet in one task. best:
-    only so many of each node and meeting, the most similar.
+def missed_links(members: DataFrame, nodes: DataFrame, links: DataFrame, texts: DataFrame, k: int, percent: int, least: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket.
+
+    Members of a bucket are dealt into blocks of BLOCK members and BLOCK_BYTES of
+    text at most, and any two blocks meet in one task. There each pair from
+    different components is verified, in the first bucket that it shares and if
+    its signatures agree. No pair leaves but a link, and a link joins its two
+    components for the rest of the meeting, so a meeting sends fewer rows than
+    it has members.
     """
-    rows = members.join(links, members["node"] == links["node"], "left").select("key", members["node"], F.coalesce("component", members["node"]).alias("component"))
-    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(open_, "key").join(nodes.select("node", "signature"), "node")
+    rows = members.join(links, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
+    rows = rows.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes")).where("lo <> hi")
+    open_ = open_.select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = rows.drop("bytes").join(open_, "key").join(nodes.select("node", "signature", "bands"), "node").join(texts, "node")
     rows = rows.withColumn("s", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"), (F.col("s") > F.col("t")).alias("side"), "node", "component", "signature")
-    rows = rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "side", "node")
-
-    def meet(group, one):
-        node, comp, side = (np.array(x) for x in (group[0], group[1], group[3]))
-        sig = np.frombuffer(b"".join(group[2]), dtype=np.uint8).reshape(-1, MINIMA)
+    rows = rows.select("key", F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"), (F.col("s") > F.col("t")).alias("side"), "band", "node", "component", "signature", "bands", "text")
+    rows = rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "node")
+
+    def meet(group):
+        one, band = group[0][1] == group[0][2], group[0][4]
+        side, node, comp = (np.array([r[i] for r in group]) for i in (3, 5, 6))
+        sig = np.frombuffer(b"".join(r[7] for r in group), dtype=np.uint8).reshape(-1, MINIMA)
+        bands = np.array([r[8] for r in group])
+        sets: list = [None] * len(group)
         out = []
-        for i in range(len(node) - 1):
+
+        def of(i):
+            if sets[i] is None:
+                sets[i] = shingle_set(group[i][9], k)
+            return sets[i]
+
+        for i in range(len(group) - 1):
             # Two blocks meet across; what is inside one meets where it is dealt with itself.
             other = np.flatnonzero((comp[i + 1 :] != comp[i]) & (one | (side[i + 1 :] != side[i]))) + i + 1
-            if len(other):
-                same = (sig[other] == sig[i]).sum(axis=1)
-                ok = other[same >= least]
-                if best and len(ok) > best:
-                    ok = other[np.argsort(-same, kind="stable")[:best]]
-                out += [(max(node[i], node[j]), min(node[i], node[j])) for j in ok]
+            if not len(other):
+                continue
+            other = other[(bands[other] == bands[i]).argmax(axis=1) == band]
+            same = (sig[other] == sig[i]).sum(axis=1)
+            other = other[np.argsort(-same, kind="stable")][: int((same >= least).sum())]
+            for j in other.tolist():
+                if comp[i] != comp[j] and linked(of(i), of(j), percent):
+                    out.append((int(max(node[i], node[j])), int(min(node[i], node[j]))))
+                    comp[comp == comp[j]] = comp[i]
         return out
 
+    def emit(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
     def run(batches):
-        at, group = None, ([], [], [], [])
+        group: list = []
         for batch in batches:
-            d = batch.to_pydict()
             out = []
-            for key, s, t, n, c, g, d2 in zip(*(d[x] for x in ("key", "s", "t", "node", "component", "signature", "side"))):
-                if (key, s, t) != at:
-                    out += meet(group, at[1] == at[2]) if at else []
-                    at, group = (key, s, t), ([], [], [], [])
-                for x, y in zip(group, (n, c, g, d2)):
-                    x.append(y)
+            for r in zip(*(batch.column(i).to_pylist() for i in range(10))):
+                if group and r[:3] != group[0][:3]:
+                    out += meet(group)
+                    group = []
+                group.append(r)
             yield emit(out)
-        yield emit(meet(group, at[1] == at[2]) if at else [])
-
-    def emit(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in pairs], pa.int64()), pa.array([int(p[1]) for p in pairs], pa.int64())], names=["a", "b"])
+        yield emit(meet(group) if group else [])
 
-    found = map_arrow(rows, run, "a long, b long").distinct()
-    return found.join(tested, ["a", "b"], "left_anti")
+    return map_arrow(rows, run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one for each document."""
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, keys: bool = False) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, kept), one for each document; keys: with h1 and h2, hashes of its text."""
     n_bands, least = bands_for(percent), least_agreement(percent)
     rows = staged(sketches(docs, id_col, text_col, words, n_bands), "sketches")
     full = rows.where(F.col("n") > 0)
     classes = full.groupBy("c1", "c2").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("h1", "h2")).alias("text_key"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     nodes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    banded = nodes.select("node", F.explode("bands").alias("key"))
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "low")
     members = staged(banded.join(shared, "key"), "buckets")
     pairs = members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    tested = staged(agreeing(pairs, nodes, least), "pairs")
+    alike = staged(agreeing(pairs, nodes, least), "pairs")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("text_key.h1").alias("h1"), F.col("text_key.h2").alias("h2"))
     source = docs.select(F.xxhash64(text_col).alias("h1"), F.xxhash64(F.lit(7), F.col(text_col)).alias("h2"), F.col(text_col).alias("text"))
     # Copies of one text give one row.
     texts = staged(source.join(wanted, ["h1", "h2"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-    edges = staged(verified(tested, texts, words, percent), "edges")
+    edges = staged(verified(alike, texts, words, percent), "edges")
     links = components(edges)
-    for best in (BEST, None):
-        more = staged(unlinked(members, nodes, links, tested, least, best), "pairs")
-        if more.isEmpty():
-            if best:
-                continue
-            break
-        edges = edges.unionByName(staged(verified(more, texts, words, percent), "edges"))
-        tested = tested.unionByName(more)
-        links = components(edges)
+    more = staged(missed_links(members, nodes, links, texts, words, percent, least), "edges")
+    if not more.isEmpty():
+        links = components(edges.unionByName(more))
     placed = nodes.select("node", "c1", "c2", "least_id").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     placed = placed.join(ids, "component").select("c1", "c2", "component_id")
-    out = join_on_key(rows.select("doc_id", "n", "c1", "c2"), placed, "left", ["c1", "c2"])
+    out = join_on_key(rows.select("doc_id", "n", "c1", "c2", "h1", "h2"), placed, "left", ["c1", "c2"])
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *["h1", "h2"] * keys).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each group, that with the smallest id; of rows equal in id and text, one."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, percent=percent, keys=True)
+    kept = found.where("kept").select(F.col("doc_id").alias(KEY[0]), F.col("h1").alias(KEY[1]), F.col("h2").alias(KEY[2])).distinct()
+    return join_on_key(with_row_key(docs, id_col, text_col), kept.withColumn("__ts_in", F.lit(True)), "inner").dropDuplicates(KEY).drop(*KEY, "__ts_in")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
