@@ -219,14 +219,26 @@ def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
         yield Index(part, n_all, df, max(1.0, total / max(1, n_all)))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", min_score: float = MIN_SCORE) -> DataFrame:
-    """Rows (doc_id, item_id, score, question_overlap, answer_overlap) of verified leaks."""
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    out = None
-    for index in indexes(items, item_col):
+def with_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", min_score: float = MIN_SCORE, columns: list[str] | None = None) -> DataFrame:
+    """columns of docs (all, unless named) with leaks: the items that each row's text holds.
+
+    A leak is (item, score, question_overlap, answer_overlap), by item order in the index.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    columns = [c for c in (columns or docs.columns) if c != "leaks"]
+    item_type = items.schema[item_col].dataType
+    kind = pa.list_(pa.struct([("item_id", to_arrow_type(item_type)), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
+    ddl = f"array<struct<item_id:{item_type.simpleString()},score:double,question_overlap:double,answer_overlap:double>>"
+    names = ("item_id", "score", "question_overlap", "answer_overlap")
+    parts = list(indexes(items, item_col))
+    out = docs.select(*[F.col(c).alias(c) for c in dict.fromkeys([*columns, text_col])])
+    for n, index in enumerate(parts):
         shared = docs.sparkSession.sparkContext.broadcast(index)
+        own = f"__ts_leaks{n}"
+        keep = out.columns if n + 1 < len(parts) else [c for c in out.columns if c in columns or c.startswith("__ts_leaks")]
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, keep=keep, own=own):
             ix = shared.value
             memo = _Memo(ix.terms)
             for batch in batches:
@@ -235,17 +247,19 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
                     if len(memo) > MEMO:
                         memo.clear()
                     part = batch.slice(a, step)
-                    found = ix.search(part.column(1).to_pylist(), memo, min_score)
-                    flat = [(n, *f) for n, fs in enumerate(found) for f in fs]
-                    took = part.column(0).take(pa.array([f[0] for f in flat], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([took, pa.array([f[1] for f in flat], items_type), *(pa.array([f[k] for f in flat], pa.float64()) for k in (2, 3, 4))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                    at = part.schema.get_field_index
+                    found = ix.search(part.column(at(text_col)).to_pylist(), memo, min_score)
+                    rows = pa.array([[dict(zip(names, f)) for f in fs] for fs in found], kind)
+                    yield pa.RecordBatch.from_arrays([part.column(at(c)) for c in keep] + [rows], names=[*keep, own])
 
-        from pyspark.sql.pandas.types import to_arrow_type
+        schema = ", ".join([f"`{c}` {out.schema[c].dataType.simpleString()}" for c in keep] + [f"`{own}` {ddl}"])
+        out = map_arrow(out, run, schema)
+    return out.select(*columns, F.concat(*[f"__ts_leaks{n}" for n in range(len(parts))]).alias("leaks"))
 
-        items_type = to_arrow_type(items.schema[item_col].dataType)
-        got = map_arrow(docs.select(F.col(id_col), F.col(text_col)), run, f"doc_id {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double")
-        out = got if out is None else out.unionByName(got)
-    return out
+
+def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """Rows (doc_id, item_id, score, question_overlap, answer_overlap) of verified leaks."""
+    return with_leaks(docs, items, columns=[id_col], **options).select(F.col(id_col).alias("doc_id"), F.inline("leaks"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
