@@ -37,10 +37,15 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and __ts_lines."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumn("__ts_words", F.filter(F.split(text, SPACE, -1), lambda w: w != ""))
-    # One 64-bit hash for each window; of a text's n windows two differing ones agree with chance n*n/2^65.
-    word = lambda i, k: F.get("__ts_words", i + k)
-    windows = F.when(F.size("__ts_words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("__ts_words") - WINDOW), lambda i: F.xxhash64(*[word(i, k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
-    out = out.withColumn("__ts_win", windows)
+    # Words to 64-bit hashes, those to hashes of two, four and five in a row; of a
+    # text's n windows two differing ones agree with chance n*n/2^65.
+    both = lambda x, y: F.zip_with(x, y, lambda a, b: F.xxhash64(a, b))
+    from_ = lambda c, k: F.slice(c, k, F.greatest(F.size(c) - (k - 1), F.lit(0)))
+    out = out.withColumn("__ts_h1", F.transform("__ts_words", lambda w: F.xxhash64(w)))
+    out = out.withColumn("__ts_h2", both("__ts_h1", from_("__ts_h1", 2)))
+    out = out.withColumn("__ts_h4", both("__ts_h2", from_("__ts_h2", 3)))
+    out = out.withColumn("__ts_h5", both("__ts_h4", from_("__ts_h1", 5)))
+    out = out.withColumn("__ts_win", F.slice("__ts_h5", 1, F.greatest(F.size("__ts_h5") - (WINDOW - 1), F.lit(0))))
     out = out.withColumn("__ts_twice", F.size(F.array_distinct("__ts_win")) < F.size("__ts_win"))
     ordered = F.when(F.col("__ts_twice"), F.sort_array(F.transform("__ts_win", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     out = out.withColumn("__ts_ord", ordered)
@@ -51,15 +56,17 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     steps = F.transform("__ts_at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("__ts_at", i + 1) - p, F.lit(WINDOW))))
     covered = F.when(F.col("__ts_twice"), F.aggregate(steps, F.lit(0), lambda a, x: a + x)).otherwise(0)
     out = out.withColumn("__ts_full", F.filter(F.split(text, "\n", -1), lambda s: s.rlike(r"[^\x20\x09-\x0D]")))
-    lines = F.transform("__ts_full", lambda s: F.struct(F.xxhash64(normalised(s)).alias("h1"), F.xxhash64(F.lit(7), normalised(s)).alias("h2"), F.regexp_count(s, F.lit(r"[^\x20\x09-\x0D]+")).alias("n")))
+    out = out.withColumn("__ts_norm", F.transform("__ts_full", normalised))
+    # A normalised line has one space between words.
+    lines = F.transform("__ts_norm", lambda s: F.struct(F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(7), s).alias("h2"), (F.length(s) - F.length(F.replace(s, F.lit(" "))) + 1).alias("n")))
     return out.withColumns({
         "n_words": F.size("__ts_words").cast("long"),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+        "word_chars": F.length(F.array_join("__ts_words", "")).cast("long"),
+        "n_symbols": (F.size(F.split(text, r"[#*$%&|<>]", -1)) - 1).cast("long"),
         "n_dup_lines": (F.size("__ts_full") - F.size(F.array_distinct("__ts_full"))).cast("long"),
         "n_repeat_words": covered.cast("long"),
         "__ts_lines": lines,
-    }).drop("__ts_words", "__ts_win", "__ts_twice", "__ts_ord", "__ts_at", "__ts_full")
+    }).drop("__ts_words", "__ts_h1", "__ts_h2", "__ts_h4", "__ts_h5", "__ts_win", "__ts_twice", "__ts_ord", "__ts_at", "__ts_full", "__ts_norm")
 
 
 def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
