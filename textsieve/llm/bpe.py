@@ -4,7 +4,7 @@ Tier one is a minimal perfect hash over the vocabulary: a pre-token that is a
 vocabulary entry is one probe and one comparison. Tier two merges the bytes of
 any other pre-token: a linked list of parts and a heap of adjacent pairs by
 (rank, place), so a pre-token of n bytes costs n log n and not n squared. Each
-worker remembers the pre-tokens it has met, up to MEMO of them.
+worker remembers the pre-tokens it has met, twice MEMO of them at most.
 
 The vocabulary (a file of "base64 rank" lines) is read on the driver and
 broadcast; its size is fixed by the tokenizer. Texts go through one Arrow pass
@@ -18,7 +18,7 @@ replaced.
 from __future__ import annotations
 
 import base64
-import heapq
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .stage import map_arrow
 
-MEMO = 300_000
+MEMO = 400_000
 CHUNK = 4_000_000
 MASK = (1 << 64) - 1
 
@@ -80,10 +80,10 @@ class Tokenizer:
         for k, r in ranks.items():
             self.slots[self.hash.slot(k)] = (k, r)
         self.of_id = {r: k for k, r in ranks.items()}
-        self._ready = None
+        self._ready = self.pairs = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_ready": None}
+        return self.__dict__ | {"_ready": None, "pairs": None}
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Tokenizer:
@@ -99,49 +99,75 @@ class Tokenizer:
         return self.slots[s][1]
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Tier two."""
-        n, ranks = len(piece), self.ranks
-        end = list(range(1, n + 1))  # a part that starts at i is piece[i:end[i]]; 0: it is gone
+        """Tier two. A heap entry is rank and place in one integer; pairs are found by their two ids."""
+        n, pairs = len(piece), self.pairs
+        ids = [self.byte_ids[b] for b in piece]
+        end = list(range(1, n + 1))  # where the part that starts here ends
         back = list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        found = [pairs.get(a << 32 | b, -1) for a, b in zip(ids, ids[1:])]  # rank of a part with the next; -1: none, or gone
+        found.append(-1)
+        heap = [r << 32 | i for i, r in enumerate(found) if r >= 0]
+        heapify(heap)
         while heap:
-            r, i = heapq.heappop(heap)
-            if not end[i] or (j := end[i]) >= n or ranks.get(piece[i : end[j]]) != r:
+            top = heappop(heap)
+            i, r = top & 0xFFFFFFFF, top >> 32
+            if found[i] != r:
                 continue  # one of its parts has changed since
-            end[i], end[j] = end[j], 0
-            if (k := end[i]) < n:
+            j = end[i]
+            ids[i], k, found[j] = r, end[j], -1
+            end[i] = k
+            if k < n:
                 back[k] = i
-                if (q := ranks.get(piece[i : end[k]])) is not None:
-                    heapq.heappush(heap, (q, i))
-            if (b := back[i]) >= 0 and (q := ranks.get(piece[b : end[i]])) is not None:
-                heapq.heappush(heap, (q, b))
+                found[i] = q = pairs.get(r << 32 | ids[k], -1)
+                if q >= 0:
+                    heappush(heap, q << 32 | i)
+            else:
+                found[i] = -1
+            b = back[i]
+            if b >= 0:
+                found[b] = q = pairs.get(ids[b] << 32 | r, -1)
+                if q >= 0:
+                    heappush(heap, q << 32 | b)
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
+            out.append(ids[i])
             i = end[i]
         return tuple(out)
 
     def _start(self):
         import regex
 
-        self.ranks = dict(s for s in self.slots)
+        ranks = dict(self.slots)
+        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        # Every way to put a token together from two tokens.
+        self.pairs = {a << 32 | b: r for k, r in ranks.items() for i in range(1, len(k)) if (a := ranks.get(k[:i])) is not None and (b := ranks.get(k[i:])) is not None}
         tok = self
 
         class Memo(dict):
+            """Pre-tokens met; those of the generation before are looked up once more."""
+
+            old: dict = {}
+
             def __missing__(self, word):
-                piece = word.encode("utf-8")
-                r = tok.rank(piece)
-                self[word] = out = (r,) if r is not None else tok.merge(piece)
+                out = self.old.get(word)
+                if out is None:
+                    piece = word.encode("utf-8")
+                    r = tok.rank(piece)
+                    out = (r,) if r is not None else tok.merge(piece)
+                self[word] = out
                 return out
 
+            def turn(self):
+                self.old = dict(self)
+                self.clear()
+
         self._ready = (regex.compile(self.pattern).findall, Memo())
         return self._ready
 
     def encode(self, text: str) -> list[int]:
         find, memo = self._ready or self._start()
         if len(memo) > MEMO:
-            memo.clear()
+            memo.turn()
         return list(chain.from_iterable(map(memo.__getitem__, find(text))))
 
     def decode(self, ids) -> bytes:
