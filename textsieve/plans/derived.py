@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Invented sentences; each template has something for some operator.
 BODIES = [
-    "레버리지를 통하여 이슈를 되어지다 말고 고칩니다. commit를 올리고 API은 그대로 둡니다.",
+    "레버리지와 문장을 통하여 이슈를 되어지다 말고 고칩니다. commit를 올리고 API은 그대로 둡니다.",
     "몇일 안에 컨텐츠를 3가지 고르고 이슈가 있으면 알립니다. 13가지는 많습니다. server을 봅니다.",
     "니즈는 분명합니다. 대이슈는 아니고 이슈리더도 아닙니다. token가 만료되면 push합니다.",
     "The build is green and nothing is wrong here. ERROR: disk full",
