@@ -18,8 +18,8 @@ replaced.
 from __future__ import annotations
 
 import base64
+from array import array
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +31,15 @@ from .stage import map_arrow
 
 MEMO = 400_000
 CHUNK = 4_000_000
-MASK = (1 << 64) - 1
-
-
-def _mix(h: int, level: int) -> int:
-    h = (h + (level + 1) * 0x9E3779B97F4A7C15) & MASK
-    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & MASK
-    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & MASK
-    return h ^ (h >> 31)
 
 
 class PerfectHash:
     """Maps n distinct byte strings to 0..n-1 and anything else to some slot or None.
 
     Level by level: keys alone at their place in a bit array of twice their
-    number stay there, those that collide go to the next level. A key's index is
-    the rank of its bit.
+    number stay there, those that collide go to the next level, whose size is odd
+    and another, so that its remainders are new. A key's index is the rank of its
+    bit.
     """
 
     def __init__(self, keys: list[bytes]):
@@ -55,8 +48,10 @@ class PerfectHash:
             raise ValueError("two keys have one 64-bit hash")
         self.levels, base = [], 0
         while left:
-            size = max(2, 2 * len(left))
-            at = np.array([_mix(h, len(self.levels)) % size for h in left])
+            size = 2 * len(left) + 1
+            while any(size == taken for taken, _ in self.levels):
+                size += 2
+            at = np.array([h % size for h in left])
             alone = np.bincount(at, minlength=size) == 1
             rank = np.where(alone, base + np.cumsum(alone) - 1, -1)
             self.levels.append((size, rank.tolist()))
@@ -65,8 +60,8 @@ class PerfectHash:
 
     def slot(self, key: bytes) -> int | None:
         h = xxhash.xxh3_64_intdigest(key)
-        for level, (size, rank) in enumerate(self.levels):
-            if (r := rank[_mix(h, level) % size]) >= 0:
+        for size, rank in self.levels:
+            if (r := rank[h % size]) >= 0:
                 return r
         return None
 
@@ -153,7 +148,7 @@ class Tokenizer:
                 if out is None:
                     piece = word.encode("utf-8")
                     r = tok.rank(piece)
-                    out = (r,) if r is not None else tok.merge(piece)
+                    out = array("i", (r,) if r is not None else tok.merge(piece)).tobytes()
                 self[word] = out
                 return out
 
@@ -164,11 +159,15 @@ class Tokenizer:
         self._ready = (regex.compile(self.pattern).findall, Memo())
         return self._ready
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The ids as 32-bit integers, one after the other."""
         find, memo = self._ready or self._start()
         if len(memo) > MEMO:
             memo.turn()
-        return list(chain.from_iterable(map(memo.__getitem__, find(text))))
+        return b"".join(map(memo.__getitem__, find(text)))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), dtype=np.int32).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.of_id.__getitem__, ids))
@@ -194,15 +193,15 @@ def _apply(df: DataFrame, tok: Tokenizer, in_col: str, new: list[tuple[str, str]
     return map_arrow(src, run, schema)
 
 
-def _ids(lists: list[list[int]]) -> pa.Array:
-    offsets = np.zeros(len(lists) + 1, dtype=np.int32)
-    np.cumsum([len(x) for x in lists], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(offsets[-1]))))
+def _ids(rows: list[bytes]) -> pa.Array:
+    offsets = np.zeros(len(rows) + 1, dtype=np.int32)
+    np.cumsum([len(x) // 4 for x in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
 
 
 def encode(df: DataFrame, tok: Tokenizer, text_col: str = "text") -> DataFrame:
     """df with ids."""
-    return _apply(df, tok, text_col, [("ids", "array<int>")], lambda t, col: [_ids([t.encode(x or "") for x in col.to_pylist()])])
+    return _apply(df, tok, text_col, [("ids", "array<int>")], lambda t, col: [_ids([t.packed(x or "") for x in col.to_pylist()])])
 
 
 def decode(df: DataFrame, tok: Tokenizer, ids_col: str = "ids") -> DataFrame:
@@ -214,8 +213,8 @@ def round_trip(df: DataFrame, tok: Tokenizer, text_col: str = "text") -> DataFra
     """df with ids and decoded, in one pass."""
 
     def work(t, col):
-        ids = [t.encode(x or "") for x in col.to_pylist()]
-        return [_ids(ids), pa.array([t.decode(x) for x in ids], pa.binary())]
+        ids = [t.packed(x or "") for x in col.to_pylist()]
+        return [_ids(ids), pa.array([t.decode(np.frombuffer(x, dtype=np.int32).tolist()) for x in ids], pa.binary())]
 
     return _apply(df, tok, text_col, [("ids", "array<int>"), ("decoded", "binary")], work)
 
