@@ -33,7 +33,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the fit: documents sampled, and windows used.
 MAX_FIT, MAX_WINDOWS = 4_000, 6_000
 WIDTH, STRIDE, MARGIN = 64, 32, 24
-HIDDEN, EMBED, EPOCHS, BATCH, RATE = 12, 12, 6, 64, 0.02
+HIDDEN, EMBED, STEPS, BATCH, RATE = 12, 12, 300, 64, 0.02
 TAGS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
 ALPHABET = 100
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -195,13 +195,15 @@ class Tagger:
         grads |= {"w": gw, "b": gb, "e": ge}
         return float((z - gold).mean()), grads
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> list[float]:
-        """Adam with clipped gradients; returns the mean loss of each epoch."""
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 5) -> list[float]:
+        """Adam with clipped gradients, whole epochs of steps or more; returns the mean loss of each epoch."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
         losses, n = [], 0
-        total = epochs * -(-len(x) // BATCH)
+        batches = -(-len(x) // BATCH)
+        epochs = max(2, -(-steps // batches))
+        total = epochs * batches
         for _ in range(epochs):
             order, sums = r.permutation(len(x)), []
             for a in range(0, len(x), BATCH):
