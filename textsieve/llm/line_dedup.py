@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import KEY, join_on_key, with_row_key
+from .stage import KEY, join_on_key, staged, with_row_key
 
 MIN_SITES = 10
 LG_K = 12
@@ -68,7 +68,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
 
 def dedup_lines(docs: DataFrame, *, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, keep_first: bool = True) -> DataFrame:
     """docs with cross-site boilerplate lines out of text, and n_lines, n_removed."""
-    lines = exploded_lines(docs, site_col, text_col)
+    lines = staged(exploded_lines(docs, site_col, text_col), "lines")
     found = boilerplate(lines, min_sites)
     gone = F.col("first").isNotNull()
     if keep_first:
