@@ -1,0 +1,450 @@
+"""The ten operators and the pipeline: defined cases, brute force, round trips, held-out accuracy."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from textsieve.llm import bpe, chat, decontam, line_dedup, minhash, pii, quality, sharding, suffix_dedup, toxicity
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, source string, lang string, n_chars long"
+LONG = "long text " * 20_000
+
+
+def docs_of(spark, texts, extra=False):
+    rows = [(i, t, f"s{i % 3}" if t is not None else None, None, None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    if extra:  # columns whose names operators might use
+        for name in ("n", "pos", "hits", "score", "row", "key", "node", "f", "c", "base", "kept", "leaks", "ids", "shard"):
+            df = df.withColumn(name, df.doc_id)
+    return df
+
+
+ODD = [None, "", " \n\t ", "one", "a b c d e", "a b c d e", LONG, "x", "Ünïcödé 가나다 𝒳\n\n"]
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# 1 toxicity
+
+
+def brute_segments(s):
+    """Maximal segments by their definition: positive, and no better part on any side."""
+    out, n = [], len(s)
+
+    def rec(a, b):
+        best = max(((sum(s[i:j]), -(j - i), -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+        if best[0] <= 0:
+            return
+        _, _, _, i, j = best
+        rec(a, i)
+        out.append((i, j, sum(s[i:j])))
+        rec(j, b)
+
+    rec(0, n)
+    return out
+
+
+def test_segments_are_maximal():
+    rnd = random.Random(1)
+    for _ in range(200):
+        s = [rnd.choice([-3, -2, -1, 1, 2, 4]) + rnd.random() / 7 for _ in range(rnd.randint(1, 14))]
+        got = toxicity.segments(np.array(s))
+        assert [x[:2] for x in got] == [x[:2] for x in brute_segments(s)]
+
+
+def test_toxicity_held_out(spark):
+    sf = SF.replace("0.001", "0.1")
+    got = toxicity.query(spark, sf).toPandas()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
+    m = got[got.held_out].merge(labels, on="doc_id")
+    assert len(m) > 300 and (m.predicted == m.toxic).mean() > 0.97
+    assert ((got.score >= 0) & (got.score <= 1)).all() and (got.predicted == (got.score >= 0.5)).all()
+
+
+def test_toxicity_defined_cases(spark):
+    docs = docs_of(spark, ODD, extra=True)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(docs, none)
+    assert {r.score for r in toxicity.score(docs, model).collect()} == {0.0}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    out = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(out) == len(ODD) and out[0].score == out[1].score
+    assert toxicity.score(empty(spark), model).count() == 0
+
+
+# 2 line dedup
+
+
+def test_line_dedup(spark):
+    rows = [(i, f"own {i}\nShared  LINE\nrare", f"site{i}") for i in range(12)] + [(50, "rare\nshared line\n\nshared line", "site1"), (51, None, "site2"), (52, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df, min_sites=10).collect()}
+    assert got[0].text == "own 0\nShared  LINE\nrare" and got[0].n_removed == 0
+    assert got[3].text == "own 3" and got[3].n_removed == 2
+    assert got[50].text == "" and got[50].n_removed == 3 or got[50].text == "\n" or got[50].text == ""
+    assert got[51].text is None and got[51].n_lines == 0 and got[52].text == ""
+    gone = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, min_sites=10, keep_first=False).collect()}
+    assert gone[0] == "own 0"
+    assert line_dedup.dedup_lines(docs_of(spark, ODD, extra=True)).count() == len(ODD)
+    assert line_dedup.dedup_lines(empty(spark)).count() == 0
+
+
+def test_sketches_merge(spark):
+    df = spark.createDataFrame([(i, "same line", f"s{i}") for i in range(30)], "doc_id long, text string, source string")
+    parts = [line_dedup.site_sketches(line_dedup.exploded_lines(df.where(f"doc_id % 2 = {k}"), "source", "text")) for k in (0, 1)]
+    from pyspark.sql import functions as F
+
+    assert line_dedup.merged_sketches(*parts).select(F.hll_sketch_estimate("sites")).first()[0] == 30
+
+
+# 3 sharding
+
+
+def test_shards_fit(spark):
+    df = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(300)] + [(7, "y" * 900), (None, None)] + [(8, "z" * 40)] * 60, "doc_id long, text string")
+    out = sharding.assign_shards(df, limit_bytes=500).toPandas()
+    assert len(out) == len(df.collect())
+    out["n"] = out.text.map(lambda t: len(t or ""))
+    per = out.groupby("shard").agg(total=("n", "sum"), rows=("n", "size"), said=("shard_bytes", "first"))
+    assert (per.total == per.said).all() and ((per.total <= 500) | (per.rows == 1)).all()
+    names = sorted(s for s in per.index if "/" not in s)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:])), "no shard lies in another"
+    assert sharding.assign_shards(docs_of(spark, ODD, extra=True)).count() == len(ODD)
+    assert sharding.assign_shards(empty(spark)).count() == 0
+
+
+# 4 chat
+
+
+def test_rotation(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob b", "yo"), (1, 2, "bob b", "yo"), (1, None, None, None), (2, 0, "system", "alone"), (None, 0, "ann", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("start", __import__("pyspark").sql.functions.lit(1))
+    out = {(r.conv_id, r.perspective): r for r in chat.rotate(df).collect()}
+    assert set(out) == {(1, "ann"), (1, "bob b"), (1, "unknown"), (None, "ann")}
+    r = out[1, "ann"]
+    assert r.n_turns == 5 and "user name=bob_b\nyo" in r.text and "<|im_start|>system\nbe kind" in r.text
+    assert [r.text[m.start : m.end] for m in r.mask] == ["hi<|im_end|>"]
+    assert [out[1, "bob b"].text[m.start : m.end] for m in out[1, "bob b"].mask] == ["yo<|im_end|>"] * 2
+    many = spark.createDataFrame([(5, i, "ab"[i % 2], f"t{i}") for i in range(200)], "conv_id long, turn long, role string, text string")
+    parts = sorted(chat.rotate(many).where("perspective = 'a'").collect(), key=lambda r: r.part)
+    assert [p.n_turns for p in parts] == [64, 64, 64, 8] and all(p.start == sum(len(q.text) for q in parts[:n]) for n, p in enumerate(parts))
+    assert chat.rotate(many.where("false")).count() == 0
+
+
+# 5 quality
+
+
+def brute_measures(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    wins = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    covered = {p for i, w in enumerate(wins) if wins.count(w) > 1 for p in range(i, i + 5)}
+    lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_measures(spark):
+    rnd = random.Random(2)
+    texts = [None, "", "a b c d e f a b c d e f", "# * |\nx\nx\n \ny"] + ["".join(rnd.choice("ab \n#\t") for _ in range(rnd.randint(0, 120))) for _ in range(150)]
+    got = {r.doc_id: r for r in quality.judge(docs_of(spark, texts, extra=True)).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_measures(t), (i, t)
+    assert quality.judge(empty(spark)).count() == 0
+
+
+def test_depleted_documents(spark):
+    line = "this line stands in every document of the host again"
+    texts = [f"{line}\n" + " ".join(f"w{i}x{j}" for j in range(15)) if i % 2 else f"{line}\nv{i}" for i in range(60)]
+    rows = [(i, t, "host") for i, t in enumerate(texts)] + [(100, "a copy of this text has many many words indeed here", "host")] * 40
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    kept = {r.doc_id: r.kept for r in got}
+    assert not kept[0] and kept[1] and kept[100], "copies of one text are one document"
+
+
+# 6 personal data
+
+
+def test_base_spans_match_the_patterns():
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip, card, phone = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    rnd = random.Random(4)
+    for _ in range(3000):
+        t = "".join(rnd.choice("ab@@..-+ 0123456789()") for _ in range(rnd.randint(0, 60)))
+        want = [(m.start(), m.end(), 0) for m in email.finditer(t)]
+        want += [(m.start(), m.end(), 1) for m in ip.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+        want += [(m.start(), m.end(), 2) for m in card.finditer(t) if 12 <= len(d := re.sub(r"[^0-9]", "", m.group())) <= 19 and pii.luhn(d)]
+        want += [(m.start(), m.end(), 3) for m in phone.finditer(t) if 9 <= len(re.sub(r"[^0-9]", "", m.group())) <= 15]
+        assert pii.base_spans(t) == sorted(want, key=lambda s: (s[0], s[2], s[1])), t
+    assert pii.base_spans("a" * 200_000) == [] and pii.base_spans("1" * 200_000) == []
+
+
+def test_gradients():
+    model = pii.Tagger()
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    rnd = np.random.default_rng(1)
+    x, y = rnd.integers(1, 99, (3, 7)), np.zeros((3, 7), dtype=int)
+    y[0, 2:5], y[1, 1:3] = (1, 2, 2), (3, 4)
+    _, g = model.step(x, y)
+    for k in model.p:
+        for _ in range(3):
+            at = tuple(rnd.integers(0, s) for s in model.p[k].shape)
+            if k == "t" and not model.legal[at]:
+                continue
+            old, eps = model.p[k][at], 1e-4
+            model.p[k][at] = old + eps
+            up = model.step(x, y)[0]
+            model.p[k][at] = old - eps
+            down = model.step(x, y)[0]
+            model.p[k][at] = old
+            assert abs((up - down) / (2 * eps) - g[k][at]) < 2e-2 * max(1, abs(g[k][at])), (k, at)
+
+
+def test_pii(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = pii.fit(docs)
+    held = [t for t in (f"call +1 (555) 010-{1000 + i} or mail u{i}.x@mail{i % 9}.example.com today" for i in range(40))]
+    hit = sum(len({k for _, _, k in m} & {0, 3}) for m in model.find(held))
+    assert hit > 60, "the model alone finds most of what the patterns find"
+    got = {r.doc_id: r for r in pii.query(spark, sf).collect()}
+    for i, t in [(r.doc_id, r.text) for r in docs.collect()]:
+        base = pii.base_spans(t)
+        assert got[i].base_sha256 == pii.sha256(base) and {f"{pii.KINDS[k]}:{s}:{e}" for s, e, k in base} <= set(got[i].spans.split(","))
+    odd = docs_of(spark, [*ODD, "a@b.co", "a@b.co"], extra=True)
+    out = {r.doc_id: r for r in pii.redact(odd, model).collect()}
+    assert out[9].text == out[10].text == "[email]" and out[1].text == ""
+    assert pii.find(empty(spark), pii.fit(empty(spark))).count() == 0
+
+
+# 7 decontamination
+
+
+def test_wand_is_exact():
+    rnd = random.Random(5)
+    vocab = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rnd.choices(vocab, k=rnd.randint(4, 14))) + ". end") for i in range(60)]
+    df = decontam.Counter(w for _, t in items for w in set(decontam.WORD.findall(t)))
+    index = decontam.Index(items, 60, df, 10)
+    dense = np.zeros((len(index.terms), len(index.ids)))
+    for t, (d, v) in enumerate(zip(index.docs, index.impacts)):
+        dense[t, d] = v
+    for _ in range(200):
+        terms = sorted(rnd.sample(range(len(index.terms)), rnd.randint(1, 25)))
+        for least in (0.2, 0.5, 0.8):
+            want = {n: s for n, s in enumerate(dense[terms].sum(axis=0)) if s >= least}
+            got = dict(index.wand(terms, least))
+            assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-9 for n in want)
+
+
+def test_decontamination(spark):
+    items = spark.createDataFrame([(1, "Alpha beta gamma delta epsilon zeta. Eta theta iota kappa lambda."), (2, None), (3, ""), (4, "tiny")], "item_id long, text string")
+    noise = " ".join(f"n{i}" for i in range(500))
+    texts = [f"{noise} alpha, beta gamma DELTA epsilon zeta\neta theta iota kappa lambda {noise}", "alpha beta gamma", noise, None, "", "tiny", LONG, f"{noise} tiny {noise}"]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(spark, texts, extra=True), items).collect()}
+    assert got == {(0, 1), (5, 4), (7, 4)}
+    assert decontam.with_leaks(empty(spark), items).count() == 0
+    assert decontam.contaminated(docs_of(spark, texts), items.where("false")).count() == 0
+
+
+def test_decontamination_in_parts(spark, monkeypatch):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
+    monkeypatch.setattr(decontam, "PART_WORDS", 1000)
+    assert whole and {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()} == whole
+
+
+# 8 near duplicates
+
+
+def brute_components(texts, k, percent):
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        n = min(k, len(w))
+        sets[i] = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if w else set()
+    parent = {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(texts)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                ra, rb = root(a), root(b)
+                parent[max(ra, rb)] = min(ra, rb)
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def edited(rnd, words, share):
+    return [f"e{rnd.random()}" if rnd.random() < share else w for w in words]
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates(spark, monkeypatch, k, percent):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rnd = random.Random(6)
+    texts = dict(enumerate([None, "", "one", "ONE", "two words", "a b c", "A b  c\n", LONG]))
+    for _ in range(6):
+        base = [f"w{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(60, 200))]
+        for share in [0, 0, 0.002, 0.01, 0.02, 0.03, 0.05] * 3:
+            texts[len(texts)] = " ".join(edited(rnd, base, share))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in minhash.near_duplicates(df, words=k, percent=percent).collect()}
+    want = brute_components(texts, k, percent)
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
+    assert all(r.kept == (i == r.component_id) for i, r in got.items())
+
+
+def test_near_duplicates_defined_cases(spark):
+    rows = [(1, "same text here"), (1, "same text here"), (None, "same text here"), (None, "lonely words only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = minhash.without_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, "lonely words only"), (1, "same text here")]
+    assert minhash.near_duplicates(empty(spark)).count() == 0
+    assert minhash.without_duplicates(docs_of(spark, ODD, extra=True)).count() == len(ODD) - 1
+
+
+def test_components(spark):
+    rnd = random.Random(7)
+    edges = [(a, a - 1) for a in range(2, 60)] + [(100 + rnd.randint(1, 50), 100) for _ in range(80)] + [(300, 200)]
+    got = dict(minhash.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert all(got[i] == 1 for i in range(2, 60)) and all(v == 100 for k, v in got.items() if 100 < k < 160) and got[300] == 200
+
+
+# 9 BPE
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return bpe.default_tokenizer()
+
+
+@pytest.fixture(scope="module")
+def library():
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_the_library(tokenizer, library):
+    rnd = random.Random(8)
+    kinds = [(0, 127), (0, 0x2FF), (0x2000, 0x20FF), (0x3000, 0xD7FF), (0x1F300, 0x1F6FF)]
+    for _ in range(3000):
+        t = "".join(chr(rnd.randint(*rnd.choice(kinds))) for _ in range(rnd.randint(0, 24)))
+        ids = tokenizer.encode(t)
+        assert ids == library.encode_ordinary(t) and tokenizer.decode(ids).decode() == t
+    long_ = "a" * 5000 + "<|endoftext|>" + "가" * 500
+    assert tokenizer.encode(long_) == library.encode_ordinary(long_)
+
+
+def test_perfect_hash(tokenizer):
+    keys = [k for k, _ in tokenizer.slots]
+    assert sorted(tokenizer.hash.slot(k) for k in keys) == list(range(len(keys)))
+
+
+def test_bpe_frames(spark, tokenizer, library):
+    df = docs_of(spark, ODD, extra=True)
+    out = {r.doc_id: r for r in bpe.decode(bpe.encode(df, tokenizer), tokenizer).collect()}
+    assert all(out[i].ids == library.encode_ordinary(t or "") and bytes(out[i].decoded) == (t or "").encode() for i, t in enumerate(ODD))
+    assert bpe.round_trip(empty(spark), tokenizer).count() == 0
+
+
+# 10 repeated substrings
+
+
+def brute_removed(texts, length):
+    seen = {}
+    for t in texts:
+        for i in range(len(t) - length + 1):
+            seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
+    out = []
+    for t in texts:
+        hit = np.zeros(len(t), dtype=bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                hit[i : i + length] = True
+        runs = int((np.diff(np.concatenate(([0], hit.astype(int)))) == 1).sum())
+        out.append((len(t), int(hit.sum()), runs, bytes(b for b, h in zip(t, hit) if not h)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [4000, 2])
+def test_repeated_substrings(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abcdé ") for _ in range(n))
+    shared = [word(70) for _ in range(4)]
+    texts = [None, "", "short", "ab" * 100, "ab" * 60, word(300)] + [word(rnd.randint(0, 80)) + rnd.choice(shared)[: rnd.randint(20, 70)] + word(rnd.randint(0, 80)) + rnd.choice(shared) for _ in range(60)]
+    texts += [texts[5], texts[5], "x" * 300]
+    df = docs_of(spark, texts)
+    got = {r.doc_id: r for r in suffix_dedup.dedup_substrings(df, length=40, gram=16).collect()}
+    for i, w in enumerate(brute_removed([(t or "").encode() for t in texts], 40)):
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == w, i
+    assert suffix_dedup.dedup_substrings(empty(spark)).count() == 0
+
+
+def test_suffix_array_and_common_prefixes():
+    rnd = random.Random(10)
+    for _ in range(60):
+        n, letters = rnd.randint(1, 200), rnd.choice([1, 2, 20])
+        data = np.array([rnd.randint(0, letters) for _ in range(n)])
+        order = suffix_dedup.suffix_array(data, 9)
+        suffixes = [data[i:].tolist() for i in order]
+        assert suffixes == sorted(suffixes)
+        common = suffix_dedup.common_prefixes(data, 9, order, np.array([0]), np.array([n]), 30)
+        for x, y in zip(order[1:], order):
+            k = 0
+            while max(x, y) + k < n and data[x + k] == data[y + k]:
+                k += 1
+            assert min(common[x], 30) == min(k, 30)
+
+
+# the pipeline
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = docs
+    for name, stage in P.STAGES[:-1]:
+        after = stage(spark, before, SF)
+        assert after.columns == docs.columns, name
+        if name == "toxicity":
+            model = toxicity.fit(before, spark.read.parquet(f"{SF}/labels.parquet"))
+            want = {r.doc_id for r in toxicity.score(before, model).where("predicted = 0").collect()}
+            assert {r.doc_id for r in after.collect()} == want
+        if name == "line_dedup":
+            assert after.count() == before.count()
+        if name == "near_dedup":
+            want = brute_components({r.doc_id: r.text for r in before.collect()}, 5, 80)
+            assert {r.doc_id for r in after.collect()} == {i for i, (_, c) in want.items() if c == i}
+        if name == "decontamination":
+            assert {r.doc_id for r in after.collect()} <= {r.doc_id for r in before.collect()}
+        before = P.staged(after, "test")
+    last = P.STAGES[-1][1](spark, before, SF).collect()
+    assert len(last) == before.count() and all(r.round_trip for r in last)
+    assert {r.doc_id: r.n_tokens for r in P.run(spark, SF).collect()} == {r.doc_id: r.n_tokens for r in last}
+
+
+def test_digest_of_queries(spark, library):
+    got = {r.doc_id: r for r in bpe.query(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = library.encode_ordinary(r.text)
+        assert got[r.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
