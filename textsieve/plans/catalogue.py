@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import record_queries, text_queries
+from . import record_queries, text_queries, upkeep_queries
 
-ALL = text_queries.QUERIES | record_queries.QUERIES
+ALL = text_queries.QUERIES | record_queries.QUERIES | upkeep_queries.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
