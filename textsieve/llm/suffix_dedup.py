@@ -5,14 +5,15 @@ in the same text or another.
 
 1. Anchors. Among any LENGTH bytes the GRAM-byte string with the least hash is an
    anchor, so two equal strings of LENGTH bytes have the same anchor at the same
-   place. An anchor's context is all bytes that a string with it can have. Only
-   anchors found twice matter: all other text is proven free of repeats.
+   place. An anchor's context is all bytes that a string with it can have: it
+   and LENGTH - GRAM bytes on either side. Only anchors found twice matter: all
+   other text is proven free of repeats.
 2. Contexts found twice or more are repeated whole. The distinct contexts of one
-   anchor go to one shard.
-3. Each shard has a suffix array: ranks by eight bytes, then Larsson-Sadakane
+   anchor go to one shard, the anchor itself written as one symbol.
+3. Each shard has a suffix array: ranks by a few symbols, then Larsson-Sadakane
    doubling of groups not yet sorted, in numpy; Kasai's common prefixes, all
-   contexts in step. Runs of suffixes with LENGTH or more in common, from two
-   places of the corpus, are repeats.
+   contexts in step. Runs of suffixes with LENGTH - GRAM symbols and the anchor
+   in common, from two places of the corpus, are repeats.
 4. An anchor with more than HOT distinct contexts is dealt over many shards. Each
    sends digests of its strings by digest range; a range's task merges the
    shards' sorted digests by binary search and tells each shard which of its
@@ -35,10 +36,13 @@ from pyspark.sql import functions as F
 
 from .stage import map_arrow, staged
 
-LENGTH, GRAM = 400, 32
-SHARD_BYTES = 1_500_000
-HOT = 1500
+LENGTH, GRAM = 400, 256
+#: Symbols in a suffix array, but for one large anchor; contexts in a shard of a hot one.
+SHARD = 250_000
+HOT = 1000
 TEXT = ["h1", "h2"]
+#: Groups stand in order already; this sort is quick on such.
+SORT = "stable"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -49,22 +53,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def rolling(data: np.ndarray, size: int, base: int) -> np.ndarray:
-    """Hash of the size bytes from each place; wrong in the last size - 1 places.
+    """Hash of the size symbols from each place; 0 in the last size - 1 places.
 
     Powers of two by doubling, then the binary digits of size put together.
     """
-    table = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
-    piece, width, power = table[data], 1, int(base) | 1
+    piece, width, power = _mix((data.astype(np.uint64) + np.uint64(1)) * np.uint64(base)), 1, int(base) | 1
     out, done = None, 0
     while True:
         if size & width:
             # Places shift by what is already covered.
             part = piece[done:] if done else piece
-            out = part.copy() if out is None else out[: len(part)] * np.uint64(pow(power, 1, 1 << 64)) + part
+            out = part.copy() if out is None else out[: len(part)] * np.uint64(power) + part
             done += width
         if done == size:
             res = np.zeros(len(data), dtype=np.uint64)
-            res[: len(out)] = out
+            n = len(data) - size + 1
+            res[: max(0, n)] = out[: max(0, n)]
             return res
         nxt = piece * np.uint64(power)
         nxt[:-width] += piece[width:]
@@ -85,8 +89,6 @@ def find_anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length:
     """Places and hashes of the anchors of texts data[start:end], each of length bytes or more."""
     n, w = len(data), length - gram + 1
     h = _mix(rolling(data, gram, 0x2545F4914F6CDD1D))
-    left = np.zeros(n, dtype=np.int64)
-    left[starts] = ends - starts
     left = np.repeat(ends, ends - starts) - np.arange(n)  # bytes to the text's end
     h[left < gram] = TOP
     low = _slide(h, w, np.minimum)
@@ -97,7 +99,7 @@ def find_anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length:
 
 
 def anchors(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
-    """Rows (f, c, h1, h2, pos, size): anchor hash, context hash, text, place, bytes of the text."""
+    """Rows (f, c, h1, h2, pos): anchor hash, context hash, text, place."""
     left = length - gram
 
     def run(batches):
@@ -105,7 +107,7 @@ def anchors(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame
             texts, h1, h2 = batch.column(2), batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not batch.num_rows:
                 continue
-            step = max(1, 4_000_000 // max(1, batch.nbytes // batch.num_rows))
+            step = max(1, 400_000 // max(1, batch.nbytes // batch.num_rows))
             for a in range(0, batch.num_rows, step):
                 parts = [(a + i, t) for i, t in enumerate(texts.slice(a, step).to_pylist()) if t is not None and len(t) >= length]
                 if not parts:
@@ -119,16 +121,41 @@ def anchors(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame
                 lo, hi = np.maximum(starts[own], at - left), np.minimum(ends[own], at + length)
                 c = np.fromiter((xxhash.xxh3_64_intdigest(blob[x:y]) for x, y in zip(lo.tolist(), hi.tolist())), dtype=np.uint64, count=len(at)).view(np.int64)
                 row = np.array([i for i, _ in parts])[own]
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(c), pa.array(h1[row]), pa.array(h2[row]), pa.array((at - starts[own]).astype(np.int32)), pa.array(sizes[own].astype(np.int32))], names=["f", "c", "h1", "h2", "pos", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(c), pa.array(h1[row]), pa.array(h2[row]), pa.array((at - starts[own]).astype(np.int32))], names=["f", "c", "h1", "h2", "pos"])
 
     rows = docs.select(*TEXT, F.col(text_col).cast("binary").alias("text"))
-    return map_arrow(rows, run, "f long, c long, h1 long, h2 long, pos int, size int")
-
-
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Places of data in the order of their suffixes. The order is whole: Kasai's rule rests on that."""
+    return map_arrow(rows, run, "f long, c long, h1 long, h2 long, pos int")
+
+
+def _packed(data: np.ndarray, bits: int, room: int) -> tuple[np.ndarray, int]:
+    """The next symbols of each place as one number, the first on top, and how many; past the end zero."""
+    one = np.zeros(len(data) + room, dtype=np.uint64)
+    one[: len(data)] = data + 1
+    powers, width = [one], 1
+    while 2 * width * bits <= 63:
+        nxt = powers[-1] << np.uint64(width * bits)
+        nxt[:-width] |= powers[-1][width:]
+        powers.append(nxt)
+        width *= 2
+    key = powers.pop()
+    while powers:  # what still fits, by halves
+        half = 1 << (len(powers) - 1)
+        part = powers.pop()
+        if (width + half) * bits <= 63:
+            key = key << np.uint64(half * bits)
+            key[:-width] |= part[width:]
+            width += half
+    return key, width
+
+
+def suffix_array(data: np.ndarray, bits: int) -> np.ndarray:
+    """Places of data in the order of their suffixes. The order is whole: Kasai's rule rests on that.
+
+    data: symbols that with one added fit into bits.
+    """
     n = len(data)
-    key = _packed(data, 8)[:n]
+    key, h = _packed(data, bits, 8)
+    key = key[:n]
     order = np.argsort(key)
     same = np.empty(n, dtype=bool)
     same[0], same[1:] = False, key[order[1:]] == key[order[:-1]]
@@ -136,16 +163,15 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     rank[n] = -1
     group = np.maximum.accumulate(np.where(same, 0, np.arange(n)))  # first slot of the group
     rank[order] = group
-    h = 8
     while True:
         again = same.copy()
         again[:-1] |= same[1:]
         slots = np.flatnonzero(again)  # members of groups of two or more
         if not len(slots):
-            break
+            return order
         at = order[slots]
         own, then = group[slots], rank[np.minimum(at + h, n)]
-        turn = np.argsort(own * np.int64(n + 2) + then + 1)
+        turn = np.argsort(own * np.int64(n + 2) + then + 1, kind=SORT)
         at, then = at[turn], then[turn]
         order[slots] = at
         new = np.empty(len(slots), dtype=bool)
@@ -154,26 +180,25 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         group[slots] = np.maximum.accumulate(np.where(new, slots, 0))
         rank[at] = group[slots]
         h *= 2
-    return order
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int) -> np.ndarray:
-    """For each place its bytes in common with the one before it in order, up to cap or more.
+def common_prefixes(data: np.ndarray, bits: int, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cap: int) -> np.ndarray:
+    """For each place its symbols in common with the one before it in order, up to cap or more.
 
     Kasai's rule, for all contexts in step: from one place to the next at most
-    one byte is lost, so a comparison goes on where the last one ended.
+    one symbol is lost, so a comparison goes on where the last one ended.
     """
     n = len(data)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
-    key = _packed(data, 16)
+    key, width = _packed(data, bits, 16)
     out = np.zeros(n, dtype=np.int32)
     lanes = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[lanes], sizes[lanes]
     have = np.zeros(len(starts), dtype=np.int64)
-    steps = [np.uint64(1 << (64 - 8 * k)) for k in range(1, 8)]
+    steps = [np.uint64(1 << (bits * (width - k))) for k in range(1, width)]
     for j in range(int(sizes[0]) if len(sizes) else 0):
-        live = int(np.searchsorted(-sizes, -j, side="left"))  # contexts with more than j bytes
+        live = int(np.searchsorted(-sizes, -j, side="left"))  # contexts with more than j symbols
         at = starts[:live] + j
         other = before[at]
         h = np.where(other < 0, 0, np.maximum(have[:live] - 1, 0))
@@ -181,53 +206,56 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, siz
         go = np.flatnonzero((other >= 0) & (h < cap) & (h < limit))
         while len(go):
             diff = key[at[go] + h[go]] ^ key[other[go] + h[go]]
-            lead = np.full(len(go), 8, dtype=np.int64)  # equal bytes: leading zero bytes of the difference
+            lead = np.full(len(go), width, dtype=np.int64)  # equal symbols: those on top of the difference
             some = np.flatnonzero(diff)
             if len(some):
                 lead[some] = sum((diff[some] < s).astype(np.int64) for s in steps)
             h[go] = np.minimum(h[go] + lead, limit[go])
-            go = go[(lead == 8) & (h[go] < cap) & (h[go] < limit[go])]
+            go = go[(lead == width) & (h[go] < cap) & (h[go] < limit[go])]
         have[:live] = h
         out[at] = h
     return out
 
 
-def _packed(data: np.ndarray, room: int) -> np.ndarray:
-    """The next eight bytes of each place as one number, the first on top; past the end zero."""
-    key = np.zeros(len(data) + room, dtype=np.uint64)
-    key[: len(data)] = data
-    for width in (1, 2, 4):
-        key[:-width] = (key[:-width] << np.uint64(8 * width)) | key[width:]
-    return key
-
-
 class Shard:
     """Contexts of whole anchors, or parts of hot ones, and the repeats among them.
 
-    rows: (f, salt, salts, c, h1, h2, place, many, bytes): place is that of the
-    context in its text, many says that the context occurs twice or more.
+    rows: (f, salt, salts, c, h1, h2, place, many, left, right): place is that of
+    the context in its text, many says that the context occurs twice or more;
+    left and right are the bytes beside the anchor. A repeated string is flank
+    symbols and the anchor.
     """
 
-    def __init__(self, rows: list, length: int):
-        self.rows, self.length = rows, length
-        data = np.frombuffer(b"".join(r[8] for r in rows), dtype=np.uint8)
-        sizes = np.array([len(r[8]) for r in rows])
+    def __init__(self, rows: list, length: int, flank: int):
+        self.rows, self.length, self.window = rows, length, flank + 1
+        sizes = np.array([len(r[8]) + 1 + len(r[9]) for r in rows])
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        order = suffix_array(data)
-        new = common_prefixes(data, order, self.starts, sizes, length)[order] < length
+        data = np.frombuffer(b"".join(r[8] + b"\0" + r[9] for r in rows), dtype=np.uint8).astype(np.int64)
+        names, f = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
+        self.anchor = self.starts + np.array([len(r[8]) for r in rows])
+        self.plain = data.copy()  # with one symbol for any anchor
+        self.plain[self.anchor] = 256
+        # Symbols in use, in order and without gaps, so that many fit into one number.
+        used = np.zeros(256, dtype=np.int64)
+        used[data] = 1
+        n_used = int(used.sum())
+        data = (np.cumsum(used) - 1)[data]
+        data[self.anchor] = n_used + f
+        bits = int(n_used + len(names)).bit_length()
+        order = suffix_array(data, bits)
+        new = common_prefixes(data, bits, order, self.starts, sizes, self.window)[order] < self.window
         cls = np.empty(len(data), dtype=np.int64)
-        cls[order] = np.cumsum(new)  # equal where the next length bytes are
+        cls[order] = np.cumsum(new)  # equal where the next window symbols are, the anchor among them
         row = np.repeat(np.arange(len(rows)), sizes)
-        at = np.flatnonzero(np.arange(len(data)) + length <= self.ends[row])
+        at = np.flatnonzero(np.arange(len(data)) + self.window <= self.ends[row])
         own = row[at]
-        _, f = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
         where = _mix(np.array([r[4] for r in rows]).view(np.uint64) * ODD + np.array([r[5] for r in rows]).view(np.uint64))
         place = np.array([r[6] for r in rows])[own] + (at - self.starts[own])
         # A string's place in the corpus; two contexts of one text can hold the same one.
         who = _mix(where[own] + place.astype(np.uint64))
         many = np.array([r[7] for r in rows], dtype=bool)[own]
-        kind = cls[at] * np.int64(len(rows) + 1) + f[own]
+        kind = cls[at]
         turn = np.argsort(kind, kind="stable")
         self.at, self.own, kind, who, many = at[turn], own[turn], kind[turn], who[turn], many[turn]
         self.first = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1]))) if len(kind) else np.empty(0, dtype=np.int64)
@@ -236,7 +264,7 @@ class Shard:
             self.hi = np.where(np.logical_or.reduceat(many, self.first) & (self.lo == self.hi), ~self.lo, self.hi)
         else:
             self.lo = self.hi = np.empty(0, dtype=np.uint64)
-        self.data, self.flag = data, np.zeros(len(data), dtype=bool)
+        self.flag = np.zeros(len(data), dtype=bool)
         self.flag[self.at[np.repeat(self.lo != self.hi, np.diff(np.append(self.first, len(self.at))))]] = True
 
     def digests(self) -> list[tuple]:
@@ -246,19 +274,15 @@ class Shard:
             return []
         rep = self.at[self.first]
         keep = hot[self.own[self.first]]
-        d = [rolling(self.data, self.length, b)[rep[keep]] for b in BASES]
-        table = np.stack([*d, self.lo[keep], self.hi[keep]], axis=1)
+        table = np.stack([*(rolling(self.plain, self.window, b)[rep[keep]] for b in BASES), self.lo[keep], self.hi[keep]], axis=1)
         own = self.own[self.first][keep]
-        out = []
         part = np.array([r[2] for r in self.rows])[own]  # as many ranges as shards
         rng = ((table[:, 0] >> np.uint64(32)) * part.astype(np.uint64)) >> np.uint64(32)
         key = np.array([(r[0], r[1]) for r in self.rows], dtype=np.int64)[own]
         turn = np.lexsort((table[:, 1], table[:, 0], rng, key[:, 1], key[:, 0]))
         table, rng, key = table[turn], rng[turn].astype(np.int64), key[turn]
         cut = np.flatnonzero(np.concatenate(([True], (np.diff(key, axis=0) != 0).any(axis=1) | (np.diff(rng) != 0))))
-        for a, b in zip(cut, np.append(cut[1:], len(table))):
-            out.append((int(key[a, 0]), int(key[a, 1]), int(rng[a]), table[a:b].tobytes()))
-        return out
+        return [(int(key[a, 0]), int(key[a, 1]), int(rng[a]), table[a:b].tobytes()) for a, b in zip(cut, np.append(cut[1:], len(table)))]
 
     def marks(self) -> list[tuple]:
         """(f, c, from, to) of the repeats in contexts that occur once, by their own first byte."""
@@ -278,27 +302,36 @@ def intervals(flags: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
-    """Rows (f, salt, salts, c, h1, h2, place, many, context) of the wanted occurrences."""
-    left = length - gram
+    """Rows (f, salt, salts, c, h1, h2, place, many, left, right) of the wanted occurrences."""
+    flank = length - gram
     by_text = wanted.groupBy(*TEXT).agg(F.collect_list(F.struct("f", "salt", "salts", "c", "pos", "many")).alias("want"))
     rows = docs.select(*TEXT, F.col(text_col).cast("binary").alias("text")).join(by_text, TEXT).dropDuplicates(TEXT)
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+    names = ["f", "salt", "salts", "c", "h1", "h2", "place", "many", "left", "right"]
 
     def run(batches):
         for batch in batches:
-            for n in range(batch.num_rows):
-                h1, h2, text, want = (batch.column(i)[n].as_py() for i in range(4))
-                out = [(w["f"], w["salt"], w["salts"], w["c"], h1, h2, max(0, w["pos"] - left), w["many"], text[max(0, w["pos"] - left) : w["pos"] + length]) for w in want]
-                yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], names=["f", "salt", "salts", "c", "h1", "h2", "place", "many", "context"])
+            out = []
+            for h1, h2, text, want in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                for w in want:
+                    p = w["pos"]
+                    at = max(0, p - flank)
+                    out.append((w["f"], w["salt"], w["salts"], w["c"], h1, h2, at, w["many"], text[at:p], text[p + gram : p + length]))
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*out), kinds)], names=names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*out), kinds)], names=names)
 
-    return map_arrow(rows.select(*TEXT, "text", "want"), run, "f long, salt int, salts int, c long, h1 long, h2 long, place int, many boolean, context binary")
+    return map_arrow(rows.select(*TEXT, "text", "want"), run, "f long, salt int, salts int, c long, h1 long, h2 long, place int, many boolean, left binary, right binary")
 
 
-def shard_repeats(ctx: DataFrame, length: int) -> DataFrame:
+def shard_repeats(ctx: DataFrame, length: int, flank: int) -> DataFrame:
     """Rows (f, c, a, b) of repeats, and (f, salt, part, strings) of hot anchors' strings."""
     rows = ctx.repartition("f", "salt").sortWithinPartitions("f", "salt")
 
     def emit(group):
-        shard = Shard(group, length)
+        shard = Shard(group, length, flank)
         m, d = shard.marks(), shard.digests()
         cols = list(zip(*[(f, c, a, b, None, None, None) for f, c, a, b in m], *[(f, None, None, None, s, r, t) for f, s, r, t in d])) or [()] * 7
         return pa.RecordBatch.from_arrays([pa.array(list(col), t) for col, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["f", "c", "a", "b", "salt", "part", "strings"])
@@ -306,12 +339,12 @@ def shard_repeats(ctx: DataFrame, length: int) -> DataFrame:
     def run(batches):
         group, size = [], 0
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(9))):
-                if group and size >= SHARD_BYTES and r[:2] != group[-1][:2]:
+            for r in zip(*(batch.column(i).to_pylist() for i in range(10))):
+                if group and size >= SHARD and r[:2] != group[-1][:2]:
                     yield emit(group)
                     group, size = [], 0
                 group.append(r)
-                size += len(r[8])
+                size += len(r[8]) + len(r[9]) + 1
         if group:
             yield emit(group)
 
@@ -366,25 +399,26 @@ def merged_strings(strings: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "f long, salt int, found binary")
 
 
-def found_elsewhere(ctx: DataFrame, found: DataFrame, length: int) -> DataFrame:
+def found_elsewhere(ctx: DataFrame, found: DataFrame, length: int, flank: int) -> DataFrame:
     """Rows (f, c, a, b): strings of hot anchors' contexts that are repeated in other shards."""
-    lists = found.select("f", "salt", F.lit(None).cast("long").alias("c"), F.col("found").alias("bytes"))
-    rows = ctx.where("salts > 1 and not many").select("f", "salt", "c", F.col("context").alias("bytes"))
+    lists = found.select("f", "salt", F.lit(None).cast("long").alias("c"), F.col("found").alias("left"), F.lit(None).cast("binary").alias("right"))
+    rows = ctx.where("salts > 1 and not many").select("f", "salt", "c", "left", "right")
     rows = lists.unionByName(rows).repartition("f", "salt").sortWithinPartitions("f", "salt", F.col("c").asc_nulls_first())
 
     def run(batches):
         at, known = None, None
         for batch in batches:
             out = []
-            for f, salt, c, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for f, salt, c, left, right in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if (f, salt) != at:
                     at, known = (f, salt), set()
                 if c is None:
-                    t = np.frombuffer(b, dtype=np.uint64).reshape(-1, 2)
+                    t = np.frombuffer(left, dtype=np.uint64).reshape(-1, 2)
                     known.update(zip(t[:, 0].tolist(), t[:, 1].tolist()))
-                elif known and len(b) >= length:
-                    data = np.frombuffer(b, dtype=np.uint8)
-                    d = [rolling(data, length, x)[: len(b) - length + 1].tolist() for x in BASES]
+                elif known and len(left) + len(right) >= flank:
+                    data = np.frombuffer(left + b"\0" + right, dtype=np.uint8).astype(np.int64)
+                    data[len(left)] = 256
+                    d = [rolling(data, flank + 1, x)[: len(data) - flank].tolist() for x in BASES]
                     out += [(f, c, x, y) for x, y in intervals(np.array([p in known for p in zip(*d)]), length)]
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["f", "c", "a", "b"])
@@ -393,23 +427,24 @@ def found_elsewhere(ctx: DataFrame, found: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
-    """Rows (h1, h2, spans): what each distinct text loses, as (a, b) byte spans that may overlap."""
-    every = staged(anchors(docs, text_col, length, gram).distinct(), "anchors")
+    """Rows (h1, h2, spans): what each distinct text loses, as (a, b) byte spans that may overlap or pass its end."""
+    flank = length - gram
+    every = staged(anchors(docs, text_col, length, gram), "anchors-all")
     twice = every.groupBy("f").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("f")
-    live = staged(every.join(twice, "f"), "anchors-twice")
+    live = staged(every.join(twice, "f").distinct(), "anchors")
     kinds = staged(live.groupBy("f", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("h1", "h2", "pos")).alias("at")), "contexts")
     mixed = kinds.groupBy("f").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("f", F.ceil(F.col("k") / HOT).cast("int").alias("salts"))
     wanted = kinds.join(mixed, "f").select("f", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), "salts", "c", "at.*", (F.col("m") > 1).alias("many"))
     ctx = staged(contexts(docs, wanted, text_col, length, gram), "context-texts")
-    found = staged(shard_repeats(ctx, length), "repeats")
+    found = staged(shard_repeats(ctx, length, flank), "repeats")
     marks = found.where("strings is null").select("f", "c", "a", "b")
     strings = found.where("strings is not null")
     if not strings.isEmpty():
-        marks = marks.unionByName(staged(found_elsewhere(ctx, merged_strings(strings), length), "repeats"))
+        marks = marks.unionByName(staged(found_elsewhere(ctx, merged_strings(strings), length, flank), "repeats"))
     # By the context's first byte; those that occur twice go whole.
     marks = marks.unionByName(kinds.where("m > 1").select("f", "c", F.lit(0).alias("a"), F.lit(2 * length).alias("b")))
-    first = F.greatest(F.col("pos") - (length - gram), F.lit(0))
-    spans = live.join(marks, ["f", "c"]).select(*TEXT, (first + F.col("a")).alias("a"), F.least(first + F.col("b"), F.col("pos") + length, "size").alias("b"))
+    first = F.greatest(F.col("pos") - flank, F.lit(0))
+    spans = live.join(marks, ["f", "c"]).select(*TEXT, (first + F.col("a")).alias("a"), F.least(first + F.col("b"), F.col("pos") + length).alias("b"))
     return spans.distinct().groupBy(*TEXT).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
@@ -438,7 +473,7 @@ def dedup_substrings(docs: DataFrame, *, text_col: str = "text", length: int = L
                     if copied and len(data) >= length:
                         cut = [{"a": 0, "b": len(data)}]
                     pieces, end, n = [], 0, 0
-                    for a, b in sorted((s["a"], s["b"]) for s in cut or ()):
+                    for a, b in sorted((s["a"], min(s["b"], len(data))) for s in cut or ()):
                         if a > end or not n:
                             pieces.append(data[end:a])
                             n += 1
