@@ -61,9 +61,13 @@ def ranges(text: Column) -> Column:
 
 
 def mask(text: Column, extra: Column | None = None) -> Column:
-    """text with its ranges, and extra (s, e) ranges, overwritten. All ranges are of the original text."""
+    """text with its ranges, and extra (s, e) ranges, overwritten. All ranges are of the original text.
+
+    A null text is empty: a mask that can't be null is worked out once, where a
+    filter against nulls would have it worked out before too.
+    """
     found = ranges(text) if extra is None else merge_spans(F.concat(ranges(text), extra))
-    return overwrite(text, found, MARK)
+    return F.coalesce(overwrite(text, found, MARK), F.lit(""))
 
 
 @F.pandas_udf(ArrayType(StructType([StructField("s", IntegerType()), StructField("e", IntegerType())])))

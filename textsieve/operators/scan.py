@@ -75,31 +75,37 @@ def leftmost_alternative(hits: DataFrame, doc: str = "doc_id") -> DataFrame:
     return hits.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+FINDING = ["rule_ord", "alt_ord", "bad", "good", "check", "priority", "source", "alt", "wild", "replacement", "start", "len", "matched"]
+
+
 def resolve_overlaps(hits: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Longest first, then place, then rule: what meets an accepted one goes.
 
     Findings of rules with a wildcard inside neither give way nor push others
-    out. The fold runs over one document's findings.
+    out. The fold runs over one document's findings, which travel whole, so hits
+    is computed once.
     """
-    item = F.struct((-F.col("len")).alias("neg"), "start", "rule_ord", "alt_ord", "len", "wild")
-    per = hits.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("all"))
-    kind = "array<struct<neg:int,start:int,rule_ord:int,alt_ord:int,len:int,wild:boolean>>"
+    order = ["neg", "start", "rule_ord", "alt_ord"]
+    rest = [c for c in hits.columns if c not in (doc, *order)]
+    rows = hits.withColumn("neg", -F.col("len"))
+    kind = "array<struct<" + ",".join(f"`{c}`:{rows.schema[c].dataType.simpleString()}" for c in order + rest) + ">>"
+    per = rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("all"))
 
     def step(acc, x):
         meets = F.exists(acc, lambda a: (a["start"] < x["start"] + x["len"]) & (x["start"] < a["start"] + a["len"]))
         return F.when(meets, acc).otherwise(F.array_append(acc, x))
 
     plain = F.aggregate(F.filter("all", lambda x: ~x["wild"]), F.array().cast(kind), step)
-    kept = per.select(doc, F.inline(F.concat(plain, F.filter("all", lambda x: x["wild"])))).select(doc, "start", "rule_ord", "alt_ord")
-    return hits.join(kept, [doc, "start", "rule_ord", "alt_ord"], "left_semi")
+    return per.select(doc, F.inline(F.concat(plain, F.filter("all", lambda x: x["wild"])))).select(*hits.columns)
 
 
 def lint(docs: DataFrame, rules, *, doc: str = "doc_id", text_col: str = "masked", exhaustive: bool = False) -> DataFrame:
-    """Findings of all scanned rules: matches in bounds, overlaps resolved, at most MAX_PER_RULE of a rule unless exhaustive."""
-    hits = raw_hits(docs, rules, text_col)
+    """Findings (doc, FINDING) of all scanned rules: matches in bounds, overlaps resolved, at most MAX_PER_RULE of a rule unless exhaustive."""
+    hits = raw_hits(docs.select(doc, text_col), rules, text_col)
     if not exhaustive:
         hits = first_per_rule(hits, MAX_TRIED, [doc, "rule_ord"])
-    hits = leftmost_alternative(within_boundaries(hits, text_col), doc)
+    hits = within_boundaries(hits, text_col).withColumn("matched", F.substring(F.col(text_col), F.col("start") + 1, F.col("len")))
+    hits = leftmost_alternative(hits.select(doc, *FINDING), doc)
     if not exhaustive:
         hits = first_per_rule(hits, MAX_RAW, [doc, "rule_ord"])
     hits = resolve_overlaps(hits, doc)
@@ -130,7 +136,7 @@ def apply_fixes(docs: DataFrame, rules, *, doc: str = "doc_id", text_col: str =
     of the next one; put together from left to right.
     """
     found = lint(docs, rules, doc=doc, text_col=text_col, exhaustive=True).where(F.col("check") == "치환")
-    item = F.struct("start", "len", F.substring(F.col(text_col), F.col("start") + 1, F.col("len")).alias("bad"), F.col("replacement").alias("new"))
+    item = F.struct("start", "len", F.col("matched").alias("bad"), F.col("replacement").alias("new"))
     per = found.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("todo"))
     rows = docs.join(per, doc, "left")
     text = F.col(text_col)

@@ -60,7 +60,7 @@ def overlap_resolved(spark, d):
 
 def lint_findings(spark, d):
     docs = masks.without_ignored(ko_docs(spark, d)).where(hangul.looks_korean(F.col("text"))).withColumn("masked", masks.mask(F.col("text")))
-    return scan.lint(docs, rules.RULES).select("doc_id", "bad", "good", long(F.col("start")).alias("start"), F.substring(F.col("text"), F.col("start") + 1, F.col("len")).alias("matched"))
+    return scan.lint(docs, rules.RULES).select("doc_id", "bad", "good", long(F.col("start")).alias("start"), "matched")
 
 
 def fixed_docs(spark, d):
