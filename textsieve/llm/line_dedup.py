@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import KEY, join_on_key, staged, with_row_key
+from .stage import KEY, join_counted, join_on_key, staged, with_row_key
 
 MIN_SITES = 10
 LG_K = 12
@@ -40,8 +40,8 @@ def exploded_lines(docs: DataFrame, site_col: str, text_col: str) -> DataFrame:
 
 
 def site_sketches(lines: DataFrame, lg_k: int = LG_K) -> DataFrame:
-    """One sketch of sites and the first occurrence for each line hash."""
-    return lines.groupBy(*LINE).agg(F.hll_sketch_agg("__ts_site", F.lit(lg_k)).alias("sites"), F.min(F.struct("__ts_id", "__ts_pos")).alias("first"))
+    """One sketch of sites, the first occurrence and the number of rows for each line hash."""
+    return lines.groupBy(*LINE).agg(F.hll_sketch_agg("__ts_site", F.lit(lg_k)).alias("sites"), F.min(F.struct("__ts_id", "__ts_pos")).alias("first"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def merged_sketches(*tables: DataFrame) -> DataFrame:
@@ -49,21 +49,21 @@ def merged_sketches(*tables: DataFrame) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    return out.groupBy(*LINE).agg(F.hll_union_agg("sites").alias("sites"), F.min("first").alias("first"))
+    return out.groupBy(*LINE).agg(F.hll_union_agg("sites").alias("sites"), F.min("first").alias("first"), F.sum("n_rows").alias("n_rows"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """Hashes and first occurrences of lines on min_sites sites or more.
+    """Hashes, first occurrences and numbers of rows of lines on min_sites sites or more.
 
     Beyond three standard errors (and one site) of the threshold the sketch
     decides; within, the exact distinct count does.
     """
     slack = max(1.0, 3 * 1.04 / 2 ** (lg_k / 2) * min_sites)
-    spread = site_sketches(lines, lg_k).select(*LINE, "first", F.hll_sketch_estimate("sites").alias("n"))
-    spread = spread.where(F.col("n") >= min_sites - slack)
-    near = spread.where(F.col("n") <= min_sites + slack).select(*LINE)
-    exact = lines.select(*LINE, "__ts_site").join(near, LINE, "left_semi").distinct().groupBy(*LINE).agg(F.count(F.lit(1)).alias("exact"))
-    return spread.join(exact, LINE, "left").where(F.coalesce(F.col("exact"), F.col("n")) >= min_sites).select(*LINE, "first")
+    spread = site_sketches(lines, lg_k).select(*LINE, "first", "n_rows", F.hll_sketch_estimate("sites").alias("n"))
+    spread = staged(spread.where(F.col("n") >= min_sites - slack), "spread")
+    near = spread.where(F.col("n") <= min_sites + slack).select(*LINE, "n_rows")
+    exact = join_counted(lines.select(*LINE, "__ts_site"), near, LINE, "n_rows").select(*LINE, "__ts_site").distinct().groupBy(*LINE).agg(F.count(F.lit(1)).alias("exact"))
+    return staged(spread.join(exact, LINE, "left").where(F.coalesce(F.col("exact"), F.col("n")) >= min_sites).select(*LINE, "first", "n_rows"), "boilerplate")
 
 
 def dedup_lines(docs: DataFrame, *, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, keep_first: bool = True) -> DataFrame:
@@ -73,7 +73,7 @@ def dedup_lines(docs: DataFrame, *, site_col: str = "source", text_col: str = "t
     gone = F.col("first").isNotNull()
     if keep_first:
         gone &= ~(F.col("first.__ts_id").eqNullSafe(F.col("__ts_id")) & (F.col("first.__ts_pos") == F.col("__ts_pos")))
-    hit = lines.drop("__ts_site").join(found, LINE, "inner").where(gone).select(*KEY, "__ts_pos").distinct()
+    hit = join_counted(lines.drop("__ts_site"), found, LINE, "n_rows").where(gone).select(*KEY, "__ts_pos").distinct()
     hit = hit.groupBy(*KEY).agg(F.collect_list("__ts_pos").alias("__ts_at"))
     out = join_on_key(with_row_key(docs, text_col=text_col), hit)
     parts = F.split(text_col, "\n", -1)

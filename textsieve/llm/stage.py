@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Used only where the session names no folder, as in tests on one machine.
 LOCAL_DEFAULT = "/tmp/checkpoints"
 KEY = ["__ts_id", "__ts_h1", "__ts_h2"]
@@ -50,24 +52,24 @@ def join_on_key(left: DataFrame, right: DataFrame, how: str = "left", keys: list
     return left.join(other, on, how).drop(*[f"{k}_r" for k in keys])
 
 
-_SHIPPED: dict[str, str] = {}
+#: Keys that join_counted may broadcast, at most.
+MAX_HOT, LEAST_HOT = 2000, 1000
 
 
-def _ship(spark: SparkSession) -> None:
-    """Puts this package on the workers' path, once for each application."""
-    import shutil
-    import tempfile
-    from pathlib import Path
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """Inner join of big with small, which has each key once and in column rows how many rows of big have it.
 
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        package = Path(__file__).resolve().parents[1]
-        base = Path(tempfile.mkdtemp()) / package.name
-        _SHIPPED[app] = shutil.make_archive(str(base), "zip", package.parent, package.name)
-        spark.sparkContext.addPyFile(_SHIPPED[app])
+    A key with more than a MAX_HOT-th of big's rows is hot; there are fewer than
+    MAX_HOT of them, whatever the data, so these are broadcast and their rows stay
+    where they are. The rest is shuffled without them, and no key is large there.
+    """
+    total = small.agg(F.sum(rows)).first()[0] or 0
+    limit = max(LEAST_HOT, total // MAX_HOT)
+    hot = F.broadcast(small.where(F.col(rows) > limit))
+    return big.join(hot, keys).unionByName(big.join(hot.select(*keys), keys, "left_anti").join(small.where(F.col(rows) <= limit), keys))
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow where run may refer to this package."""
-    _ship(df.sparkSession)
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
