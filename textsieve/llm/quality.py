@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .line_dedup import normalised
-from .stage import staged
+from .stage import join_counted, staged
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 WINDOW = 5
 #: A line goes when more than both of these carry it on one host.
 MIN_DOCS, MAX_SHARE = 20, 0.02
-#: A document with removed lines needs this much left.
-LEFT_WORDS, LEFT_PERCENT = 10, 20
+#: A document with removed lines needs this much left: a short clean text beside one common line stays.
+LEFT_WORDS, LEFT_PERCENT = 3, 20
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -70,11 +70,11 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """Rows (host, h1, h2) of the lines above both limits. lines: host, h1, h2, t1, t2."""
+    """Rows (host, h1, h2, rows) of the lines above both limits, and how many rows of lines they are. lines: host, h1, h2, t1, t2."""
     text = ["t1", "t2"]
     hosts = lines.select("host", *text).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_docs"))
-    docs = lines.select("host", "h1", "h2", *text).distinct().groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("docs"))
-    return docs.where(F.col("docs") > min_docs).join(hosts, "host").where(F.col("docs") > max_share * F.col("all_docs")).select("host", "h1", "h2")
+    docs = lines.groupBy("host", "h1", "h2", *text).agg(F.count(F.lit(1)).alias("rows")).groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.sum("rows").alias("rows"))
+    return docs.where(F.col("docs") > min_docs).join(hosts, "host").where(F.col("docs") > max_share * F.col("all_docs")).select("host", "h1", "h2", "rows")
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -83,7 +83,8 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     rows = measures(base).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), F.col("text")), "row": F.monotonically_increasing_id()}).drop("text")
     rows = staged(rows, "quality")
     lines = rows.select("row", "host", "t1", "t2", F.inline("__ts_lines"))
-    gone = lines.join(frequent_lines(lines), ["host", "h1", "h2"]).groupBy("row").agg(F.sum("n").alias("n_removed_words"))
+    frequent = staged(frequent_lines(lines), "frequent-lines")
+    gone = join_counted(lines, frequent, ["host", "h1", "h2"], "rows").groupBy("row").agg(F.sum("n").alias("n_removed_words"))
     out = rows.drop("__ts_lines", "host", "t1", "t2").join(gone, "row", "left").drop("row")
     removed = F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long")
     left = F.col("n_words") - removed
