@@ -130,7 +130,7 @@ def particle_risk(bad: Column, good: Column, after: Column, before: Column) -> C
 
 
 def apply_fixes(docs: DataFrame, rules, *, doc: str = "doc_id", text_col: str = "masked") -> DataFrame:
-    """docs with fixed (text) and n_fixed.
+    """docs with fixed (text), n_fixed and changes (start, len, new).
 
     Decided from right to left, since the character after a fix can be the first
     of the next one; put together from left to right.
@@ -153,4 +153,4 @@ def apply_fixes(docs: DataFrame, rules, *, doc: str = "doc_id", text_col: str =
 
     changes = F.aggregate(F.reverse(F.coalesce("todo", F.array().cast("array<struct<start:int,len:int,bad:string,new:string>>"))), zero, step)["out"]
     rows = rows.withColumn("__changes", changes)
-    return rows.withColumns({"fixed": rebuild(text, F.col("__changes")), "n_fixed": F.size("__changes").cast("long")}).drop("__changes", "todo")
+    return rows.withColumns({"fixed": rebuild(text, F.col("__changes")), "n_fixed": F.size("__changes").cast("long"), "changes": F.col("__changes")}).drop("__changes", "todo")

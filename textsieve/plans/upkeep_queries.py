@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import masks, review, rules, stats, triage
+from ..operators import masks, reports, review, rules, stats, triage
 from .derived import KO_SQL, count, ko_docs, long, table
 from .record_queries import _HEAD, _values
 from .text_queries import _q
@@ -107,6 +107,39 @@ def cut_reports(spark, d):
     return docs.select("doc_id", long(F.octet_length(triage.cut_to_bytes(F.col("text"), 600))).alias("n_bytes"))
 
 
+def doc_language(spark, d):
+    docs = table(spark, d, "customer").selectExpr("c_custkey AS repo", "inline(array(struct('README.md' AS path, CASE c_custkey % 4 WHEN 0 THEN repeat('한글 글자 ', 40) WHEN 1 THEN '짧은 글' WHEN 2 THEN NULL ELSE repeat('--- 1 ', 60) END AS text), struct('CONTRIBUTING.md' AS path, repeat('some plain words ', 20) AS text)))")
+    return reports.doc_language(docs)
+
+
+def fixed_texts(spark, d):
+    return reports.fix_texts(masks.without_ignored(ko_docs(spark, d)), rules.RULES).select("doc_id", "fixed")
+
+
+def findings_by_line(spark, d):
+    docs = ko_docs(spark, d).select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n")).alias("masked"))
+    return reports.findings_by_line(docs, rules.RULES).select("doc_id", "line", "col", "matched", "fixable")
+
+
+def line_suggestions(spark, d):
+    docs = ko_docs(spark, d).select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n")).alias("masked"))
+    return reports.line_suggestions(reports.findings_by_line(docs, rules.RULES))
+
+
+def imported_rules(spark, d):
+    raw = table(spark, d, "part").selectExpr("p_partkey AS ord", "CASE p_partkey % 5 WHEN 0 THEN 'odd' ELSE 'terms' END AS category", "concat('a|', cast(p_partkey % 300 AS string)) AS bad", "CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat('b', chr(10), cast(p_partkey AS string)) END AS good", "CASE p_partkey % 3 WHEN 0 THEN '핵심' ELSE 'x' END AS priority")
+    return reports.import_rules(raw, ["terms"]).select("ord", "bad", "good", "priority")
+
+
+def rules_in_text(spark, d):
+    return reports.rules_in_text(rules.rules_frame(spark), F.lit(TABLE.replace("|  |", "| — |").replace("| 컨텐츠 |", "| 콘텐트 |"))).select("bad")
+
+
+def issue_values(spark, d):
+    e = table(spark, d, "events").selectExpr("event_id", "'### Where' || chr(10) || 'f' || cast(event_id AS string) || chr(10) || CASE WHEN event_id % 2 = 0 THEN '### Why' || chr(10) || 'w' ELSE '' END AS body")
+    return reports.issue_values(review.issue_fields(e, "event_id", "body"), "event_id", {"place": "Where", "reason": "Why"})
+
+
 _rows = [(n + 4, r) for n, r in enumerate(rules.RULES)]
 QUERIES = {
     "rule_table_parsed": (rule_table_parsed, "SELECT cast(line AS bigint) AS line, bad, good, \"check\", priority FROM (VALUES " + ", ".join(f"({n - 1}, {_q(r[1])}, {_q(r[2])}, {_q(r[4])}, {_q(r[5])})" for n, r in _rows) + ') AS t(line, bad, good, "check", priority)'),
@@ -125,4 +158,11 @@ QUERIES = {
     "edit_contexts": (edit_contexts, f"WITH k AS ({KO_SQL}) SELECT doc_id, CASE WHEN contains(text, '`이슈`') THEN 'exempt' ELSE 'unknown' END AS context FROM k"),
     "code_spans": (code_spans, "SELECT page_id, repeat('`', page_id % 4 + 1) || repeat('`', page_id % 4) || 'x' || repeat('`', page_id % 4 + 1) AS code FROM pages"),
     "cut_reports": (cut_reports, "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), s AS (SELECT doc_id, sum(strlen(ln) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM l) SELECT doc_id, cast(coalesce(max(n) FILTER (WHERE n <= 600), 0) AS bigint) AS n_bytes FROM s GROUP BY doc_id"),
+    "doc_language": (doc_language, "SELECT c_custkey AS repo, CASE c_custkey % 4 WHEN 0 THEN 'korean' WHEN 1 THEN 'english' ELSE 'unknown' END AS language FROM customer"),
+    "fixed_texts": (fixed_texts, None),
+    "findings_by_line": (findings_by_line, None),
+    "line_suggestions": (line_suggestions, None),
+    "imported_rules": (imported_rules, "WITH r AS (SELECT p_partkey AS ord, 'a' || chr(92) || '|' || cast(p_partkey % 300 AS varchar) AS bad, 'b ' || cast(p_partkey AS varchar) AS good, CASE p_partkey % 3 WHEN 0 THEN '핵심' ELSE '보통' END AS priority FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0) SELECT ord, bad, good, priority FROM (SELECT *, row_number() OVER (PARTITION BY bad ORDER BY ord) AS n FROM r) WHERE n = 1"),
+    "rules_in_text": (rules_in_text, "SELECT bad FROM (VALUES " + ", ".join(f"({_q(r[1])})" for r in rules.RULES if r[1] != "컨텐츠") + ") AS t(bad)"),
+    "issue_values": (issue_values, "SELECT event_id, 'f' || cast(event_id AS varchar) AS place, CASE WHEN event_id % 2 = 0 THEN 'w' ELSE '' END AS reason FROM events"),
 }
