@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import KEY, join_on_key, map_arrow, staged, with_row_key
+from .stage import KEY, join_counted, join_on_key, map_arrow, staged, with_row_key
 
 WORDS, PERCENT = 5, 80
 ROWS, MISS = 4, 1e-6
@@ -222,8 +222,8 @@ def missed_links(members: DataFrame, nodes: DataFrame, links: DataFrame, texts:
     rows = members.join(links, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
     rows = rows.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
     open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes")).where("lo <> hi")
-    open_ = open_.select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    rows = rows.drop("bytes").join(open_, "key").join(nodes.select("node", "signature", "bands"), "node").join(texts, "node")
+    open_ = staged(open_.select("key", "m", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "open")
+    rows = join_counted(rows.drop("bytes"), open_, ["key"], "m").drop("m").join(nodes.select("node", "signature", "bands"), "node").join(texts, "node")
     rows = rows.withColumn("s", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"), (F.col("s") > F.col("t")).alias("side"), "band", "node", "component", "signature", "bands", "text")
     rows = rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "node")
@@ -281,8 +281,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = full.groupBy("c1", "c2").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("h1", "h2")).alias("text_key"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     nodes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "low")
-    members = staged(banded.join(shared, "key"), "buckets")
+    shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = staged(join_counted(banded, staged(shared, "shared"), ["key"], "m").drop("m"), "buckets")
     pairs = members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     alike = staged(agreeing(pairs, nodes, least), "pairs")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("text_key.h1").alias("h1"), F.col("text_key.h2").alias("h2"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import map_arrow, staged
+from .stage import join_counted, map_arrow, staged
 
 LENGTH, GRAM = 400, 256
 #: Symbols in a suffix array, but for one large anchor; contexts in a shard of a hot one.
@@ -430,11 +430,11 @@ def repeated_spans(docs: DataFrame, text_col: str, length: int, gram: int) -> Da
     """Rows (h1, h2, spans): what each distinct text loses, as (a, b) byte spans that may overlap or pass its end."""
     flank = length - gram
     every = staged(anchors(docs, text_col, length, gram), "anchors-all")
-    twice = every.groupBy("f").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("f")
-    live = staged(every.join(twice, "f").distinct(), "anchors")
+    twice = every.groupBy("f").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    live = staged(join_counted(every, staged(twice, "anchors-found"), ["f"], "m").drop("m").distinct(), "anchors")
     kinds = staged(live.groupBy("f", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("h1", "h2", "pos")).alias("at")), "contexts")
-    mixed = kinds.groupBy("f").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("f", F.ceil(F.col("k") / HOT).cast("int").alias("salts"))
-    wanted = kinds.join(mixed, "f").select("f", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), "salts", "c", "at.*", (F.col("m") > 1).alias("many"))
+    mixed = kinds.groupBy("f").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    wanted = join_counted(kinds, staged(mixed.withColumn("salts", F.ceil(F.col("k") / HOT).cast("int")), "mixed"), ["f"], "k").select("f", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), "salts", "c", "at.*", (F.col("m") > 1).alias("many"))
     ctx = staged(contexts(docs, wanted, text_col, length, gram), "context-texts")
     found = staged(shard_repeats(ctx, length, flank), "repeats")
     marks = found.where("strings is null").select("f", "c", "a", "b")
@@ -442,9 +442,10 @@ def repeated_spans(docs: DataFrame, text_col: str, length: int, gram: int) -> Da
     if not strings.isEmpty():
         marks = marks.unionByName(staged(found_elsewhere(ctx, merged_strings(strings), length, flank), "repeats"))
     # By the context's first byte; those that occur twice go whole.
-    marks = marks.unionByName(kinds.where("m > 1").select("f", "c", F.lit(0).alias("a"), F.lit(2 * length).alias("b")))
+    whole = kinds.where("m > 1").select("f", "c", "m", F.lit(0).alias("a"), F.lit(2 * length).alias("b"))
+    marked = join_counted(live, whole, ["f", "c"], "m").drop("m").unionByName(live.join(marks, ["f", "c"]))
     first = F.greatest(F.col("pos") - flank, F.lit(0))
-    spans = live.join(marks, ["f", "c"]).select(*TEXT, (first + F.col("a")).alias("a"), F.least(first + F.col("b"), F.col("pos") + length).alias("b"))
+    spans = marked.select(*TEXT, (first + F.col("a")).alias("a"), F.least(first + F.col("b"), F.col("pos") + length).alias("b"))
     return spans.distinct().groupBy(*TEXT).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
