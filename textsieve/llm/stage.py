@@ -31,6 +31,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Deletes all staged tables, once the frames that read them are done with."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/textsieve")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds KEY: the id and 128 bits of hash of the text.
 
@@ -56,17 +62,19 @@ def join_on_key(left: DataFrame, right: DataFrame, how: str = "left", keys: list
 MAX_HOT, LEAST_HOT = 2000, 1000
 
 
-def join_counted(big: DataFrame, small: DataFrame, keys: list[str], rows: str) -> DataFrame:
-    """Inner join of big with small, which has each key once and in column rows how many rows of big have it.
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of big with small, which has each key once and in column rows how many rows of big have it, or more.
 
-    A key with more than a MAX_HOT-th of big's rows is hot; there are fewer than
+    A key with more than a MAX_HOT-th of the rows is hot; there are fewer than
     MAX_HOT of them, whatever the data, so these are broadcast and their rows stay
     where they are. The rest is shuffled without them, and no key is large there.
+    small is read several times and should be a table.
     """
     total = small.agg(F.sum(rows)).first()[0] or 0
     limit = max(LEAST_HOT, total // MAX_HOT)
     hot = F.broadcast(small.where(F.col(rows) > limit))
-    return big.join(hot, keys).unionByName(big.join(hot.select(*keys), keys, "left_anti").join(small.where(F.col(rows) <= limit), keys))
+    rest = big.join(hot.select(*keys), keys, "left_anti").join(small.where(F.col(rows) <= limit), keys, how)
+    return big.join(hot, keys).unionByName(rest)
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
