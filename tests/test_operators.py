@@ -326,3 +326,30 @@ def test_sources(spark, tmp_path):
     assert cut == "가"
     writers.write_rule_tables(rules.rules_frame(spark), str(tmp_path / "rules"))
     assert one(spark, "a%b\nc", lambda c: writers.annotation(F.lit("f:1"), F.lit(1), F.lit(2), c))[0] == "::warning file=f%3A1,line=1,col=2::a%25b%0Ac"
+
+
+def test_findings_once_and_by_hour(spark, tmp_path):
+    from textsieve.streaming import guard_stream
+
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.json").write_text('{"fp":"x","ts":"2024-01-01T00:10:00Z","decision":"deny"}\n{"fp":"x","ts":"2024-01-01T00:20:00Z","decision":"warn"}\n{"fp":"y","ts":"2024-01-01T01:10:00Z","decision":"deny"}')
+    rows = spark.readStream.schema("fp string, ts timestamp, decision string").json(str(tmp_path / "f"))
+    for name, df, mode in (("once", guard_stream.new_findings(rows), "append"), ("hours", guard_stream.hourly_decisions(rows), "complete")):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination()
+    assert sorted(r.fp for r in spark.table("once").collect()) == ["x", "y"]
+    assert {(str(r.hour), r.decision, r.n) for r in spark.table("hours").collect()} == {("2024-01-01 00:00:00", "deny", 1), ("2024-01-01 00:00:00", "warn", 1), ("2024-01-01 01:00:00", "deny", 1)}
+
+
+def test_reports(spark):
+    from textsieve.operators import reports, triage
+
+    docs = spark.createDataFrame([("r", "README.md", "짧음"), ("r", "CONTRIBUTING.md", "plain words " * 30), ("s", "README.md", None), ("t", "x.md", "글")], "repo string, path string, text string")
+    assert dict(reports.doc_language(docs).collect()) == {"r": "english", "s": "unknown", "t": "unknown"}
+    text = spark.createDataFrame([(1, "첫 줄\n이슈를 봄 900101-1234567\n이슈를 봄")], "doc_id long, masked string")
+    rows = [rule("이슈", "문제")]
+    found = reports.findings_by_line(text, rows)
+    assert sorted((r.line, r.col, r.has_pii, r.replacement) for r in found.collect()) == [(2, 1, True, "문제"), (3, 1, False, "문제")]
+    assert [tuple(r) for r in reports.line_suggestions(found).collect()] == [(1, 3, "문제를 봄")]
+    assert one(spark, "a <!-- b -->x<!-- e --> c", lambda c: triage.replace_block(c, "<!-- b -->", "<!-- e -->", F.lit("new")))[0] == "a <!-- b -->new<!-- e --> c"
+    assert one(spark, "1.2.3", triage.version)[0] == (1, 2, 3) and one(spark, "1.2", triage.version)[0] is None
+    assert one(spark, "merged-1.md", lambda c: reports.answer_kind(c, "^none-", "^merged-"))[0] == "falsePositive"
