@@ -168,7 +168,8 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(keep)
 
     sig = nodes.select("node", "signature")
-    rows = pairs.join(sig.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
+    lows = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("m")).join(sig.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
+    rows = join_counted(pairs.join(sig.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a"), staged(lows, "lows"), ["b"], "m")
     return map_arrow(rows.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
@@ -178,8 +179,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     Rows of one b (and salt) reach one task with b's text first; the task holds
     two sets at a time.
     """
-    fan = pairs.groupBy("b").agg(F.floor((F.count(F.lit(1)) - 1) / SALT + 1).cast("int").alias("salts"))
-    left = pairs.join(fan, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), "a").join(texts.withColumnRenamed("node", "a"), "a").select("b", "salt", "a", "text")
+    fan = staged(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("m"), F.floor((F.count(F.lit(1)) - 1) / SALT + 1).cast("int").alias("salts")), "fan")
+    left = join_counted(pairs, fan, ["b"], "m").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), "a").join(texts.withColumnRenamed("node", "a"), "a").select("b", "salt", "a", "text")
     heads = fan.join(texts.withColumnRenamed("node", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "text")
     rows = heads.unionByName(left).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
 
@@ -278,26 +279,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     n_bands, least = bands_for(percent), least_agreement(percent)
     rows = staged(sketches(docs, id_col, text_col, words, n_bands), "sketches")
     full = rows.where(F.col("n") > 0)
-    classes = full.groupBy("c1", "c2").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("h1", "h2")).alias("text_key"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    classes = full.groupBy("c1", "c2").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("h1", "h2")).alias("text_key"), F.first("bands").alias("bands"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("copies"))
     nodes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
     members = staged(join_counted(banded, staged(shared, "shared"), ["key"], "m").drop("m"), "buckets")
     pairs = members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     alike = staged(agreeing(pairs, nodes, least), "pairs")
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("text_key.h1").alias("h1"), F.col("text_key.h2").alias("h2"))
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("text_key.h1").alias("h1"), F.col("text_key.h2").alias("h2"), "copies")
     source = docs.select(F.xxhash64(text_col).alias("h1"), F.xxhash64(F.lit(7), F.col(text_col)).alias("h2"), F.col(text_col).alias("text"))
     # Copies of one text give one row.
-    texts = staged(source.join(wanted, ["h1", "h2"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    texts = staged(join_counted(source, staged(wanted, "wanted"), ["h1", "h2"], "copies", cold="merge").dropDuplicates(["node"]).select("node", "text"), "texts")
     edges = staged(verified(alike, texts, words, percent), "edges")
     links = components(edges)
     more = staged(missed_links(members, nodes, links, texts, words, percent, least), "edges")
     if not more.isEmpty():
         links = components(edges.unionByName(more))
-    placed = nodes.select("node", "c1", "c2", "least_id").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = nodes.select("node", "c1", "c2", "least_id", "copies").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    placed = placed.join(ids, "component").select("c1", "c2", "component_id")
-    out = join_on_key(rows.select("doc_id", "n", "c1", "c2", "h1", "h2"), placed, "left", ["c1", "c2"])
+    placed = staged(placed.join(ids, "component").select("c1", "c2", "component_id", "copies"), "placed")
+    out = join_counted(rows.select("doc_id", "n", "c1", "c2", "h1", "h2"), placed, ["c1", "c2"], "copies", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *["h1", "h2"] * keys).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

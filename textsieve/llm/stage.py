@@ -62,18 +62,20 @@ def join_on_key(left: DataFrame, right: DataFrame, how: str = "left", keys: list
 MAX_HOT, LEAST_HOT = 2000, 1000
 
 
-def join_counted(big: DataFrame, small: DataFrame, keys: list[str], rows: str, how: str = "inner") -> DataFrame:
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], rows: str, how: str = "inner", cold: str | None = None) -> DataFrame:
     """Inner or left join of big with small, which has each key once and in column rows how many rows of big have it, or more.
 
     A key with more than a MAX_HOT-th of the rows is hot; there are fewer than
     MAX_HOT of them, whatever the data, so these are broadcast and their rows stay
     where they are. The rest is shuffled without them, and no key is large there.
-    small is read several times and should be a table.
+    small is read several times and should be a table. cold: a join hint for the
+    rest, where the plan is not to depend on small's size.
     """
     total = small.agg(F.sum(rows)).first()[0] or 0
     limit = max(LEAST_HOT, total // MAX_HOT)
     hot = F.broadcast(small.where(F.col(rows) > limit))
-    rest = big.join(hot.select(*keys), keys, "left_anti").join(small.where(F.col(rows) <= limit), keys, how)
+    few = small.where(F.col(rows) <= limit)
+    rest = big.join(hot.select(*keys), keys, "left_anti").join(few.hint(cold) if cold else few, keys, how)
     return big.join(hot, keys).unionByName(rest)
 
 
