@@ -301,11 +301,12 @@ def intervals(flags: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) + length) for a, b in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)])]
 
 
-def contexts(docs: DataFrame, wanted: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
+def contexts(docs: DataFrame, wanted: DataFrame, copies: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
     """Rows (f, salt, salts, c, h1, h2, place, many, left, right) of the wanted occurrences."""
     flank = length - gram
     by_text = wanted.groupBy(*TEXT).agg(F.collect_list(F.struct("f", "salt", "salts", "c", "pos", "many")).alias("want"))
-    rows = docs.select(*TEXT, F.col(text_col).cast("binary").alias("text")).join(by_text, TEXT).dropDuplicates(TEXT)
+    by_text = staged(by_text.join(copies, TEXT, "left").withColumn("m", F.coalesce("m", F.lit(1))), "wanted")
+    rows = join_counted(docs.select(*TEXT, F.col(text_col).cast("binary").alias("text")), by_text, TEXT, "m", cold="merge").dropDuplicates(TEXT)
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
     names = ["f", "salt", "salts", "c", "h1", "h2", "place", "many", "left", "right"]
 
@@ -426,7 +427,7 @@ def found_elsewhere(ctx: DataFrame, found: DataFrame, length: int, flank: int) -
     return map_arrow(rows, run, "f long, c long, a int, b int")
 
 
-def repeated_spans(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, copies: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
     """Rows (h1, h2, spans): what each distinct text loses, as (a, b) byte spans that may overlap or pass its end."""
     flank = length - gram
     every = staged(anchors(docs, text_col, length, gram), "anchors-all")
@@ -435,7 +436,7 @@ def repeated_spans(docs: DataFrame, text_col: str, length: int, gram: int) -> Da
     kinds = staged(live.groupBy("f", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("h1", "h2", "pos")).alias("at")), "contexts")
     mixed = kinds.groupBy("f").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     wanted = join_counted(kinds, staged(mixed.withColumn("salts", F.ceil(F.col("k") / HOT).cast("int")), "mixed"), ["f"], "k").select("f", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), "salts", "c", "at.*", (F.col("m") > 1).alias("many"))
-    ctx = staged(contexts(docs, wanted, text_col, length, gram), "context-texts")
+    ctx = staged(contexts(docs, wanted, copies, text_col, length, gram), "context-texts")
     found = staged(shard_repeats(ctx, length, flank), "repeats")
     marks = found.where("strings is null").select("f", "c", "a", "b")
     strings = found.where("strings is not null")
@@ -456,10 +457,10 @@ def dedup_substrings(docs: DataFrame, *, text_col: str = "text", length: int = L
     keyed = docs.select(*cols).withColumns({"h1": F.xxhash64(text_col), "h2": F.xxhash64(F.lit(7), F.col(text_col))}) if not {"h1", "h2"} & set(cols) else None
     if keyed is None:
         raise ValueError("columns h1 and h2 are taken")
-    spans = repeated_spans(keyed, text_col, length, gram)
-    copies = keyed.groupBy(*TEXT).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*TEXT, F.lit(True).alias("copied"))
-    lost = spans.join(copies, TEXT, "full")
-    rows = keyed.join(lost, TEXT, "left").select(*cols, "spans", F.coalesce("copied", F.lit(False)).alias("copied"))
+    copies = staged(keyed.groupBy(*TEXT).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "copies")
+    spans = repeated_spans(keyed, copies, text_col, length, gram)
+    lost = staged(spans.join(copies, TEXT, "full").select(*TEXT, "spans", (F.col("m") > 1).alias("copied"), F.coalesce("m", F.lit(1)).alias("m")), "lost")
+    rows = join_counted(keyed, lost, TEXT, "m", "left", cold="merge").select(*cols, "spans", F.coalesce("copied", F.lit(False)).alias("copied"))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols] + [f"{n} {t}" for n, t in new])
     at = cols.index(text_col)
 
