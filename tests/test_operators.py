@@ -353,3 +353,32 @@ def test_reports(spark):
     assert one(spark, "a <!-- b -->x<!-- e --> c", lambda c: triage.replace_block(c, "<!-- b -->", "<!-- e -->", F.lit("new")))[0] == "a <!-- b -->new<!-- e --> c"
     assert one(spark, "1.2.3", triage.version)[0] == (1, 2, 3) and one(spark, "1.2", triage.version)[0] is None
     assert one(spark, "merged-1.md", lambda c: reports.answer_kind(c, "^none-", "^merged-"))[0] == "falsePositive"
+
+
+# the whole job: what round 1 left out
+
+
+def test_fixes_leave_masked_text(spark):
+    from textsieve.operators import reports
+
+    text = "이슈를 봄 `이슈` https://example.com/이슈 commit를 `server을` [글][이슈]\n\n    server을 이슈\n\n[이슈]: http://x.y"
+    fixed = "문제를 봄 `이슈` https://example.com/이슈 commit을 `server을` [글][이슈]\n\n    server을 이슈\n\n[이슈]: http://x.y"
+    docs = spark.createDataFrame([(1, text, "md"), (2, None, "md")], "doc_id long, text string, ext string")
+    masked = masks.protected(docs, ext_col="ext")
+    got = {r.doc_id: (r.fixed, r.n_fixed) for r in scan.apply_fixes(masked, [rule("이슈", "문제")], original="text").collect()}
+    assert got[1] == (fixed.replace("commit을", "commit를"), 1) and got[2][1] == 0
+    errors = masked.select(F.explode(particles.particle_errors(F.col("masked"), F.col("text"))).alias("e")).collect()
+    assert [r.e.matched for r in errors] == ["commit를"]
+    assert {r.doc_id: r.fixed for r in reports.fix_texts(docs, [rule("이슈", "문제")], ext_col="ext").collect()} == {1: fixed, 2: ""}
+
+
+def test_fixed_queries_keep_code_and_links(spark):
+    from textsieve.plans import catalogue
+    from textsieve.plans.derived import ko_docs
+
+    texts = {r.doc_id: r.text for r in ko_docs(spark, "/root/testdata/sf0.001").collect()}
+    for name in ("fixed_docs", "fixed_texts"):
+        rows = catalogue.queries()[name](spark, "/root/testdata/sf0.001").collect()
+        for part in ("`이슈`", "https://example.com/이슈"):
+            assert all(part in r.fixed for r in rows if part in texts[r.doc_id])
+            assert any(part in r.fixed for r in rows)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from ..shipping import ship
 from .positions import matches, merge_spans, overwrite, spans
 
 #: Overwritten characters. Offsets stay.
@@ -70,6 +71,25 @@ def mask(text: Column, extra: Column | None = None) -> Column:
     return F.coalesce(overwrite(text, found, MARK), F.lit(""))
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """rows as they are, by Arrow batches: Catalyst would put a mask into every use of it, and a plan of several is more than it can take."""
+    ship(rows.sparkSession)
+    return rows.mapInArrow(lambda batches: batches, rows.schema)
+
+
+def protected(docs: DataFrame, text_col: str = "text", ext_col: str | None = None, out: str = "masked") -> DataFrame:
+    """docs with out: the text with all ranges overwritten, those of its format (ext_col) and of defined labels too.
+
+    Without ext_col a text has no format, as a commit message.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    extra = label_ranges(text)
+    if ext_col:
+        docs = docs.withColumn("__ts_format", format_ranges(text, F.coalesce(F.col(ext_col), F.lit(""))))
+        extra = F.concat(extra, F.col("__ts_format"))
+    return apart(docs.withColumn(out, mask(text, extra)).drop("__ts_format"))
+
+
 @F.pandas_udf(ArrayType(StructType([StructField("s", IntegerType()), StructField("e", IntegerType())])))
 def format_ranges(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ranges that depend on the format (md, rst, adoc) and on the lines before: a state per line."""
@@ -173,6 +193,20 @@ def front_matter(text: str) -> list[tuple[int, int]]:
     return [r for r in out if r[0] < r[1]]
 
 
+def label_ranges(text: Column) -> Column:
+    """The ranges of reference_labels within one text, as a column; a definition in code does not count."""
+    label = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    prose = F.regexp_replace(text, r"(?s)```.*?```|~~~.*?~~~|`[^`\n]*`", MARK)
+    defined = F.transform(F.regexp_extract_all(prose, F.lit(r"(?m)^ {0,3}\[([^\]\n]+)\]:[ \t]+\S"), 1), label)
+    first, second = lambda m: F.regexp_extract(m["hit"], r"^\[([^\]]*)\]", 1), lambda m: F.regexp_extract(m["hit"], r"\]\[([^\]]*)\]$", 1)
+    known = lambda c: F.array_contains(defined, label(c))
+    end = lambda m: (m["start"] + F.length(m["hit"])).alias("e")
+    two = F.filter(matches(text, r"\[[^\[\]\n]{0,999}\]\[[^\[\]\n]{0,999}\]"), lambda m: known(F.when(second(m) == "", first(m)).otherwise(second(m))))
+    one = F.filter(matches(text, r"(?<!\])\[[^\[\]\n]{0,999}\](?![(\[])"), lambda m: known(F.regexp_extract(m["hit"], r"^\[([^\]]*)\]", 1)))
+    spans_two = F.transform(two, lambda m: F.struct(F.when(second(m) == "", m["start"]).otherwise(m["start"] + F.length(first(m)) + 2).alias("s"), end(m)))
+    return F.when(text.contains("]:"), F.concat(spans_two, spans(one))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+
+
 def reference_labels(docs: DataFrame, doc: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc, s, e) of [text][label], [label][] and [label] whose label the document defines: a semi-join."""
     label = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))

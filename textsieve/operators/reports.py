@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import particles
 from ..functions.hangul import count_hangul, dense_length
-from . import scan
+from . import masks, scan
 from .identifiers import GLUED, SEPARATED, birth_date, fold, redacted
 from .positions import matches, rebuild
 from .stats import classify, hangul_share, strip_noise
@@ -38,12 +38,18 @@ def answer_kind(name: Column, catch: str, clean: str) -> Column:
     return F.when(name.rlike(catch), "catch").when(name.rlike(clean), "falsePositive")
 
 
-def fix_texts(docs: DataFrame, rules, *, doc: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with fixed: particles, then terms, then particles again where a term changed."""
-    first = docs.withColumn("__one", F.coalesce(particles.fix_particles(F.col(text_col), particles.particle_errors(F.col(text_col))), F.lit("")))
-    terms = scan.apply_fixes(first, rules, doc=doc, text_col="__one")
-    again = particles.fix_particles(F.col("fixed"), particles.particle_errors(F.col("fixed")))
-    return terms.withColumn("fixed", F.when(F.col("n_fixed") > 0, again).otherwise(F.col("fixed"))).drop("__one", "changes")
+def fix_texts(docs: DataFrame, rules, *, doc: str = "doc_id", text_col: str = "text", ext_col: str | None = None) -> DataFrame:
+    """docs with fixed: particles, then terms, then particles again where a term changed. What is masked stays."""
+
+    def particles_fixed(rows, col):
+        rows = masks.apart(masks.protected(rows, col, ext_col, "__masked").withColumn("__errors", particles.particle_errors(F.col("__masked"), F.col(col))))
+        return rows, F.coalesce(particles.fix_particles(F.col(col), F.col("__errors")), F.lit(""))
+
+    rows, once = particles_fixed(docs, text_col)
+    rows = masks.protected(masks.apart(rows.withColumn("__one", once).drop("__masked", "__errors")), "__one", ext_col, "__masked")
+    terms = scan.apply_fixes(rows, rules, doc=doc, text_col="__masked", original="__one")
+    rows, again = particles_fixed(masks.apart(terms.drop("__one", "__masked", "changes")), "fixed")
+    return rows.withColumn("fixed", F.when(F.col("n_fixed") > 0, again).otherwise(F.col("fixed"))).drop("__masked", "__errors")
 
 
 def redact_line(line: Column) -> Column:

@@ -129,17 +129,18 @@ def particle_risk(bad: Column, good: Column, after: Column, before: Column) -> C
     )
 
 
-def apply_fixes(docs: DataFrame, rules, *, doc: str = "doc_id", text_col: str = "masked") -> DataFrame:
+def apply_fixes(docs: DataFrame, rules, *, doc: str = "doc_id", text_col: str = "masked", original: str | None = None) -> DataFrame:
     """docs with fixed (text), n_fixed and changes (start, len, new).
 
-    Decided from right to left, since the character after a fix can be the first
+    Terms are found in text_col; what stands next to them and the fixed text are
+    of original, a column of equal length (text_col itself, unless named). Decided from right to left, since the character after a fix can be the first
     of the next one; put together from left to right.
     """
     found = lint(docs, rules, doc=doc, text_col=text_col, exhaustive=True).where(F.col("check") == "치환")
     item = F.struct("start", "len", F.col("matched").alias("bad"), F.col("replacement").alias("new"))
     per = found.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("todo"))
     rows = docs.join(per, doc, "left")
-    text = F.col(text_col)
+    text = F.col(original or text_col)
     zero = F.struct(F.lit(-1).alias("at"), F.lit("").alias("head"), F.array().cast("array<struct<start:int,len:int,new:string>>").alias("out"))
 
     def step(acc, x):

@@ -72,6 +72,11 @@ def ko_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, KO_SQL)
 
 
+def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ko_docs with ext: they are read as Markdown."""
+    return ko_docs(spark, sf_dir).withColumn("ext", F.lit("md"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

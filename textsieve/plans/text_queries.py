@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hangul, particles
 from ..operators import masks, rules, scan, stats
 from ..operators.positions import matches, merge_spans, spans
-from .derived import IGNORE, KO_SQL, count, ko_docs, long, table
+from .derived import IGNORE, KO_SQL, count, ko_docs, long, md_docs, table
 
 ALTS = rules.rule_alternatives(rules.RULES)
 PLAIN = [a for a in ALTS if not a["wild"]]
@@ -64,8 +64,8 @@ def lint_findings(spark, d):
 
 
 def fixed_docs(spark, d):
-    docs = masks.without_ignored(ko_docs(spark, d)).withColumn("masked", F.col("text"))
-    return scan.apply_fixes(docs, rules.RULES).select("doc_id", "fixed", "n_fixed")
+    docs = masks.protected(masks.without_ignored(md_docs(spark, d)), ext_col="ext")
+    return scan.apply_fixes(docs, rules.RULES, original="text").select("doc_id", "fixed", "n_fixed")
 
 
 def alternatives_exploded(spark, d):
@@ -143,12 +143,14 @@ def final_sound_words(spark, d):
 
 
 def particle_errors(spark, d):
-    docs = ko_docs(spark, d)
-    return docs.select("doc_id", F.explode(particles.particle_errors(F.col("text"))).alias("e")).select("doc_id", long(F.col("e.start")).alias("start"), "e.matched", "e.correct")
+    docs = masks.protected(masks.without_ignored(md_docs(spark, d)), ext_col="ext")
+    return docs.select("doc_id", F.explode(particles.particle_errors(F.col("masked"), F.col("text"))).alias("e")).select("doc_id", long(F.col("e.start")).alias("start"), "e.matched", "e.correct")
 
 
 def particle_fix(spark, d):
-    docs = ko_docs(spark, d).withColumn("e", particles.particle_errors(F.col("text")))
+    docs = masks.protected(md_docs(spark, d), ext_col="ext")
+    errors = F.when(F.col("text").rlike(masks.IGNORE_FILE), F.array()).otherwise(particles.particle_errors(F.col("masked"), F.col("text")))
+    docs = masks.apart(docs.withColumn("e", errors))
     return docs.select("doc_id", particles.fix_particles(F.col("text"), F.col("e")).alias("text"), long(F.size("e")).alias("n_fixed"))
 
 

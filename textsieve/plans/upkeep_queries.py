@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import masks, reports, review, rules, stats, triage
-from .derived import KO_SQL, count, ko_docs, long, table
+from .derived import KO_SQL, count, ko_docs, long, md_docs, table
 from .record_queries import _HEAD, _values
 from .text_queries import _q
 
@@ -113,7 +113,7 @@ def doc_language(spark, d):
 
 
 def fixed_texts(spark, d):
-    return reports.fix_texts(masks.without_ignored(ko_docs(spark, d)), rules.RULES).select("doc_id", "fixed")
+    return reports.fix_texts(masks.without_ignored(md_docs(spark, d)), rules.RULES, ext_col="ext").select("doc_id", "fixed")
 
 
 def findings_by_line(spark, d):
