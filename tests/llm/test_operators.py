@@ -260,6 +260,26 @@ def test_decontamination_in_parts(spark, monkeypatch):
     assert whole and {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()} == whole
 
 
+def test_decontamination_with_a_word_changed():
+    import pyarrow.parquet as pq
+
+    items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()][:60]
+    noise = [f"n{i}" for i in range(300)]
+    for n, text in items:
+        question, answer = decontam.split_item(text)
+        words = question + answer
+        for p in range(len(words)):
+            shares = decontam.overlaps(question, answer, noise[:40] + words[:p] + ["zzz"] + words[p + 1 :] + noise[40:80])
+            assert len(words) < decontam.RUN or decontam.verified(question, answer, shares), (n, p)
+        assert not decontam.verified(question, answer, decontam.overlaps(question, answer, noise))
+        half = words[: len(words) // 2] + noise[:40]
+        assert not decontam.verified(question, answer, decontam.overlaps(question, answer, half))
+    index = decontam.Index([(1, "Alpha beta gamma delta epsilon zeta. Eta theta.")], 1, decontam.Counter(), 8)
+    found = index.search(["n alpha beta gamma delta epsilon zeta eta changed n"], decontam._Memo(index.terms), decontam.MIN_SCORE)
+    assert [f[0] for f in found[0]] == [1]
+    assert decontam.common(list("abcbdab"), list("bdcaba")) == 4
+
+
 # 8 near duplicates
 
 

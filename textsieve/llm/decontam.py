@@ -12,9 +12,10 @@ once; a passage whose sums stay below the threshold in every block is done,
 which is what block-max WAND decides at its pivots, for all blocks in one step.
 For the others WAND moves cursors over the postings and scores the items that
 can reach the threshold.
-Each one found is verified: the share of the question's words, and of the
-answer's (its last sentence), that stand in a run of RUN words which the passage
-has too. One Arrow pass over the texts, no shuffle.
+Each one found is verified by the share of its words that stand in the passage
+aligned: of the whole item, and of the question and of the answer (its last
+sentence) where these have 2 * RUN words or more; a changed word in a shorter
+one would weigh too much. One Arrow pass over the texts, no shuffle.
 
 The index is broadcast in parts of at most PART_WORDS words; each part is a
 pass over the texts, so its size is bounded however many items there are.
@@ -57,17 +58,47 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     return [w for s in parts[:-1] for w in s], parts[-1]
 
 
-def overlap(words: list[str], passage: list[str]) -> float:
-    """Share of words that stand in a run of RUN words which passage has too."""
-    if not words:
-        return 1.0
-    k = min(RUN, len(words))
-    there = {tuple(passage[i : i + k]) for i in range(len(passage) - k + 1)}
-    hit = np.zeros(len(words), dtype=bool)
-    for i in range(len(words) - k + 1):
-        if tuple(words[i : i + k]) in there:
-            hit[i : i + k] = True
-    return float(hit.mean())
+def common(words: list[str], other: list[str]) -> int:
+    """Length of the longest common subsequence, a bit for each of words."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(words):
+        at[w] = at.get(w, 0) | 1 << i
+    full = (1 << len(words)) - 1
+    v = full
+    for w in other:
+        u = v & at.get(w, 0)
+        if u:
+            v = ((v + u) | (v - u)) & full
+    return len(words) - v.bit_count()
+
+
+def overlaps(question: list[str], answer: list[str], passage: list[str]) -> tuple[float, float, float]:
+    """Shares of the question, the answer and both that stand in passage aligned: in order, about as far apart.
+
+    They are aligned with the stretch of passage that most words of the item point to.
+    """
+    words = question + answer
+    if len(words) < RUN:
+        there = any(passage[i : i + len(words)] == words for i in range(len(passage) - len(words) + 1))
+        return (1.0,) * 3 if there else (0.0,) * 3
+    slack = 2 + len(words) // 5
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(passage):
+        places.setdefault(w, []).append(j)
+    votes = np.zeros(len(words) + len(passage))
+    for i, w in enumerate(words):
+        for j in places.get(w, ()):
+            votes[j - i + len(words)] += 1
+    near = np.convolve(votes, np.ones(2 * slack + 1), "same")[: len(votes)] if len(votes) > 2 * slack else votes
+    start = int(np.argmax(near + votes / len(votes) / len(votes))) - len(words)
+    window = passage[max(0, start - slack) : start + len(words) + slack]
+    share = lambda part: common(part, window) / len(part) if part else 1.0
+    return share(question), share(answer), share(words)
+
+
+def verified(question: list[str], answer: list[str], shares: tuple[float, float, float]) -> bool:
+    """The whole item overlaps, and so does each part that is long enough to be judged alone."""
+    return shares[2] >= MIN_OVERLAP and all(x >= MIN_OVERLAP for part, x in zip((question, answer), shares) if len(part) >= 2 * RUN)
 
 
 class Index:
@@ -179,9 +210,9 @@ class Index:
             if not (self.block_max[terms].sum(axis=0) >= min_score).any():
                 continue
             for n, score in self.wand(terms, min_score):
-                q, r = overlap(self.question[n], passage), overlap(self.answer[n], passage)
-                if q >= MIN_OVERLAP and r >= MIN_OVERLAP:
-                    best[i, n] = max(best.get((i, n), (0.0,)), (score, q, r))
+                shares = overlaps(self.question[n], self.answer[n], passage)
+                if verified(self.question[n], self.answer[n], shares):
+                    best[i, n] = max(best.get((i, n), (0.0,)), (score, *shares[:2]))
         for (i, n), v in sorted(best.items()):
             out[i].append((self.ids[n], *v))
         return out
