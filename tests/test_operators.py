@@ -382,3 +382,30 @@ def test_fixed_queries_keep_code_and_links(spark):
         for part in ("`이슈`", "https://example.com/이슈"):
             assert all(part in r.fixed for r in rows if part in texts[r.doc_id])
             assert any(part in r.fixed for r in rows)
+
+
+@pytest.mark.parametrize(
+    ("command", "texts"),
+    [
+        ("git commit -F - <<'EOF'\nbody one\nline\nEOF\necho x", ["body one\nline"]),
+        ("git commit --file=- <<-EOF\n\tbody\n\tEOF", ["\tbody"]),
+        ("cat <<A; git commit -F- <<B\nnot\nA\nyes\nB\n", ["yes"]),
+        ("git commit -F notes.txt", []),
+        ("git commit -mtext -am'more text'", ["text", "more text"]),
+        ("(git commit -m x)", ["x"]),
+        ("( cd a && git commit -m 'x y' )", ["x y"]),
+        ("out=$(git commit -m 'in') && echo", ["in"]),
+        ("$(git commit -m x)", ["x"]),
+        ("git commit -m a -- -m b", ["a"]),
+        ("git commit --message='a b'", ["a b"]),
+        ("sudo -n /usr/bin/git commit -m x", ["x"]),
+        ("bash -lc \"git commit -m \\\"deep\\\"\"", ["deep"]),
+        ("git commit 2>&1 -asvmtext -m=x", ["text", "=x"]),
+        ("git log -m commit -m x", []),
+        ("git commit --amend --fixup=x", []),
+    ],
+)
+def test_commit_targets_of_all_forms(command, texts):
+    got = shell.commit_targets(command)
+    assert [t for _, _, t, _, _ in got] == texts
+    assert all(command[s:e] == t for s, e, t, quote, ok in got if ok and quote != '"')

@@ -299,7 +299,7 @@ def budgeted_body(spark, d):
     return spark.createDataFrame([(k, n) for n, k in enumerate(review.budgeted(rows, 120))], "bad string, place long")
 
 
-COMMANDS = ["git commit -m 'fix the scan'", 'git add . && git commit -m "one" -m "two \\"quoted\\""', "git commit --message=short", "ls -la; echo git commit", "bash -c 'git commit -m \"inner\"'", "FOO=1 git -C dir commit -am done", "git commit -m \"$(cat <<'EOF'\nbody line\nEOF\n)\""]
+COMMANDS = ["git commit -m 'fix the scan'", 'git add . && git commit -m "one" -m "two \\"quoted\\""', "git commit --message=short", "ls -la; echo git commit", "bash -c 'git commit -m \"inner\"'", "FOO=1 git -C dir commit -am done", "git commit -m \"$(cat <<'EOF'\nbody line\nEOF\n)\"", "git commit -F - <<'EOF'\nfrom a file\nEOF", "git commit -mattached", "(git commit -m group)", "out=$(git commit -m 'in a subshell')", "git commit -m first -- -m path"]
 
 
 def commit_targets(spark, d):
