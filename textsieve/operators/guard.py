@@ -61,7 +61,9 @@ def decisions(events: DataFrame, rules=R.RULES, *, block: bool = True) -> DataFr
     """events (tool_name, hook_event_name, tool_input) with n_pii, n_tone and decision.
 
     decision: deny, warn or null. Tone is judged after the call only, on texts in
-    Korean, by the plain alternatives of scanned rules.
+    Korean, by the plain alternatives of scanned rules. This is a part of the tone
+    job: MultiEdit edits and commit messages are not judged, nothing is masked, no
+    boundary, wildcard or particle is looked at, and no fix or block comes before.
     """
     tool, given = F.col("tool_name"), F.col("tool_input")
     n_pii = F.aggregate(pii_targets(tool, given), F.lit(0), lambda a, t: a + resident_count(t["text"], t["kind"] == "path"))
