@@ -222,6 +222,22 @@ def test_pii(spark):
     assert pii.find(empty(spark), pii.fit(empty(spark))).count() == 0
 
 
+def test_quality_takes_lines_out(spark):
+    texts = [f"Common  line here\nown words number {i} are these ten and some more of it\n\n common line HERE" for i in range(40)]
+    rows = [(i, t, "a") for i, t in enumerate(texts)] + [(0, texts[0], "a"), (50, texts[0], "b"), (51, None, "a"), (None, texts[1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality.cleaned(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.source == "a" and r.doc_id != 51:
+            assert r.text == f"own words number {r.doc_id} are these ten and some more of it\n" and r.n_removed_words == 6
+        else:
+            assert r.text == dict((i, t) for i, t, _ in rows)[r.doc_id] and r.n_removed_words == 0
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    key = lambda df: sorted(tuple(r) for r in df.select("doc_id", "n_removed_words", "kept").collect())
+    assert key(quality.cleaned(docs)) == key(quality.judge(docs))
+
+
 # 7 decontamination
 
 

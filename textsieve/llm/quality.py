@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .line_dedup import normalised
-from .stage import join_counted, staged
+from .stage import KEY, join_counted, join_on_key, staged, with_row_key
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 WINDOW = 5
@@ -77,20 +77,56 @@ def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float
     return docs.where(F.col("docs") > min_docs).join(hosts, "host").where(F.col("docs") > max_share * F.col("all_docs")).select("host", "h1", "h2", "rows")
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Rows (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words)."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("\x00null")).alias("host"))
+def _host(host_col: str):
+    return F.coalesce(F.col(host_col).cast("string"), F.lit("\x00null"))
+
+
+def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _host(host_col).alias("host"))
     rows = measures(base).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), F.col("text")), "row": F.monotonically_increasing_id()}).drop("text")
-    rows = staged(rows, "quality")
+    return staged(rows, "quality")
+
+
+def _verdict(words, repeated, removed):
+    """Whether the base rules fail, and whether a document is kept."""
+    left = words - removed
+    failed = (words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * words)
+    depleted = (removed > 0) & ((left < LEFT_WORDS) | (100 * left < LEFT_PERCENT * words))
+    return failed, ~failed & ~depleted
+
+
+def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """docs with the frequent lines of their host out of text, and n_removed_words and kept, which follow from it.
+
+    A row is found again by its id, host and text; rows equal in these get equal results.
+    """
+    rows = _measured(docs, id_col, text_col, host_col).withColumnsRenamed({"doc_id": "__ts_id", "t1": "__ts_h1", "t2": "__ts_h2"})
+    lines = rows.select("__ts_id", "host", "__ts_h1", "__ts_h2", F.inline("__ts_lines"))
+    frequent = staged(frequent_lines(lines.withColumnsRenamed({"__ts_h1": "t1", "__ts_h2": "t2"})), "frequent-lines")
+    keys = [*KEY, "__ts_host"]
+    gone = join_counted(lines, frequent, ["host", "h1", "h2"], "rows").withColumnRenamed("host", "__ts_host").groupBy(*keys).agg(F.collect_set(F.struct("h1", "h2")).alias("__ts_gone"))
+    seen = rows.withColumnRenamed("host", "__ts_host").groupBy(*keys).agg(F.first("n_words").alias("__ts_n"), F.first("n_repeat_words").alias("__ts_r"))
+    found = join_on_key(seen, gone, keys=keys)
+    own = [c for c in docs.columns if c not in ("n_removed_words", "kept")]
+    out = join_on_key(with_row_key(docs.select(*own).withColumn("__ts_host", _host(host_col)), id_col, text_col), found, keys=keys)
+    there = lambda s: F.array_contains("__ts_gone", F.struct(F.xxhash64(normalised(s)).alias("h1"), F.xxhash64(F.lit(7), normalised(s)).alias("h2")))
+    text = F.when(F.col("__ts_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(text_col, "\n", -1), lambda s: ~there(s)), "\n"))
+    words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != ""))
+    out = out.withColumns({"__ts_text": text, "__ts_removed": (F.col("__ts_n") - words).cast("long")}).select(*[F.col("__ts_text").alias(c) if c == text_col else F.col(c) for c in own], "__ts_n", "__ts_r", F.col("__ts_removed").alias("n_removed_words"))
+    _, kept = _verdict(F.col("__ts_n"), F.col("__ts_r"), F.col("n_removed_words"))
+    return out.withColumn("kept", kept).drop("__ts_n", "__ts_r")
+
+
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """Rows (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words): the measures of cleaned, without texts."""
+    rows = _measured(docs, id_col, text_col, host_col)
     lines = rows.select("row", "host", "t1", "t2", F.inline("__ts_lines"))
     frequent = staged(frequent_lines(lines), "frequent-lines")
     gone = join_counted(lines, frequent, ["host", "h1", "h2"], "rows").groupBy("row").agg(F.sum("n").alias("n_removed_words"))
     out = rows.drop("__ts_lines", "host", "t1", "t2").join(gone, "row", "left").drop("row")
     removed = F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long")
-    left = F.col("n_words") - removed
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    depleted = (removed > 0) & ((left < LEFT_WORDS) | (100 * left < LEFT_PERCENT * F.col("n_words")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), removed.alias("n_removed_words"))
+    failed, kept = _verdict(F.col("n_words"), F.col("n_repeat_words"), removed)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), removed.alias("n_removed_words"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
