@@ -39,4 +39,16 @@ def test_drop_staged(spark):
 
     stage.staged(spark.range(3), "gone")
     stage.drop_staged(spark)
-    assert not (Path(stage.shared_dir(spark)) / "textsieve").exists()
+    assert not Path(stage.staged_dir(spark)).exists()
+
+
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://m:7077", applicationId="a"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stage.shared_dir(session)
+    session.sparkContext.master = "local[2]"
+    assert stage.staged_dir(session) == f"{stage.LOCAL_DEFAULT}/textsieve/a"

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import map_arrow
+from .stage import fields, map_arrow
 
 MEMO = 400_000
 CHUNK = 4_000_000
@@ -197,7 +197,7 @@ def _apply(df: DataFrame, tok: Tokenizer, in_col: str, new: list[tuple[str, str]
     shared = spark.sparkContext.broadcast(tok)
     keep = [c for c in df.columns if c not in {n for n, _ in new}]
     src = df.select(*keep) if in_col in keep else df.select(*keep, F.col(in_col))
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{n}` {t}" for n, t in new])
+    schema = fields(df, keep, ", ".join(f"`{n}` {t}" for n, t in new))
 
     def run(batches):
         t = shared.value

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import map_arrow
+from .stage import fields, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the fit: documents sampled, and windows used.
@@ -335,7 +335,7 @@ def find(docs: DataFrame, model: Tagger, *, text_col: str = "text") -> DataFrame
     new = ["base", "spans"]
     keep = [c for c in docs.columns if c not in new]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} array<struct<kind:string,start:int,end:int>>" for c in new])
+    schema = fields(docs, keep, ", ".join(f"{c} array<struct<kind:string,start:int,end:int>>" for c in new))
 
     def run(batches):
         m = shared.value

@@ -6,17 +6,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..shipping import ship
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where the session names no folder and all runs on one machine, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints"
 KEY = ["__ts_id", "__ts_h1", "__ts_h2"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT).rstrip("/")
+    """The folder in spark.checkpoint.dir. Without one there is a default on a single machine, and an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or LOCAL_DEFAULT).rstrip("/")
+
+
+def staged_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/textsieve/{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -26,14 +35,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     table afterwards depends on the files and not on the plan that made them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textsieve/{name}-{uuid.uuid4().hex}"
+    path = f"{staged_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> None:
-    """Deletes all staged tables, once the frames that read them are done with."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/textsieve")
+    """Deletes the staged tables of this application, once the frames that read them are done with."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -79,7 +88,12 @@ def join_counted(big: DataFrame, small: DataFrame, keys: list[str], rows: str, h
     return big.join(hot, keys).unionByName(rest)
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+def fields(df: DataFrame, keep: list[str], new: str) -> StructType:
+    """The columns keep of df as they are, then those of the DDL string new."""
+    return StructType([df.schema[c] for c in keep] + StructType.fromDDL(new).fields)
+
+
+def map_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     """df.mapInArrow where run may refer to this package."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import map_arrow, staged
+from .stage import fields, map_arrow, staged
 
 #: Bound of the fit: labelled documents read for it.
 MAX_FIT = 20_000
@@ -248,7 +248,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", passages: bo
     new = [("score", "double"), ("predicted", "int"), ("best", "double"), ("n_segments", "long")] + [("passages", "array<struct<start:int,end:int,score:double>>")] * passages
     keep = [c for c in docs.columns if c not in {n for n, _ in new}]
     out_cols = keep
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out_cols] + [f"`{n}` {t}" for n, t in new])
+    schema = fields(docs, out_cols, ", ".join(f"`{n}` {t}" for n, t in new))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
     cut = -math.log(SIGNIFICANT)
 
