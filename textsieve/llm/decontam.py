@@ -15,10 +15,14 @@ can reach the threshold.
 Each one found is verified by the share of its words that stand in the passage
 aligned: of the whole item, and of the question and of the answer (its last
 sentence) where these have 2 * RUN words or more; a changed word in a shorter
-one would weigh too much. One Arrow pass over the texts, no shuffle.
+one would weigh too much. Texts are searched in Arrow passes without a shuffle.
 
-The index is broadcast in parts of at most PART_WORDS words; each part is a
-pass over the texts, so its size is bounded however many items there are.
+Words, document frequencies and the length of a passage are those of all items,
+counted in Spark with the tokenizer of the search. The index is searched in parts
+of about PART_WORDS words, one part after the other: the driver holds one, each
+is broadcast, searched with in a pass, and let go; so no size grows with the
+number of items, and results do not depend on the parts. A long text is searched
+SEGMENT chunks at a time.
 
 Defined cases: null and empty texts have no passage; null or empty items are
 never found; items shorter than RUN words need their whole sequence; a question
@@ -31,13 +35,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import map_arrow
+from .stage import KEY, fields, join_on_key, map_arrow, staged, with_row_key
 
 K1, B = 1.2, 0.75
 MIN_SCORE = 0.6
@@ -46,6 +51,8 @@ RUN = 5
 #: Items in a block, and blocks in an index at most.
 BLOCK_ITEMS, MAX_BLOCKS = 2, 128
 PART_WORDS = 400_000
+#: Chunks of one text that are searched at a time, and words of all texts.
+SEGMENT, GROUP_WORDS = 2048, 400_000
 MEMO = 400_000
 WORD = re.compile(r"[^\W_]+")
 
@@ -104,13 +111,13 @@ def verified(question: list[str], answer: list[str], shares: tuple[float, float,
 class Index:
     """Postings with impacts, term maxima and block maxima."""
 
-    def __init__(self, items: list[tuple], n_all: int, df_all: Counter, mean_len: float):
-        """items: (id, text) of this part; the rest describes all items."""
+    def __init__(self, items: list[tuple], n_all: int, df_all: Counter, mean_len: float, longest: int | None = None):
+        """items: (id, text) of this part; the rest describes all items. longest: words of the longest one."""
         split = [(i, *split_item(t or "")) for i, t in items]
         split = sorted((x for x in split if x[1]), key=lambda x: (len(x[1]) + len(x[2]), str(x[0])))
         self.ids = [x[0] for x in split]
         self.question, self.answer = [x[1] for x in split], [x[2] for x in split]
-        self.longest = max((len(q) + len(a) for _, q, a in split), default=1)
+        self.longest = longest or max((len(q) + len(a) for _, q, a in split), default=1)
         lists: dict[str, list] = {}
         for n, (_, q, a) in enumerate(split):
             tf = Counter(q + a)
@@ -171,19 +178,46 @@ class Index:
 
     def search(self, texts: list[str | None], memo: dict, min_score: float) -> list[list[tuple]]:
         """For each text its verified items: (item, score, question overlap, answer overlap)."""
-        words = [WORD.findall((t or "").lower()) for t in texts]
-        size = self.longest
+        best: dict[tuple[int, int], tuple] = {}
+        group, size = [], 0
+        for owner, words in self.pieces(texts):
+            if group and size + len(words) > GROUP_WORDS:
+                self._search(group, memo, min_score, best)
+                group, size = [], 0
+            group.append((owner, words))
+            size += len(words)
+        if group:
+            self._search(group, memo, min_score, best)
+        out: list[list[tuple]] = [[] for _ in texts]
+        for (i, n), v in sorted(best.items()):
+            out[i].append((self.ids[n], *v))
+        return out
+
+    def pieces(self, texts: list[str | None]):
+        """(text, words) of SEGMENT chunks and the one after them: the next piece begins with that one."""
+        step = SEGMENT * self.longest
+        for i, text in enumerate(texts):
+            if text and len(text) <= step:
+                if words := WORD.findall(text.lower()):
+                    yield i, words
+            elif text:
+                found = (m.group() for m in WORD.finditer(text.lower()))
+                words = list(islice(found, step + self.longest))
+                while words:
+                    yield i, words
+                    more = list(islice(found, step))
+                    words = words[step:] + more if more else []
+
+    def _search(self, group: list[tuple[int, list[str]]], memo: dict, min_score: float, best: dict) -> None:
+        words, size = [w for _, w in group], self.longest
+        if len(memo) > MEMO:
+            memo.clear()
         n_chunks = [-(-len(w) // size) for w in words]
         first = np.concatenate(([0], np.cumsum(n_chunks))).astype(np.int64)
-        out: list[list[tuple]] = [[] for _ in texts]
-        if not first[-1]:
-            return out
         ids, chunk = [], []
         for i, w in enumerate(words):
-            if w:
-                got = np.fromiter(map(memo.__getitem__, w), dtype=np.int64, count=len(w))
-                ids.append(got)
-                chunk.append(first[i] + np.arange(len(w)) // size)
+            ids.append(np.fromiter(map(memo.__getitem__, w), dtype=np.int64, count=len(w)))
+            chunk.append(first[i] + np.arange(len(w)) // size)
         ids, chunk = np.concatenate(ids), np.concatenate(chunk)
         hit = ids >= 0
         pairs = np.unique(chunk[hit] * len(self.block_max) + ids[hit])
@@ -194,15 +228,14 @@ class Index:
         starts = starts + np.arange(first[-1])
         reach = np.zeros(first[-1], dtype=bool)
         last = np.zeros(first[-1], dtype=bool)
-        last[first[1:][np.array(n_chunks) > 0] - 1] = True
+        last[first[1:] - 1] = True
         for b in range(0, self.n_blocks, 64):
             sums = np.add.reduceat(self.block_max[:, b : b + 64][ids], starts, axis=0)
             both = sums.copy()
             both[:-1] += np.where(last[:-1, None], 0, sums[1:])
             reach |= (both >= min_score).any(axis=1)
-        owner = np.searchsorted(first, np.flatnonzero(reach), side="right") - 1
-        best: dict[tuple[int, int], tuple] = {}
-        for c, i in zip(np.flatnonzero(reach).tolist(), owner.tolist()):
+        at = np.flatnonzero(reach)
+        for c, i in zip(at.tolist(), (np.searchsorted(first, at, side="right") - 1).tolist()):
             a = (c - int(first[i])) * size
             passage = words[i][a : a + 2 * size]
             terms = sorted({t for t in map(memo.__getitem__, passage) if t >= 0})
@@ -212,10 +245,8 @@ class Index:
             for n, score in self.wand(terms, min_score):
                 shares = overlaps(self.question[n], self.answer[n], passage)
                 if verified(self.question[n], self.answer[n], shares):
-                    best[i, n] = max(best.get((i, n), (0.0,)), (score, *shares[:2]))
-        for (i, n), v in sorted(best.items()):
-            out[i].append((self.ids[n], *v))
-        return out
+                    at_text = group[i][0]
+                    best[at_text, n] = max(best.get((at_text, n), (0.0,)), (score, *shares[:2]))
 
 
 class _Memo(dict):
@@ -228,69 +259,88 @@ class _Memo(dict):
         return out
 
 
+def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, text, n, words) of the items with words: their number, and each distinct one."""
+
+    def run(batches):
+        for batch in batches:
+            words = [sum(split_item(t or ""), []) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], names=["id", "text", "n", "words"])
+
+    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_arrow(rows, run, fields(rows, ["id", "text"], "n long, words array<string>")).where("n > 0")
+
+
 def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """Index parts, one after the other, of at most PART_WORDS words each.
+    """How many index parts of about PART_WORDS words there are, and the parts, one after the other, each with its terms' frequencies."""
+    rows = staged(item_words(items, id_col, text_col), "items")
+    n_all, total, longest = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
+    parts = max(1, -(-total // PART_WORDS))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)))
+    terms = rows.select("part", F.explode("words").alias("t"))
+    counts = staged(terms.groupBy("t").agg(F.count(F.lit(1)).alias("n")), "frequencies")
 
-    Frequencies are counted over all items in Spark; the driver holds one part
-    and the frequencies of that part's terms.
-    """
-    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[\p{L}\p{N}]+"))
-    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), words.alias("n")).where("n > 0")
-    n_all, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    parts = max(1, -(-total // (PART_WORDS // 2)))
-    for p in range(parts):
-        part = [(r["id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == p).collect()]
-        if parts == 1:
-            df = Counter(w for _, t in part for w in set(WORD.findall(t.lower())))
-        else:
-            own = sorted({w for _, t in part for w in WORD.findall(t.lower())})
-            terms = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0))).alias("t"))
-            mine = rows.sparkSession.createDataFrame([(w,) for w in own], "t string")
-            df = Counter({r["t"]: max(1, r["n"]) for r in terms.join(F.broadcast(mine), "t").groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()})
-        yield Index(part, n_all, df, max(1.0, total / max(1, n_all)))
-
-
-def with_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", min_score: float = MIN_SCORE, columns: list[str] | None = None) -> DataFrame:
-    """columns of docs (all, unless named) with leaks: the items that each row's text holds.
+    def part(p):
+        found = [(r["id"], r["text"]) for r in rows.where(F.col("part") == p).select("id", "text").collect()]
+        mine = terms.where(F.col("part") == p).select("t").distinct()
+        df = Counter({r["t"]: r["n"] for r in counts.join(mine, "t").collect()})
+        return Index(found, n_all, df, total / max(1, n_all) or 1.0, longest)
 
-    A leak is (item, score, question_overlap, answer_overlap), by item order in the index.
-    """
+    return parts, map(part, range(parts))
+
+
+def _searched(docs: DataFrame, index: Index, keep: list[str], text_col: str, item_type, min_score: float) -> tuple[DataFrame, object]:
+    """The columns keep of docs with __ts_leaks, by one index; and the broadcast."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    names = ("item_id", "score", "question_overlap", "answer_overlap")
+    kind = pa.list_(pa.struct([("item_id", to_arrow_type(item_type)), *((n, pa.float64()) for n in names[1:])]))
+    src = docs.select(*[F.col(c).alias(c) for c in dict.fromkeys([*keep, text_col])])
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        ix = shared.value
+        memo = _Memo(ix.terms)
+        for batch in batches:
+            step = max(1, 2_000_000 // max(1, batch.nbytes // max(1, batch.num_rows)))
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                at = part.schema.get_field_index
+                found = ix.search(part.column(at(text_col)).to_pylist(), memo, min_score)
+                rows = pa.array([[dict(zip(names, f)) for f in fs] for fs in found], kind)
+                yield pa.RecordBatch.from_arrays([part.column(at(c)) for c in keep] + [rows], names=[*keep, "__ts_leaks"])
+
+    schema = fields(src, keep, f"__ts_leaks array<struct<item_id:{item_type.simpleString()},score:double,question_overlap:double,answer_overlap:double>>")
+    return map_arrow(src, run, schema), shared
+
+
+def with_leaks(docs: DataFrame, items: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", min_score: float = MIN_SCORE, columns: list[str] | None = None) -> DataFrame:
+    """columns of docs (all, unless named) with leaks: the items that each row's text holds.
+
+    A leak is (item, score, question_overlap, answer_overlap). One part is one
+    pass and no join; of several each writes what it finds, which is few rows, and
+    these join back by the row's id and text.
+    """
     columns = [c for c in (columns or docs.columns) if c != "leaks"]
     item_type = items.schema[item_col].dataType
-    kind = pa.list_(pa.struct([("item_id", to_arrow_type(item_type)), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
-    ddl = f"array<struct<item_id:{item_type.simpleString()},score:double,question_overlap:double,answer_overlap:double>>"
-    names = ("item_id", "score", "question_overlap", "answer_overlap")
-    parts = list(indexes(items, item_col))
-    out = docs.select(*[F.col(c).alias(c) for c in dict.fromkeys([*columns, text_col])])
-    for n, index in enumerate(parts):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        own = f"__ts_leaks{n}"
-        keep = out.columns if n + 1 < len(parts) else [c for c in out.columns if c in columns or c.startswith("__ts_leaks")]
-
-        def run(batches, shared=shared, keep=keep, own=own):
-            ix = shared.value
-            memo = _Memo(ix.terms)
-            for batch in batches:
-                step = max(1, 2_000_000 // max(1, batch.nbytes // max(1, batch.num_rows)))
-                for a in range(0, batch.num_rows, step):
-                    if len(memo) > MEMO:
-                        memo.clear()
-                    part = batch.slice(a, step)
-                    at = part.schema.get_field_index
-                    found = ix.search(part.column(at(text_col)).to_pylist(), memo, min_score)
-                    rows = pa.array([[dict(zip(names, f)) for f in fs] for fs in found], kind)
-                    yield pa.RecordBatch.from_arrays([part.column(at(c)) for c in keep] + [rows], names=[*keep, own])
-
-        schema = ", ".join([f"`{c}` {out.schema[c].dataType.simpleString()}" for c in keep] + [f"`{own}` {ddl}"])
-        out = map_arrow(out, run, schema)
-    return out.select(*columns, F.concat(*[f"__ts_leaks{n}" for n in range(len(parts))]).alias("leaks"))
+    n_parts, parts = indexes(items, item_col)
+    if n_parts == 1:
+        found, _ = _searched(docs, next(parts), columns, text_col, item_type, min_score)
+        return found.withColumnRenamed("__ts_leaks", "leaks")
+    keyed, leaks = with_row_key(docs, id_col, text_col), None
+    for index in parts:
+        found, shared = _searched(keyed, index, KEY, text_col, item_type, min_score)
+        found = staged(found.where(F.size("__ts_leaks") > 0).distinct(), "leaks")
+        shared.destroy()
+        leaks = found if leaks is None else leaks.unionByName(found)
+    leaks = staged(leaks.groupBy(*KEY).agg(F.flatten(F.collect_list("__ts_leaks")).alias("leaks")), "leaks")
+    out = join_on_key(keyed.drop("leaks"), leaks)
+    return out.select(*columns, F.coalesce("leaks", F.array().cast(leaks.schema["leaks"].dataType)).alias("leaks"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """Rows (doc_id, item_id, score, question_overlap, answer_overlap) of verified leaks."""
-    return with_leaks(docs, items, columns=[id_col], **options).select(F.col(id_col).alias("doc_id"), F.inline("leaks"))
+    return with_leaks(docs, items, id_col=id_col, columns=[id_col], **options).select(F.col(id_col).alias("doc_id"), F.inline("leaks"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
