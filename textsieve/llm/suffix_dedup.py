@@ -22,8 +22,9 @@ in the same text or another.
 
 Equal texts are searched once. Defined cases: a null text is empty; texts under
 LENGTH bytes lose nothing; a text repeated as a row, with LENGTH bytes or more,
-goes whole (in every copy); a null doc_id is kept as null. Result columns that
-exist are replaced.
+goes whole (in every copy); a null doc_id is kept as null; a very long text is
+searched for anchors in pieces of PIECE bytes. Result columns that exist are
+replaced; any other column passes through (names that begin with __ts_ are taken).
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import join_counted, map_arrow, staged
+from .stage import fields, join_counted, map_arrow, staged
 
 LENGTH, GRAM = 400, 256
+#: Bytes searched for anchors at a time.
+PIECE = 4_000_000
 #: Symbols in a suffix array, but for one large anchor; contexts in a shard of a hot one.
 SHARD = 250_000
 HOT = 1000
@@ -98,7 +101,22 @@ def find_anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length:
     return at, h[at].view(np.int64)
 
 
-def anchors(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
+def find_in_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """find_anchors where one long text is searched piece by piece; each piece has all windows that begin in it."""
+    if len(starts) > 1 or len(data) <= PIECE:
+        return find_anchors(data, starts, ends, length, gram)
+    places, hashes = [], []
+    for a in range(0, len(data), PIECE):
+        part = data[a : a + PIECE + length - 1]
+        if len(part) >= length:
+            at, f = find_anchors(part, np.array([0]), np.array([len(part)]), length, gram)
+            places.append(at + a)
+            hashes.append(f)
+    at, first = np.unique(np.concatenate(places), return_index=True)
+    return at, np.concatenate(hashes)[first]
+
+
+def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Rows (f, c, h1, h2, pos): anchor hash, context hash, text, place."""
     left = length - gram
 
@@ -107,24 +125,35 @@ def anchors(docs: DataFrame, text_col: str, length: int, gram: int) -> DataFrame
             texts, h1, h2 = batch.column(2), batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not batch.num_rows:
                 continue
-            step = max(1, 400_000 // max(1, batch.nbytes // batch.num_rows))
-            for a in range(0, batch.num_rows, step):
-                parts = [(a + i, t) for i, t in enumerate(texts.slice(a, step).to_pylist()) if t is not None and len(t) >= length]
-                if not parts:
-                    continue
+            for parts in portions(texts, length):
                 sizes = np.array([len(t) for _, t in parts])
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
                 blob = b"".join(t for _, t in parts)
-                at, f = find_anchors(np.frombuffer(blob, dtype=np.uint8), starts, ends, length, gram)
+                at, f = find_in_pieces(np.frombuffer(blob, dtype=np.uint8), starts, ends, length, gram)
                 own = np.searchsorted(ends, at, side="right")
                 lo, hi = np.maximum(starts[own], at - left), np.minimum(ends[own], at + length)
                 c = np.fromiter((xxhash.xxh3_64_intdigest(blob[x:y]) for x, y in zip(lo.tolist(), hi.tolist())), dtype=np.uint64, count=len(at)).view(np.int64)
                 row = np.array([i for i, _ in parts])[own]
                 yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(c), pa.array(h1[row]), pa.array(h2[row]), pa.array((at - starts[own]).astype(np.int32))], names=["f", "c", "h1", "h2", "pos"])
 
-    rows = docs.select(*TEXT, F.col(text_col).cast("binary").alias("text"))
-    return map_arrow(rows, run, "f long, c long, h1 long, h2 long, pos int")
+    return map_arrow(docs.select(*TEXT, "text"), run, "f long, c long, h1 long, h2 long, pos int")
+
+
+def portions(texts: pa.Array, length: int, size: int = 400_000):
+    """Lists of (row, text) of texts with length bytes or more: about size bytes together, or one long text."""
+    part, n = [], 0
+    for i, t in enumerate(texts):
+        t = t.as_py()
+        if t is None or len(t) < length:
+            continue
+        if part and n + len(t) > size:
+            yield part
+            part, n = [], 0
+        part.append((i, t))
+        n += len(t)
+    if part:
+        yield part
 
 
 def _packed(data: np.ndarray, bits: int, room: int) -> tuple[np.ndarray, int]:
@@ -301,12 +330,12 @@ def intervals(flags: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) + length) for a, b in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)])]
 
 
-def contexts(docs: DataFrame, wanted: DataFrame, copies: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
+def contexts(docs: DataFrame, wanted: DataFrame, copies: DataFrame, length: int, gram: int) -> DataFrame:
     """Rows (f, salt, salts, c, h1, h2, place, many, left, right) of the wanted occurrences."""
     flank = length - gram
     by_text = wanted.groupBy(*TEXT).agg(F.collect_list(F.struct("f", "salt", "salts", "c", "pos", "many")).alias("want"))
     by_text = staged(by_text.join(copies, TEXT, "left").withColumn("m", F.coalesce("m", F.lit(1))), "wanted")
-    rows = join_counted(docs.select(*TEXT, F.col(text_col).cast("binary").alias("text")), by_text, TEXT, "m", cold="merge").dropDuplicates(TEXT)
+    rows = join_counted(docs.select(*TEXT, "text"), by_text, TEXT, "m", cold="merge").dropDuplicates(TEXT)
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
     names = ["f", "salt", "salts", "c", "h1", "h2", "place", "many", "left", "right"]
 
@@ -427,16 +456,16 @@ def found_elsewhere(ctx: DataFrame, found: DataFrame, length: int, flank: int) -
     return map_arrow(rows, run, "f long, c long, a int, b int")
 
 
-def repeated_spans(docs: DataFrame, copies: DataFrame, text_col: str, length: int, gram: int) -> DataFrame:
-    """Rows (h1, h2, spans): what each distinct text loses, as (a, b) byte spans that may overlap or pass its end."""
+def repeated_spans(docs: DataFrame, copies: DataFrame, length: int, gram: int) -> DataFrame:
+    """Rows (h1, h2, spans): what each distinct text loses, as (a, b) byte spans that may overlap or pass its end. docs: h1, h2, text."""
     flank = length - gram
-    every = staged(anchors(docs, text_col, length, gram), "anchors-all")
+    every = staged(anchors(docs, length, gram), "anchors-all")
     twice = every.groupBy("f").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     live = staged(join_counted(every, staged(twice, "anchors-found"), ["f"], "m").drop("m").distinct(), "anchors")
     kinds = staged(live.groupBy("f", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("h1", "h2", "pos")).alias("at")), "contexts")
     mixed = kinds.groupBy("f").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     wanted = join_counted(kinds, staged(mixed.withColumn("salts", F.ceil(F.col("k") / HOT).cast("int")), "mixed"), ["f"], "k").select("f", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), "salts", "c", "at.*", (F.col("m") > 1).alias("many"))
-    ctx = staged(contexts(docs, wanted, copies, text_col, length, gram), "context-texts")
+    ctx = staged(contexts(docs, wanted, copies, length, gram), "context-texts")
     found = staged(shard_repeats(ctx, length, flank), "repeats")
     marks = found.where("strings is null").select("f", "c", "a", "b")
     strings = found.where("strings is not null")
@@ -452,16 +481,18 @@ def repeated_spans(docs: DataFrame, copies: DataFrame, text_col: str, length: in
 
 def dedup_substrings(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with kept (binary, the bytes left), n_bytes, n_removed, n_spans."""
-    new = [("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")]
-    cols = [c for c in docs.columns if c not in {n for n, _ in new}]
-    keyed = docs.select(*cols).withColumns({"h1": F.xxhash64(text_col), "h2": F.xxhash64(F.lit(7), F.col(text_col))}) if not {"h1", "h2"} & set(cols) else None
-    if keyed is None:
-        raise ValueError("columns h1 and h2 are taken")
-    copies = staged(keyed.groupBy(*TEXT).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "copies")
-    spans = repeated_spans(keyed, copies, text_col, length, gram)
+    new = ["kept", "n_bytes", "n_removed", "n_spans"]
+    cols = [c for c in docs.columns if c not in new]
+    keys = {"h1": F.xxhash64(text_col), "h2": F.xxhash64(F.lit(7), F.col(text_col))}
+    texts = docs.select(*[c.alias(k) for k, c in keys.items()], F.col(text_col).cast("binary").alias("text"))
+    copies = staged(texts.groupBy(*TEXT).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "copies")
+    spans = repeated_spans(texts, copies, length, gram)
     lost = staged(spans.join(copies, TEXT, "full").select(*TEXT, "spans", (F.col("m") > 1).alias("copied"), F.coalesce("m", F.lit(1)).alias("m")), "lost")
-    rows = join_counted(keyed, lost, TEXT, "m", "left", cold="merge").select(*cols, "spans", F.coalesce("copied", F.lit(False)).alias("copied"))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols] + [f"{n} {t}" for n, t in new])
+    # Names that no column of docs has.
+    own = {c: f"__ts_{c}" for c in [*TEXT, "spans", "copied", "m"]}
+    keyed = docs.select(*cols, *[c.alias(own[k]) for k, c in keys.items()])
+    rows = join_counted(keyed, lost.withColumnsRenamed(own), [own[k] for k in TEXT], own["m"], "left", cold="merge").select(*cols, own["spans"], F.coalesce(own["copied"], F.lit(False)).alias(own["copied"]))
+    schema = fields(docs, cols, "kept binary, n_bytes long, n_removed long, n_spans long")
     at = cols.index(text_col)
 
     def run(batches):
@@ -485,7 +516,7 @@ def dedup_substrings(docs: DataFrame, *, text_col: str = "text", length: int = L
                     sizes.append(len(data))
                     gone.append(len(data) - len(kept[-1]))
                     runs.append(n)
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(cols))] + [pa.array(kept, pa.binary())] + [pa.array(v, pa.int64()) for v in (sizes, gone, runs)], names=cols + [n for n, _ in new])
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(cols))] + [pa.array(kept, pa.binary())] + [pa.array(v, pa.int64()) for v in (sizes, gone, runs)], names=cols + new)
 
     return map_arrow(rows, run, schema)
 
