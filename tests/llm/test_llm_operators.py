@@ -18,7 +18,7 @@ def docs_of(spark, texts, extra=False):
     rows = [(i, t, f"s{i % 3}" if t is not None else None, None, None) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, DOCS)
     if extra:  # columns whose names operators might use
-        for name in ("n", "pos", "hits", "score", "row", "key", "node", "f", "c", "base", "kept", "leaks", "ids", "shard"):
+        for name in ("n", "pos", "hits", "score", "row", "key", "node", "f", "c", "base", "kept", "leaks", "ids", "shard", "h1", "h2", "spans", "m", "copied", "place", "many", "want"):
             df = df.withColumn(name, df.doc_id)
     return df
 
@@ -268,12 +268,58 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs_of(spark, texts), items.where("false")).count() == 0
 
 
+def brute_leaks(items, texts, min_score=decontam.MIN_SCORE):
+    """(text, item) of verified leaks: every passage of every text against every item, all scores worked out."""
+    split = [(i, *decontam.split_item(t or "")) for i, t in items]
+    split = [x for x in split if x[1]]
+    n, mean = len(split), sum(len(q) + len(a) for _, q, a in split) / max(1, len(split))
+    seen = decontam.Counter(w for _, q, a in split for w in set(q + a))
+    size = max((len(q) + len(a) for _, q, a in split), default=1)
+    impacts = []
+    for _, q, a in split:
+        tf = decontam.Counter(q + a)
+        raw = {w: np.log(1 + (n - seen[w] + 0.5) / (seen[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * (len(q) + len(a)) / mean)) for w, f in tf.items()}
+        impacts.append({w: v / sum(raw.values()) for w, v in raw.items()})
+    out = set()
+    for k, text in texts:
+        words = decontam.WORD.findall((text or "").lower())
+        for at in range(0, len(words), size):
+            passage = words[at : at + 2 * size]
+            have = set(passage)
+            for (i, q, a), imp in zip(split, impacts):
+                if sum(v for w, v in imp.items() if w in have) >= min_score - 1e-9 and decontam.verified(q, a, decontam.overlaps(q, a, passage)):
+                    out.add((k, i))
+    return out
+
+
+def test_decontamination_query_equals_brute_force(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = [(r.doc_id, r.item_id) for r in decontam.query(spark, SF).collect()]
+    want = brute_leaks(items, texts)
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
 def test_decontamination_in_parts(spark, monkeypatch):
-    items = spark.read.parquet(f"{SF}/benchmark.parquet")
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    whole = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
-    monkeypatch.setattr(decontam, "PART_WORDS", 1000)
-    assert whole and {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()} == whole
+    """Parts and pieces of long texts change nothing: scores too, and with words that are not ASCII."""
+    words = ["größe", "école", "число", "数据", "İstanbul", "naïve", "Ωmega", "x1", "ﬁne", "straße", "zebra", "mango"]
+    rnd = random.Random(12)
+    items = [(i, " ".join(rnd.choices(words, k=rnd.randint(6, 20))).capitalize() + ". " + " ".join(rnd.choices(words, k=rnd.randint(1, 14)))) for i in range(40)] + [(99, None)]
+    noise = [f"n{i}" for i in range(50)]
+    texts = [" ".join(rnd.choices(noise, k=rnd.randint(0, 900)) + items[rnd.randrange(40)][1].split() + rnd.choices(noise, k=30)) for _ in range(30)] + [None, "", "größe"]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(spark, texts, extra=True)
+    found = []
+    for part, segment in [(10**6, 2048), (100, 2048), (10**6, 3)]:
+        monkeypatch.setattr(decontam, "PART_WORDS", part)
+        monkeypatch.setattr(decontam, "SEGMENT", segment)
+        found.append(sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in decontam.contaminated(docs, df).collect()))
+        out = decontam.with_leaks(docs, df)
+        assert out.columns == [c for c in docs.columns if c != "leaks"] + ["leaks"] and out.count() == len(texts) and out.where("leaks is null").count() == 0
+    monkeypatch.setattr(decontam, "PART_WORDS", 100)
+    assert decontam.indexes(df)[0] > 3
+    assert found[0] and found[0] == found[1] == found[2]
+    assert {x[:2] for x in found[0]} == brute_leaks(items, list(enumerate(texts)))
 
 
 def test_decontamination_with_a_word_changed():
@@ -427,7 +473,7 @@ def test_repeated_substrings(spark, monkeypatch, hot):
     shared = [word(70) for _ in range(4)]
     texts = [None, "", "short", "ab" * 100, "ab" * 60, word(300)] + [word(rnd.randint(0, 80)) + rnd.choice(shared)[: rnd.randint(20, 70)] + word(rnd.randint(0, 80)) + rnd.choice(shared) for _ in range(60)]
     texts += [texts[5], texts[5], "x" * 300]
-    df = docs_of(spark, texts)
+    df = docs_of(spark, texts, extra=True)
     got = {r.doc_id: r for r in suffix_dedup.dedup_substrings(df, length=40, gram=16).collect()}
     for i, w in enumerate(brute_removed([(t or "").encode() for t in texts], 40)):
         r = got[i]
@@ -435,6 +481,25 @@ def test_repeated_substrings(spark, monkeypatch, hot):
     assert suffix_dedup.dedup_substrings(empty(spark)).count() == 0
 
 
+def test_repeated_substrings_query_equals_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in suffix_dedup.query(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r, (n, gone, runs, kept) in zip(rows, brute_removed([(r.text or "").encode() for r in rows], 400)):
+        g = got[r.doc_id]
+        assert (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) == (n, gone, runs, hashlib.sha256(kept).hexdigest()), r.doc_id
+
+
+def test_repeated_substrings_of_long_texts_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 100)
+    rnd = random.Random(13)
+    base = "".join(rnd.choice("abcd") for _ in range(900))
+    texts = [base, base[300:700] + "x" * 90, "y" + base[95:140], None]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup_substrings(df, length=40, gram=16).collect())
+    assert got == sorted(brute_removed([(t or "").encode() for t in texts], 40))
+
+
 def test_suffix_array_and_common_prefixes():
     rnd = random.Random(10)
     for _ in range(60):
