@@ -1,10 +1,45 @@
-"""Matches with their places, interval algebra and piecewise rebuilding, as column expressions."""
+"""Matches with their places, interval algebra and piecewise rebuilding, as column expressions.
+
+All of them take time in proportion to n log n of the matches of a text. Spark's
+array functions copy an array each time something is added to it, so nothing here
+grows one in a fold: places are running sums, which double their reach in every
+pass, and parts of a text are cut from pieces of a fixed size.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+MATCHES = "array<struct<start:int,hit:string>>"
+SPANS = "array<struct<s:int,e:int>>"
+#: Characters in a piece of a text that parts are cut from.
+PIECE = 256
+#: Reaches of the passes of a running sum: enough for a thousand million elements.
+REACHES = f"array({', '.join(str(1 << k) for k in range(30))})"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """values with each element joined by op, which is associative, to all before it."""
+    passes = lambda v: F.filter(F.expr(REACHES), lambda k: k < F.size(v))
+    double = lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= k, op(F.get(acc, i - k), x)).otherwise(x))
+    return let(values, lambda v: F.aggregate(passes(v), v, double))
+
+
+def running_sums(values: Column) -> Column:
+    return running(values, lambda a, b: a + b)
+
+
+def running_max(values: Column) -> Column:
+    return running(values, F.greatest)
+
 
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, hit) of the non-overlapping matches of pattern, start from 0.
@@ -15,16 +50,13 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def matches_of(pieces: Column, hits: Column) -> Column:
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,hit:string>>").alias("out"))
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["piece"])
-        found = F.struct(start.alias("start"), x["hit"].alias("hit"))
-        return F.struct((start + F.length(x["hit"])).alias("at"), F.array_append(acc["out"], found).alias("out"))
+    def placed(h):
+        # Where each match ends: the pieces and matches up to it.
+        ends = running_sums(F.zip_with(h, F.slice(pieces, 1, F.size(h)), lambda x, p: F.length(p) + F.length(x)))
+        found = F.zip_with(h, ends, lambda x, e: F.struct((e - F.length(x)).alias("start"), x.alias("hit")))
+        return F.when(F.size(h) > 0, F.filter(found, lambda m: m["hit"] != "")).otherwise(F.array().cast(MATCHES))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
-    found = F.aggregate(pairs, zero, step)["out"]
-    return F.when(F.size(hits) > 0, F.filter(found, lambda m: m["hit"] != "")).otherwise(F.array().cast("array<struct<start:int,hit:string>>"))
+    return let(hits, placed)
 
 
 def spans(found: Column) -> Column:
@@ -34,15 +66,29 @@ def spans(found: Column) -> Column:
 
 def merge_spans(ranges: Column) -> Column:
     """Union of (s, e) ranges, by s. Ranges that touch stay apart."""
-    empty = F.array().cast("array<struct<s:int,e:int>>")
 
-    def step(acc, r):
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["s"].alias("s"), F.greatest(last["e"], r["e"]).alias("e"))
-        return F.when((F.size(acc) > 0) & (r["s"] < F.try_element_at(acc, F.lit(-1))["e"]), F.array_append(F.slice(acc, 1, F.size(acc) - 1), joined)).otherwise(F.array_append(acc, r))
+    def united(r):
+        def from_ends(e):
+            # A range that begins where all before it have ended begins a new one.
+            heads = F.filter(F.transform(r, lambda x, i: F.when((i == 0) | (x["s"] >= F.get(e, i - 1)), i)), lambda i: i.isNotNull())
+            return let(heads, lambda h: F.transform(h, lambda i, k: F.struct(F.get(r, i)["s"].alias("s"), F.get(e, F.coalesce(F.get(h, k + 1), F.size(r)) - 1).alias("e"))))
+
+        return F.when(F.size(r) < 2, r).otherwise(let(running_max(F.transform(r, lambda x: x["e"])), from_ends))
+
+    return let(F.array_sort(ranges), united).cast(SPANS)
 
-    safe = lambda acc, r: F.when(F.size(acc) == 0, F.array(r)).otherwise(step(acc, r))
-    return F.aggregate(F.array_sort(ranges), empty, safe)
+
+def text_pieces(text: Column) -> Column:
+    """text in pieces of PIECE characters, for part_of: a place in a long string is found by counting from its beginning."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0)
+
+
+def part_of(pieces: Column, start: Column, length: Column) -> Column:
+    """length characters from place start (from 0) of a text in pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    last = F.floor((start + length) / PIECE).cast("int")
+    near = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+    return F.when(length > 0, F.substring(near, start - first * PIECE + 1, length)).otherwise("")
 
 
 def overwrite(text: Column, ranges: Column, mark: str) -> Column:
@@ -52,11 +98,13 @@ def overwrite(text: Column, ranges: Column, mark: str) -> Column:
 
 def rebuild(text: Column, changes: Column) -> Column:
     """text with each (start, len, new) put in place; changes are in order and don't overlap."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc, c):
-        between = F.substring(text, acc["at"] + 1, c["start"] - acc["at"])
-        return F.struct((c["start"] + c["len"]).alias("at"), F.concat(acc["out"], F.array(between, c["new"])).alias("out"))
+    def from_pieces(pieces, c):
+        def piece(x, i):
+            end = F.when(i > 0, F.get(c, i - 1)["start"] + F.get(c, i - 1)["len"]).otherwise(0)
+            return F.concat(part_of(pieces, end, x["start"] - end), x["new"])
+
+        done = F.element_at(c, -1)["start"] + F.element_at(c, -1)["len"]
+        return F.concat(F.array_join(F.transform(c, piece), ""), part_of(pieces, done, F.length(text) - done))
 
-    done = F.aggregate(changes, zero, step)
-    return F.when(F.size(changes) == 0, text).otherwise(F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text))))
+    return let(changes, lambda c: F.when(F.size(c) == 0, text).otherwise(let(text_pieces(text), lambda p: from_pieces(p, c))))
