@@ -57,7 +57,7 @@ def with_row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def join_on_key(left: DataFrame, right: DataFrame, how: str = "left", keys: list[str] | None = None) -> DataFrame:
-    """Joins on keys with nulls equal; right's keys go."""
+    """Joins on keys with nulls equal; right's keys go, its other columns stay."""
     keys = keys or KEY
     other = right.withColumnsRenamed({k: f"{k}_r" for k in keys})
     on = None
