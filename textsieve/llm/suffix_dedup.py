@@ -43,6 +43,8 @@ PIECE = 4_000_000
 #: Symbols in a suffix array, but for one large anchor; contexts in a shard of a hot one.
 SHARD = 250_000
 HOT = 1000
+#: Contexts in a task: their bytes are few for the time that they take.
+TASK_CONTEXTS = 20_000
 TEXT = ["h1", "h2"]
 #: Groups stand in order already; this sort is quick on such.
 SORT = "stable"
@@ -358,7 +360,8 @@ def contexts(docs: DataFrame, wanted: DataFrame, copies: DataFrame, length: int,
 
 def shard_repeats(ctx: DataFrame, length: int, flank: int) -> DataFrame:
     """Rows (f, c, a, b) of repeats, and (f, salt, part, strings) of hot anchors' strings."""
-    rows = ctx.repartition("f", "salt").sortWithinPartitions("f", "salt")
+    tasks = -(-ctx.count() // TASK_CONTEXTS) or 1
+    rows = ctx.repartition(tasks, "f", "salt").sortWithinPartitions("f", "salt")
 
     def emit(group):
         shard = Shard(group, length, flank)
