@@ -1,11 +1,10 @@
 r"""Quality rules with cross-document line frequency.
 
 Base rules look at one text. The cross-document rule hashes normalised lines
-and counts, per host, the distinct documents that carry each; copies of one
-text on a host count once, since whole copies are for the duplicate operators
-to judge. A line above both limits of its host (MIN_DOCS documents, and
-MAX_SHARE of the host's documents) is removed, and a document with too little
-left is depleted and rejected. DataFrame functions only.
+and counts, per host, the distinct documents (rows) that carry each, copies too.
+A line above both limits of its host (MIN_DOCS documents, and MAX_SHARE of the
+host's documents, or ENOUGH_DOCS of them) is removed, and a document with too
+little left is depleted and rejected. DataFrame functions only.
 
 One pass over the texts writes the measures and line hashes to a staged table
 with a row number; frequencies and removals work on that, and a line that very
@@ -26,9 +25,10 @@ from .stage import KEY, join_counted, join_on_key, staged, with_row_key
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 WINDOW = 5
-#: A line goes when more than both of these carry it on one host.
-MIN_DOCS, MAX_SHARE = 20, 0.02
-#: A document with removed lines needs this much left: a short clean text beside one common line stays.
+#: A line goes when more than MIN_DOCS documents of one host carry it, and more than the share or ENOUGH_DOCS.
+MIN_DOCS, MAX_SHARE, ENOUGH_DOCS = 20, 0.02, 10_000
+#: A document with removed lines needs this much left. The base rule's ten words would reject seven times as many
+#: documents that are labelled good, all of them short texts beside one common line (README has the figures).
 LEFT_WORDS, LEFT_PERCENT = 3, 20
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -69,12 +69,13 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }).drop("__ts_words", "__ts_h1", "__ts_h2", "__ts_h4", "__ts_h5", "__ts_win", "__ts_twice", "__ts_ord", "__ts_at", "__ts_full", "__ts_norm")
 
 
-def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """Rows (host, h1, h2, rows) of the lines above both limits, and how many rows of lines they are. lines: host, h1, h2, t1, t2."""
-    text = ["t1", "t2"]
-    hosts = lines.select("host", *text).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_docs"))
-    docs = lines.groupBy("host", "h1", "h2", *text).agg(F.count(F.lit(1)).alias("rows")).groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.sum("rows").alias("rows"))
-    return docs.where(F.col("docs") > min_docs).join(hosts, "host").where(F.col("docs") > max_share * F.col("all_docs")).select("host", "h1", "h2", "rows")
+def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, enough: int = ENOUGH_DOCS) -> DataFrame:
+    """Rows (host, h1, h2, rows) of the lines above the limits, and how many rows of lines they are. rows: row, host, __ts_lines."""
+    hosts = rows.where(F.size("__ts_lines") > 0).groupBy("host").agg(F.count(F.lit(1)).alias("all_docs"))
+    lines = rows.select("row", "host", F.inline("__ts_lines"))
+    docs = lines.groupBy("host", "h1", "h2", "row").agg(F.count(F.lit(1)).alias("rows")).groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.sum("rows").alias("rows"))
+    above = (F.col("docs") > max_share * F.col("all_docs")) | (F.col("docs") > enough)
+    return docs.where(F.col("docs") > min_docs).join(hosts, "host").where(above).select("host", "h1", "h2", "rows")
 
 
 def _host(host_col: str):
@@ -102,7 +103,7 @@ def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = _measured(docs, id_col, text_col, host_col).withColumnsRenamed({"doc_id": "__ts_id", "t1": "__ts_h1", "t2": "__ts_h2"})
     lines = rows.select("__ts_id", "host", "__ts_h1", "__ts_h2", F.inline("__ts_lines"))
-    frequent = staged(frequent_lines(lines.withColumnsRenamed({"__ts_h1": "t1", "__ts_h2": "t2"})), "frequent-lines")
+    frequent = staged(frequent_lines(rows), "frequent-lines")
     keys = [*KEY, "__ts_host"]
     gone = join_counted(lines, frequent, ["host", "h1", "h2"], "rows").withColumnRenamed("host", "__ts_host").groupBy(*keys).agg(F.collect_set(F.struct("h1", "h2")).alias("__ts_gone"))
     seen = rows.withColumnRenamed("host", "__ts_host").groupBy(*keys).agg(F.first("n_words").alias("__ts_n"), F.first("n_repeat_words").alias("__ts_r"))
@@ -120,8 +121,8 @@ def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Rows (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words): the measures of cleaned, without texts."""
     rows = _measured(docs, id_col, text_col, host_col)
-    lines = rows.select("row", "host", "t1", "t2", F.inline("__ts_lines"))
-    frequent = staged(frequent_lines(lines), "frequent-lines")
+    lines = rows.select("row", "host", F.inline("__ts_lines"))
+    frequent = staged(frequent_lines(rows), "frequent-lines")
     gone = join_counted(lines, frequent, ["host", "h1", "h2"], "rows").groupBy("row").agg(F.sum("n").alias("n_removed_words"))
     out = rows.drop("__ts_lines", "host", "t1", "t2").join(gone, "row", "left").drop("row")
     removed = F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long")
@@ -141,14 +142,14 @@ win AS (SELECT doc_id, p, n, w || chr(1) || lead(w, 1) OVER o || chr(1) || lead(
   FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
 dup AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win WHERE p <= n - {WINDOW}) WHERE c > 1),
 cov AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, p + k AS q FROM dup, range({WINDOW}) r(k)) GROUP BY doc_id),
-l AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS ln FROM d),
+l AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS ln FROM d),
 f AS (SELECT *, lower(trim(regexp_replace(ln, '{SPACE}', ' ', 'g'))) AS norm,
   len(list_filter(string_split_regex(ln, '{SPACE}'), lambda w: w <> '')) AS nw
   FROM l WHERE regexp_matches(ln, '[^\x20\x09-\x0D]')),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT ln) AS n FROM f GROUP BY doc_id),
-h AS (SELECT host, count(DISTINCT t) AS n FROM f GROUP BY host),
-q AS (SELECT host, norm, count(DISTINCT t) AS n FROM f GROUP BY host, norm),
-b AS (SELECT q.host, q.norm FROM q JOIN h USING (host) WHERE q.n > {MIN_DOCS} AND q.n > {MAX_SHARE} * h.n),
+h AS (SELECT host, count(DISTINCT doc_id) AS n FROM f GROUP BY host),
+q AS (SELECT host, norm, count(DISTINCT doc_id) AS n FROM f GROUP BY host, norm),
+b AS (SELECT q.host, q.norm FROM q JOIN h USING (host) WHERE q.n > {MIN_DOCS} AND (q.n > {MAX_SHARE} * h.n OR q.n > {ENOUGH_DOCS})),
 r AS (SELECT f.doc_id, sum(nw) AS n FROM f JOIN b ON f.host = b.host AND f.norm = b.norm GROUP BY f.doc_id),
 m AS (SELECT d.doc_id, len(ws.ws) AS n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
   length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, coalesce(dl.n, 0) AS n_dup_lines,
