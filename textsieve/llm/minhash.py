@@ -10,9 +10,13 @@ r"""MinHash near-duplicate groups.
    node's partners are salted over tasks, each with one copy of its text.
 5. Connected components by alternating large-star and small-star.
 6. Buckets that still hold several components are searched for links that the
-   stars missed. Members meet in blocks, where pairs from different components
-   are verified in place; only links leave. After that every pair of a bucket
-   is in one component, verified, or below what a linked pair's signatures show.
+   stars missed. Their members are dealt into blocks; those outside the bucket's
+   largest component visit every block. Signatures meet first; members whose
+   signatures agree with one of another component meet again with their texts,
+   and there pairs are verified in place; only links leave. After that every pair
+   of a bucket is in one component, verified, or below what a linked pair's
+   signatures show. A bucket of m members with v visitors costs m + v * m / BLOCK
+   rows.
 
 The number of bands follows the threshold: a pair right at it shares no band
 with chance under one in a million.
@@ -26,7 +30,6 @@ no other; rows equal in text are one class. Other columns are not read.
 from __future__ import annotations
 
 import math
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import KEY, join_counted, join_on_key, map_arrow, staged, with_row_key
+from .stage import KEY, fields, join_counted, join_on_key, map_arrow, staged, with_row_key
 
 WORDS, PERCENT = 5, 80
 ROWS, MISS = 4, 1e-6
 MINIMA = 200
 #: Signature agreement this many standard deviations below the threshold still counts.
 SIGMAS = 5
-BLOCK, BLOCK_BYTES, SALT = 1024, 8_000_000, 256
+BLOCK, BLOCK_BYTES, SALT = 256, 8_000_000, 64
 CHUNK = 60_000
+#: Rounds of the stars; they halve the height of a component, so there are far fewer.
+MAX_ROUNDS = 100
 
 
 def bands_for(percent: int) -> int:
@@ -132,29 +137,31 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, n_bands: int)
                     names=["doc_id", "h1", "h2", "n", "c1", "c2", "bands", "signature"],
                 )
 
-    kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h1"), F.xxhash64(F.lit(7), F.col(text_col)).alias("h2"), F.col(text_col).alias("text"))
-    return map_arrow(src, run, f"doc_id {kind}, h1 long, h2 long, n long, c1 long, c2 long, bands array<long>, signature binary")
+    return map_arrow(src, run, fields(src, ["doc_id", "h1", "h2"], "n long, c1 long, c2 long, bands array<long>, signature binary"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) of edges (a, b), a > b, by alternating large-star and small-star.
 
     component is the smallest node reachable. Every pass is written to the
-    shared folder; the loop ends when a pass changes nothing.
+    shared folder; the loop ends when a pass changes nothing. A node with very
+    many edges is joined to its smallest neighbour without moving its edges.
     """
     edges, last = staged(edges.distinct(), "edges"), None
-    while True:
+    for _ in range(MAX_ROUNDS):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "low")
+        large = join_counted(both.where(F.col("v") > F.col("u")), low, ["u"], "n").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = staged(large, "large")
+        low = staged(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        small = join_counted(large, low, ["a"], "n").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = staged(small.where(F.col("a") != F.col("b")).distinct(), "edges")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         last = state
+    raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
@@ -210,68 +217,108 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def missed_links(members: DataFrame, nodes: DataFrame, links: DataFrame, texts: DataFrame, k: int, percent: int, least: int) -> DataFrame:
-    """Links (a, b) between different components that share a bucket.
-
-    Members of a bucket are dealt into blocks of BLOCK members and BLOCK_BYTES of
-    text at most, and any two blocks meet in one task. There each pair from
-    different components is verified, in the first bucket that it shares and if
-    its signatures agree. No pair leaves but a link, and a link joins its two
-    components for the rest of the meeting, so a meeting sends fewer rows than
-    it has members.
+def meeting(rows: DataFrame, payload: list[str]) -> DataFrame:
+    """Rows (key, t, side, s, band, node, component, away, payload) in order of key, block t, side, node.
+
+    rows: key, blocks, band, node, component, away. Side 0 are the members of block t,
+    side 1 those away from the largest component, of block s, which visit it.
     """
-    rows = members.join(links, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
-    rows = rows.join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
-    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes")).where("lo <> hi")
-    open_ = staged(open_.select("key", "m", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "open")
-    rows = join_counted(rows.drop("bytes"), open_, ["key"], "m").drop("m").join(nodes.select("node", "signature", "bands"), "node").join(texts, "node")
-    rows = rows.withColumn("s", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"), (F.col("s") > F.col("t")).alias("side"), "band", "node", "component", "signature", "bands", "text")
-    rows = rows.repartition("key", "s", "t").sortWithinPartitions("key", "s", "t", "node")
-
-    def meet(group):
-        one, band = group[0][1] == group[0][2], group[0][4]
-        side, node, comp = (np.array([r[i] for r in group]) for i in (3, 5, 6))
-        sig = np.frombuffer(b"".join(r[7] for r in group), dtype=np.uint8).reshape(-1, MINIMA)
-        bands = np.array([r[8] for r in group])
-        sets: list = [None] * len(group)
-        out = []
-
-        def of(i):
-            if sets[i] is None:
-                sets[i] = shingle_set(group[i][9], k)
-            return sets[i]
-
-        for i in range(len(group) - 1):
-            # Two blocks meet across; what is inside one meets where it is dealt with itself.
-            other = np.flatnonzero((comp[i + 1 :] != comp[i]) & (one | (side[i + 1 :] != side[i]))) + i + 1
-            if not len(other):
-                continue
-            other = other[(bands[other] == bands[i]).argmax(axis=1) == band]
-            same = (sig[other] == sig[i]).sum(axis=1)
-            other = other[np.argsort(-same, kind="stable")][: int((same >= least).sum())]
-            for j in other.tolist():
-                if comp[i] != comp[j] and linked(of(i), of(j), percent):
-                    out.append((int(max(node[i], node[j])), int(min(node[i], node[j]))))
-                    comp[comp == comp[j]] = comp[i]
-        return out
-
-    def emit(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+    dealt = rows.withColumn("s", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cols = ["s", "band", "node", "component", "away", *payload]
+    home = dealt.select("key", F.col("s").alias("t"), F.lit(0).alias("side"), *cols)
+    visits = dealt.where("away").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"), F.lit(1).alias("side"), *cols)
+    return home.unionByName(visits).repartition("key", "t").sortWithinPartitions("key", "t", "side", "node")
+
+
+def _runs(batch: pa.RecordBatch):
+    """(key, t, side, first row, row after the last) of a batch in order."""
+    if batch.num_rows:
+        ids = [batch.column(i).to_numpy() for i in range(3)]
+        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in ids], axis=0)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
+            yield ids[0][a], ids[1][a], ids[2][a], a, b
+
+
+class Members:
+    """Some members of a bucket in arrays."""
+
+    def __init__(self, batch: pa.RecordBatch, a: int, b: int):
+        part = batch.slice(a, b - a)
+        self.s, self.band, self.node, self.component = (part.column(i).to_numpy().copy() for i in range(3, 7))
+        self.away = np.array(part.column(7).to_pylist())
+        self.signature = np.frombuffer(b"".join(part.column(8).to_pylist()), dtype=np.uint8).reshape(-1, MINIMA)
+        self.bands = np.array(part.column(9).to_pylist())
+        self.texts = part.column(10).to_pylist() if batch.num_columns > 10 else None
+        self.sets: dict[int, np.ndarray] = {}
+
+    def shingles(self, i: int, k: int) -> np.ndarray:
+        if i not in self.sets:
+            self.sets[i] = shingle_set(self.texts[i], k)
+        return self.sets[i]
+
+
+def agree(home: Members, guests: Members, j: int, t: int, least: int) -> np.ndarray:
+    """Members of block t that guest j is held against here: of another component, alike enough, in the first bucket they share."""
+    once = ~home.away | (guests.s[j] > t) | ((guests.s[j] == t) & (guests.node[j] > home.node))
+    other = np.flatnonzero(once & (home.component != guests.component[j]))
+    other = other[(home.signature[other] == guests.signature[j]).sum(axis=1) >= least]
+    return other[(home.bands[other] == guests.bands[j]).argmax(axis=1) == guests.band[j]] if len(other) else other
+
+
+def met(rows: DataFrame, visit, names: list[str]) -> DataFrame:
+    """Rows of longs that visit(key, t, members of the block, guests) gives; the members are held, guests come in batches."""
 
     def run(batches):
-        group: list = []
+        at, home = None, []
         for batch in batches:
-            out = []
-            for r in zip(*(batch.column(i).to_pylist() for i in range(10))):
-                if group and r[:3] != group[0][:3]:
-                    out += meet(group)
-                    group = []
-                group.append(r)
-            yield emit(out)
-        yield emit(meet(group) if group else [])
-
-    return map_arrow(rows, run, "a long, b long").distinct()
+            out: set[tuple] = set()
+            for key, t, side, a, b in _runs(batch):
+                if (key, t) != at:
+                    at, home = (key, t), []
+                part = Members(batch, a, b)
+                if side == 0:
+                    home.append(part)
+                else:
+                    for own in home:
+                        out.update(visit(int(key), int(t), own, part))
+            cols = list(zip(*out)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+    return map_arrow(rows, run, ", ".join(f"{n} long" for n in names)).distinct()
+
+
+def missed_links(members: DataFrame, nodes: DataFrame, links: DataFrame, texts: DataFrame, k: int, percent: int, least: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket; a link joins its two components for the rest of a meeting."""
+    rows = members.join(links, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
+    per = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    open_ = staged(per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds"), "open")
+    rows = join_counted(rows, open_, ["key"], "m").select("key", "band", "node", "component", (F.col("component") != F.col("home")).alias("away"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = staged(rows.join(nodes.select("node", "signature", "bands"), "node"), "open-members")
+
+    def alike(key, t, home, guests):
+        for j in range(len(guests.node)):
+            other = agree(home, guests, j, t, least)
+            if len(other):
+                yield key, int(guests.node[j])
+                yield from ((key, int(n)) for n in home.node[other])
+
+    active = staged(met(meeting(rows, ["signature", "bands"]), alike, ["key", "node"]), "alike")
+    rows = rows.drop("blocks").join(active, ["key", "node"]).join(texts, "node")
+    sizes = active.join(texts.select("node", F.octet_length("text").alias("bytes")), "node").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes"))
+    sizes = staged(sizes.select("key", "m", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "alike-sizes")
+    rows = join_counted(rows, sizes, ["key"], "m")
+
+    def verify(key, t, home, guests):
+        for j in range(len(guests.node)):
+            for i in agree(home, guests, j, t, least).tolist():
+                old, new = home.component[i], guests.component[j]
+                if old != new and linked(home.shingles(i, k), guests.shingles(j, k), percent):
+                    yield int(max(home.node[i], guests.node[j])), int(min(home.node[i], guests.node[j]))
+                    home.component[home.component == new] = old
+                    guests.component[guests.component == new] = old
+            guests.sets.pop(j, None)
+
+    return met(meeting(rows, ["signature", "bands", "text"]), verify, ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, keys: bool = False) -> DataFrame:
