@@ -423,6 +423,8 @@ def brute_components(texts, k, percent):
     ids = sorted(texts)
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
+            if 100 * min(len(sets[a]), len(sets[b])) < percent * max(len(sets[a]), len(sets[b])):
+                continue
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 ra, rb = root(a), root(b)
                 parent[max(ra, rb)] = min(ra, rb)
@@ -449,6 +451,27 @@ def test_near_duplicates(spark, monkeypatch, k, percent):
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_near_duplicates_query_equals_brute_force(spark):
+    """All pairs of all documents of the larger table: a recall of one, and no link too many."""
+    sf = SF.replace("0.001", "0.01")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.query(spark, sf).collect()}
+    assert got == brute_components(texts, 3, 85)
+
+
+def test_links_that_stars_miss(spark, monkeypatch):
+    """A chain whose ends are far apart, and its bucket has other members: every link is found in blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rnd = random.Random(15)
+    base = [f"w{i}" for i in range(120)]
+    chain = [base[: 120 - 2 * i] + [f"t{j}" for j in range(2 * i)] for i in range(20)]
+    other = [[f"{x}{g}" if n % 4 else x for n, x in enumerate(base)] for g in range(6)]
+    texts = {i: " ".join(w) for i, w in enumerate(rnd.sample(chain + other * 2, len(chain) + 12))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    assert got == brute_components(texts, 5, 80)
+
+
 def test_near_duplicates_defined_cases(spark):
     rows = [(1, "same text here"), (1, "same text here"), (None, "same text here"), (None, "lonely words only")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
