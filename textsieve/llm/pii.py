@@ -6,11 +6,14 @@ and @ of at most MAX_FIT documents, with tags from the base spans. It learns the
 forms and surroundings and not the checks, so it also finds such strings that
 the checks turn down.
 
-A span of any kind has a digit or an @. Each text's stretches around those are
-covered by overlapping windows; window emissions are averaged where windows
-overlap, and one Viterbi pass over the whole stretch decodes them, so a span
-that crosses windows is found whole. What overlaps a base span gives way to it.
-Texts go through one Arrow pass with no shuffle.
+A span of any kind has a digit or an @. Each text's stretches, the words with one
+and what stands MARGIN characters around, are covered by overlapping windows;
+window emissions are averaged where windows overlap, and a Viterbi pass decodes
+them, so a span that crosses windows is found whole. A stretch over SEGMENT
+characters is decoded in segments that overlap by LAP on either side; each gives
+the tags of its own part, and spans are read from the tags of the whole stretch.
+What overlaps a base span gives way to it. Texts go through one Arrow pass with
+no shuffle.
 
 Defined cases: a null text is empty and has no spans; without labelled spans in
 the sample the model adds none; rows are independent, so repeated rows get equal
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the fit: documents sampled, and windows used.
 MAX_FIT, MAX_WINDOWS = 4_000, 6_000
 WIDTH, STRIDE, MARGIN = 64, 32, 24
+#: Characters decoded in one go, beside LAP more on either side, multiples of STRIDE; characters decoded together.
+SEGMENT, LAP, GROUP = 2048, 128, 60_000
 HIDDEN, EMBED, STEPS, BATCH, RATE = 12, 12, 300, 64, 0.02
 TAGS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
 ALPHABET = 100
@@ -43,6 +49,7 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ANCHOR = re.compile(r"[0-9@]")
+SPACE = re.compile(r"\s")
 
 
 def luhn(digits: str) -> bool:
@@ -83,10 +90,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of text within MARGIN characters of a digit or @."""
+    """Parts of text within MARGIN characters of a word that has a digit or @."""
     out: list[list[int]] = []
-    for m in ANCHOR.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.start() + MARGIN + 1)
+    at = 0
+    while m := ANCHOR.search(text, at):
+        begin = max(at, 1 + max(text.rfind(c, at, m.start()) for c in " \n\t"))
+        end = SPACE.search(text, m.end())
+        at = end.start() if end else len(text)
+        a, b = max(0, begin - MARGIN), min(len(text), at + MARGIN)
         if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
@@ -94,6 +105,21 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def apart(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """spans that overlap none of base, which is in order of its starts."""
+    starts = [x for x, _, _ in base]
+    ends, last = [], 0  # the farthest end up to each
+    for _, y, _ in base:
+        last = max(last, y)
+        ends.append(last)
+    out = []
+    for s in spans:
+        i = bisect_left(starts, s[1])
+        if not i or ends[i - 1] <= s[0]:
+            out.append(s)
+    return out
+
+
 def codes(part: str) -> np.ndarray:
     """1..95 printable ASCII, 96 other space, 97 other letter, 98 the rest; 0 is padding."""
     cp = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -101,9 +127,9 @@ def codes(part: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def windows(n: int) -> list[int]:
+def windows(n: int, stride: int = STRIDE) -> list[int]:
     """Starts of windows that cover n characters."""
-    return list(range(0, max(1, n - WIDTH + STRIDE), STRIDE))
+    return list(range(0, max(1, n - WIDTH + STRIDE), stride))
 
 
 def _sigmoid(x):
@@ -240,30 +266,50 @@ class Tagger:
 
     def find(self, parts: list[str]) -> list[list[tuple[int, int, int]]]:
         """Spans (start, end, kind) of each part, decoded over its whole length."""
-        out: list[list] = [[] for _ in parts]
         if not self.trained or not parts:
-            return out
-        todo = sorted(range(len(parts)), key=lambda i: len(parts[i]))
-        a = 0
-        while a < len(todo):
-            b, size = a, 0
-            while b < len(todo) and (b == a or size + len(parts[todo[b]]) <= 60_000):
-                size += len(parts[todo[b]])
-                b += 1
-            self._find([(i, parts[i]) for i in todo[a:b]], out)
-            a = b
+            return [[] for _ in parts]
+        tags = [np.zeros(len(p), np.int8) for p in parts]
+        # (part, from, to, characters before from that are decoded with it)
+        todo = [(i, a, min(len(p), a + SEGMENT), min(a, LAP)) for i, p in enumerate(parts) for a in range(0, len(p), SEGMENT)]
+        texts = [parts[i][a - lap : b + LAP] for i, a, b, lap in todo]
+        order = sorted(range(len(todo)), key=lambda n: len(texts[n]))
+        at = 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and (end - at + 1) * len(texts[order[end]]) <= GROUP:
+                end += 1
+            group = order[at:end]
+            for n, found in zip(group, self.decode([texts[n] for n in group])):
+                i, a, b, lap = todo[n]
+                tags[i][a:b] = found[lap : lap + b - a]
+            at = end
+        return [self.read(p, t) for p, t in zip(parts, tags)]
+
+    @staticmethod
+    def read(part: str, tags: np.ndarray) -> list[tuple[int, int, int]]:
+        """The spans of tags, each with a digit or @."""
+        out = []
+        for s in np.flatnonzero(tags % 2 == 1).tolist():
+            rest = tags[s + 1 :]
+            stop = np.flatnonzero(rest[:SEGMENT] != tags[s] + 1)
+            e = s + 1 + (int(stop[0]) if len(stop) else len(rest[:SEGMENT]))
+            while len(stop) == 0 and e < len(part) and tags[e] == tags[s] + 1:
+                e += 1
+            if ANCHOR.search(part, s, e):
+                out.append((s, e, int(tags[s] - 1) // 2))
         return out
 
-    def _find(self, group: list[tuple[int, str]], out: list[list]) -> None:
+    def decode(self, group: list[str]) -> np.ndarray:
+        """Best tags of each text of group, a row each."""
         where, rows = [], []
-        for n, (_, part) in enumerate(group):
+        for n, part in enumerate(group):
             c = codes(part)
             for s in windows(len(c)):
                 row = np.zeros(WIDTH, np.int64)
                 row[: len(c) - s] = c[s : s + WIDTH]
                 rows.append(row)
                 where.append((n, s))
-        length = max(len(p) for _, p in group)
+        length = max(len(p) for p in group)
         sums = np.zeros((len(group), length + WIDTH, TAGS), np.float32)
         seen = np.zeros((len(group), length + WIDTH, 1), np.float32)
         for a in range(0, len(rows), 1024):
@@ -271,20 +317,13 @@ class Tagger:
                 sums[n, s : s + WIDTH] += e
                 seen[n, s : s + WIDTH] += 1
         em = (sums / np.maximum(seen, 1))[:, :length]
-        for n, (_, p) in enumerate(group):
+        for n, p in enumerate(group):
             em[n, len(p) :, 1:] = -1e4
             em[n, len(p) :, 0] = 0
-        for (i, p), tags in zip(group, self.viterbi(em)):
-            tags = tags[: len(p)]
-            for s in np.flatnonzero(tags % 2 == 1).tolist():
-                e = s + 1
-                while e < len(p) and tags[e] == tags[s] + 1:
-                    e += 1
-                if ANCHOR.search(p, s, e):
-                    out[i].append((s, e, int(tags[s] - 1) // 2))
+        return self.viterbi(em)
 
 
-def labelled_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def labelled_windows(texts: list[str], stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Codes and tags of the windows around digits and @, tags from base spans."""
     xs, ys = [], []
     for text in texts:
@@ -295,7 +334,7 @@ def labelled_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 if a <= s and e <= b and not tags[s - a : e - a].any():
                     tags[s - a] = 1 + 2 * k
                     tags[s - a + 1 : e - a] = 2 + 2 * k
-            for s in windows(b - a):
+            for s in windows(b - a, stride):
                 x, y = np.zeros(WIDTH, np.int64), np.zeros(WIDTH, np.int64)
                 x[: b - a - s], y[: b - a - s] = c[s : s + WIDTH], tags[s : s + WIDTH]
                 if len(y) and y[0] and y[0] % 2 == 0:
@@ -317,12 +356,17 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_
 
     def cut(batches):
         for batch in batches:
-            parts = [t[a:b] for t in batch.column(0).to_pylist() for a, b in stretches(t)[:8]]
+            # A long stretch is learned from in pieces.
+            parts = [t[x : min(b, x + SEGMENT)] for t in batch.column(0).to_pylist() for a, b in stretches(t) for x in range(a, b, SEGMENT)]
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], names=["part"])
 
     rows = docs.where(F.col(text_col).rlike("[0-9@]") & (F.xxhash64(id_col, text_col) <= last)).select(text_col)
     parts = [r[0] for r in map_arrow(rows, cut, "part string").distinct().orderBy(F.xxhash64("part"), "part").limit(MAX_WINDOWS).collect()]
-    x, y = labelled_windows(parts)
+    # Of few texts the windows stand closer, so that the model sees spans at many places.
+    for stride in (8, 16, STRIDE):
+        x, y = labelled_windows(parts, stride)
+        if len(x) <= MAX_WINDOWS:
+            break
     model = Tagger()
     if y.any():
         model.fit(x[:MAX_WINDOWS], y[:MAX_WINDOWS])
@@ -352,7 +396,7 @@ def find(docs: DataFrame, model: Tagger, *, text_col: str = "text") -> DataFrame
                         pieces.append(text[a:b])
                 every = [list(b) for b in base]
                 for (n, a), found in zip(places, m.find(pieces)):
-                    every[n] += [(s + a, e + a, k) for s, e, k in found if not any(s + a < y and x < e + a for x, y, _ in base[n])]
+                    every[n] += apart([(s + a, e + a, k) for s, e, k in found], base[n])
                 cols = [pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, e, k in sorted(x, key=lambda v: (v[0], v[2], v[1]))] for x in rows], kind) for rows in (base, every)]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + cols, names=keep + new)
 
