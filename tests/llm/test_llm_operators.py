@@ -284,6 +284,66 @@ def test_pii(spark):
     assert pii.find(empty(spark), pii.fit(empty(spark))).count() == 0
 
 
+def test_viterbi_is_the_best_of_all_tag_sequences():
+    from itertools import product
+
+    rnd = np.random.default_rng(3)
+    model = pii.Tagger()
+    model.p["t"] = rnd.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
+    for _ in range(4):
+        em = rnd.standard_normal((1, 4, pii.TAGS))
+        legal = [t for t in product(range(pii.TAGS), repeat=4) if (t[0] == 0 or t[0] % 2) and all(model.legal[a, b] for a, b in zip(t, t[1:]))]
+        value = lambda t: sum(em[0, i, x] for i, x in enumerate(t)) + sum(model.p["t"][a, b] for a, b in zip(t, t[1:]))
+        assert tuple(model.viterbi(em)[0]) == max(legal, key=value)
+
+
+def test_stretches_and_base_spans_apart():
+    rnd = random.Random(16)
+    for _ in range(300):
+        t = "".join(rnd.choice("ab \n1@") for _ in range(rnd.randint(0, 200)))
+        hit = [False] * len(t)
+        for m in re.finditer(r"[^ \n]*[0-9@][^ \n]*", t):
+            for i in range(max(0, m.start() - pii.MARGIN), min(len(t), m.end() + pii.MARGIN)):
+                hit[i] = True
+        assert [i for a, b in pii.stretches(t) for i in range(a, b)] == [i for i, h in enumerate(hit) if h]
+        span = lambda: (a := rnd.randint(0, 40), a + rnd.randint(1, 9), 0)
+        base, found = sorted(span() for _ in range(rnd.randint(0, 6))), [span() for _ in range(8)]
+        assert pii.apart(found, base) == [s for s in found if not any(s[0] < y and x < s[1] for x, y, _ in base)]
+    assert pii.stretches("x" * 300_000) == [] and pii.stretches("1" * 300_000) == [(0, 300_000)]
+
+
+def test_added_spans_on_planted_texts(spark, monkeypatch):
+    """Held out: strings with the form of personal data that the checks turn down, among numbers that are none."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text")
+    model = pii.fit(docs)
+    rnd = random.Random(17)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    harmless = [lambda: f"in {rnd.randint(1900, 2030)}", lambda: f"page {rnd.randint(1, 999)}", lambda: f"{rnd.randint(0, 23)}:{rnd.randint(10, 59)}", lambda: f"v{rnd.randint(0, 9)}.{rnd.randint(0, 20)}", lambda: f"{rnd.randint(1, 99)}%", lambda: f"${rnd.randint(1, 999)}", lambda: f"{rnd.randint(1, 28)}.{rnd.randint(1, 12)}.", lambda: f"#{digits(5)}"]
+    planted = [lambda: f"{rnd.randint(256, 999)}.{rnd.randint(0, 255)}.{rnd.randint(0, 255)}.{rnd.randint(0, 255)}", lambda: f"+1 (555) {digits(2)}", lambda: " ".join(digits(4) for _ in range(4)), lambda: f"+44 20 {digits(4)} {digits(7)}"]
+    words = ["call", "the", "host", "and", "mail", "of", "card", "today", "or", "near"]
+    right = wrong = caught = n = 0
+    texts = []
+    for _ in range(600):
+        kind = rnd.random() < 0.5
+        core = rnd.choice(planted if kind else harmless)()
+        text = " ".join(rnd.choices(words, k=rnd.randint(3, 9))) + f" {core} " + " ".join(rnd.choices(words, k=rnd.randint(3, 9)))
+        if pii.base_spans(text):
+            continue
+        texts.append(text)
+        at = text.index(core)
+        added = model.find([text])[0]
+        good = [s for s in added if kind and s[0] < at + len(core) and at < s[1]]
+        n, caught, right, wrong = n + kind, caught + bool(good), right + len(good), wrong + len(added) - len(good)
+    print(f"added spans: precision {right / max(1, right + wrong):.2f}, planted found {caught / n:.2f}")
+    assert right / max(1, right + wrong) >= 0.8 and caught / n >= 0.5
+    # Segments change nothing: the same texts joined to one stretch and cut small.
+    joined = [" ".join(f"{t} 1" for t in texts[k : k + 20]) for k in range(0, 200, 20)]
+    whole = model.find(joined)
+    monkeypatch.setattr(pii, "SEGMENT", 5 * pii.STRIDE)
+    assert any(whole) and model.find(joined) == whole
+    assert model.find(["7" * 100_000]) is not None
+
+
 def test_quality_takes_lines_out(spark):
     texts = [f"Common  line here\nown words number {i} are these ten and some more of it\n\n common line HERE" for i in range(40)]
     rows = [(i, t, "a") for i, t in enumerate(texts)] + [(0, texts[0], "a"), (50, texts[0], "b"), (51, None, "a"), (None, texts[1], None)]
