@@ -12,9 +12,14 @@ s) = 1 over the words of clean documents, K comes from their best segments
 chance; a logistic curve over the two, fitted on the labels, gives 0 to 1.
 
 Labels are read only for the fit, from at most MAX_FIT labelled documents (those
-with the smallest hash of the id). Counts of these are aggregated in Spark; the
-driver gets the significant features and two numbers for each document of the
-fit. Scoring is one Arrow pass with no shuffle.
+with the smallest hash of the id), one row for each. Counts of these are
+aggregated in Spark; the driver gets the significant features and two numbers
+for each document of the fit. lambda, K and the curve are cross-fitted: each half
+of the documents is measured with the weights of the other half, where both
+halves have both labels. Scoring is one Arrow pass with no shuffle.
+
+A word is a run of letters; where a script writes no spaces, as Chinese or Thai,
+that is a stretch between signs, and word beginnings are its features.
 
 Defined cases: a null or empty text has no segment and scores what the curve
 gives for none; a null doc_id counts as the empty text in crc32 (held out);
@@ -52,6 +57,13 @@ def held_out(id_col):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of text in lower case, as many as WORD finds in text itself: a few letters grow when lowered."""
+    text = text or ""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
 def features(word: str) -> list[str]:
     return [word] + [f"{word[:k]}~" for k in PREFIXES if len(word) > k]
 
@@ -110,7 +122,7 @@ class Model:
 
     def measure(self, text: str | None) -> tuple[float, float, list, int]:
         """Best normalised score, sum of those beyond chance, segments, words."""
-        words = WORD.findall((text or "").lower())
+        words = words_of(text)
         found = segments(self.word_scores(words)) if words else []
         shift = self.log_k + math.log(max(1, len(words)))
         normal = [self.lam * s - shift for _, _, s in found]
@@ -124,29 +136,30 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def feature_counts(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Rows (feature, toxic, clean): documents that have it. Each task sends its own sums."""
+def feature_counts(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", fold_col: str = "fold") -> DataFrame:
+    """Rows (feature, fold, toxic, clean): documents that have it. Each task sends its own sums."""
 
     def run(batches):
-        sums: tuple[Counter, Counter] = (Counter(), Counter())
+        sums: dict[tuple[int, int], Counter] = {(f, y): Counter() for f in (0, 1) for y in (0, 1)}
         for batch in batches:
-            d = batch.to_pydict()
-            for text, y in zip(d[text_col], d[label_col]):
-                sums[y].update({f for w in set(WORD.findall((text or "").lower())) for f in features(w)})
-            if len(sums[0]) > MEMO or len(sums[1]) > MEMO:
+            for text, y, f in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[f, y].update({x for w in set(words_of(text)) for x in features(w)})
+            if max(map(len, sums.values())) > MEMO:
                 yield from flush(sums)
         yield from flush(sums)
 
     def flush(sums):
-        names = list(sums[0].keys() | sums[1].keys())
-        for a in range(0, len(names), 50_000):
-            part = names[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([sums[1][f] for f in part], pa.int64()), pa.array([sums[0][f] for f in part], pa.int64())], names=["feature", "toxic", "clean"])
-        for s in sums:
+        for f in (0, 1):
+            clean, toxic = sums[f, 0], sums[f, 1]
+            names = list(clean.keys() | toxic.keys())
+            for a in range(0, len(names), 50_000):
+                part = names[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([f] * len(part), pa.int32()), pa.array([toxic[x] for x in part], pa.int64()), pa.array([clean[x] for x in part], pa.int64())], names=["feature", "fold", "toxic", "clean"])
+        for s in sums.values():
             s.clear()
 
-    rows = map_arrow(labelled.select(text_col, F.col(label_col).cast("int").alias(label_col)), run, "feature string, toxic long, clean long")
-    return rows.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    rows = map_arrow(labelled.select(text_col, F.col(label_col).cast("int"), F.col(fold_col).cast("int")), run, "feature string, fold int, toxic long, clean long")
+    return rows.groupBy("feature", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def log_odds(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
@@ -189,53 +202,62 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_fit: int = MAX_FIT, id_col: s
     """A model from labelled rows whose id is not held out."""
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     chosen = usable.groupBy(id_col).agg(F.max(label_col).cast("int").alias("__ts_y")).orderBy(F.xxhash64(id_col), id_col).limit(max_fit)
-    # At most max_fit rows of an id and a label.
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", F.col("__ts_y").alias("toxic"))
-    rows = staged(rows, "toxicity-fit")
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(n) < 2:
-        return Model(constant=float(next(iter(n), 0)))
-    found = log_odds(feature_counts(rows), n[1], n[0]).collect()
-    model = Model(weights={r["feature"]: (r["delta"], r["z"]) for r in found}, constant=None)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    # One row for each id, whatever its texts: at most max_fit.
+    rows = docs.select(F.col(id_col).alias("__ts_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "__ts_id")), "__ts_id")
+    rows = rows.groupBy("__ts_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("__ts_y").alias("toxic"))
+    rows = staged(rows.select("text", "toxic", F.pmod(F.xxhash64("__ts_id"), F.lit(2)).cast("int").alias("fold")), "toxicity-fit")
+    n = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of = lambda y, folds=(0, 1): sum(n.get((f, y), 0) for f in folds)
+    if not (of(0) and of(1)):
+        return Model(constant=float(of(1) > 0))
+    counts = staged(feature_counts(rows), "toxicity-counts")
+
+    def weights(folds):
+        mine = counts.where(F.col("fold").isin(*folds)).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        return {r["feature"]: (r["delta"], r["z"]) for r in log_odds(mine, of(1, folds), of(0, folds)).collect()}
+
+    model = Model(weights=weights((0, 1)), constant=None)
+    cross = all(n.get((f, y), 0) for f in (0, 1) for y in (0, 1))
+    # What measures the documents of fold 0, and of fold 1.
+    judges = [Model(weights=weights((1 - f,)), constant=None) for f in (0, 1)] if cross else [model, model]
+    sc = rows.sparkSession.sparkContext
+    shared = sc.broadcast(judges)
 
     def words(batches):
-        m, seen = shared.value, Counter()
+        seen = Counter()
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, y, f in zip(*(c.to_pylist() for c in batch.columns)):
                 if not y:
-                    v, k = np.unique(np.round(m.word_scores(WORD.findall((text or "").lower())), 2), return_counts=True)
+                    v, k = np.unique(np.round(shared.value[f].word_scores(words_of(text)), 2), return_counts=True)
                     seen.update(dict(zip(v.tolist(), k.tolist())))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.float64()), pa.array(list(seen.values()), pa.int64())], names=["s", "n"])
 
     hist = map_arrow(rows, words, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
     s, k = np.array([r["s"] for r in hist]), np.array([r["n"] for r in hist], dtype=float)
-    if k.sum():
-        model.lam = _lambda(s, k / k.sum())
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    lam = _lambda(s, k / k.sum()) if k.sum() else 1.0
+    for m in (model, *judges):
+        m.lam = lam
+    measured = _measured(rows, sc.broadcast(judges))
+    clean = measured[(measured.toxic == 0) & (measured.n > 0)]
+    # Gumbel: the mean of lambda*S is ln(K n) + 0.5772; best has ln n off already.
+    log_k = float(clean.best.mean() - 0.5772) if len(clean) else 0.0
+    for m in (model, *judges):
+        m.log_k = log_k
+    got = _measured(rows, sc.broadcast(judges))
+    x = np.column_stack([np.ones(len(got)), got.best.clip(-20, 60), np.log1p(got.beyond.clip(lower=0))])
+    model.curve = tuple(float(v) for v in _logistic(x, got.toxic.to_numpy(dtype=float)))
+    return model
 
-    def measured(batches):
-        m = shared.value
-        for batch in batches:
-            got = [m.measure(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[3] for g in got], pa.int64()), batch.column(1)], names=["best", "n", "toxic"])
 
-    got = map_arrow(rows, measured, "best double, n long, toxic int").toPandas()
-    clean = got[(got.toxic == 0) & (got.n > 0)]
-    # Gumbel: the mean of lambda*S is ln(K n) + 0.5772; best has ln n off already.
-    model.log_k = float(clean.best.mean() - 0.5772) if len(clean) else 0.0
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _measured(rows: DataFrame, judges):
+    """best, beyond, n and toxic of each row, in pandas; rows are those of the fit."""
 
-    def final(batches):
-        m = shared.value
+    def run(batches):
         for batch in batches:
-            got = [m.measure(t)[:2] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), batch.column(1)], names=["best", "beyond", "toxic"])
+            got = [judges.value[f].measure(t) for t, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in ((0, pa.float64()), (1, pa.float64()), (3, pa.int64()))] + [batch.column(1)], names=["best", "beyond", "n", "toxic"])
 
-    got = map_arrow(rows, final, "best double, beyond double, toxic int").toPandas()
-    x = np.column_stack([np.ones(len(got)), got.best.clip(-20, 60), np.log1p(got.beyond.clip(lower=0))])
-    model.curve = tuple(float(v) for v in _logistic(x, got.toxic.to_numpy(dtype=float)))
-    return model
+    return map_arrow(rows, run, "best double, beyond double, n long, toxic int").toPandas()
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", passages: bool = True) -> DataFrame:
@@ -263,8 +285,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", passages: bo
                 bests.append(best)
                 counts.append(len(sure))
                 if passages:
-                    # Offsets are those of the lower-cased text, which for a few letters is longer.
-                    spans = [x.span() for x in WORD.finditer(text.lower())] if sure else []
+                    spans = [x.span() for x in WORD.finditer(text)] if sure else []
                     where.append([{"start": spans[a][0], "end": spans[b - 1][1], "score": x} for a, b, x in sure])
             new_cols = [pa.array(probs, pa.float64()), pa.array([int(p >= 0.5) for p in probs], pa.int32()), pa.array(bests, pa.float64()), pa.array(counts, pa.int64())] + [pa.array(where, kind)] * passages
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in out_cols] + new_cols, names=out_cols + [n for n, _ in new])
