@@ -78,6 +78,31 @@ def test_toxicity_defined_cases(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def test_passages_are_places_in_the_text_itself():
+    model = toxicity.Model(weights={"bad": (9.0, 9.0)}, constant=0.5, lam=1.0, log_k=0.0)
+    text = "İİİ ok BAD Bad, fine. STRASSE"
+    assert toxicity.words_of(text) == [w.lower() for w in toxicity.WORD.findall(text)]
+    assert [x[:2] for x in model.measure(text)[2]] == [(2, 4)]
+
+
+def test_toxicity_measures(spark):
+    """lambda is the root it is said to be, the log-odds are those of the formula, and one row of an id is used."""
+    s, p = np.array([-1.0, 0.5, 2.0]), np.array([0.8, 0.15, 0.05])
+    assert abs(float((p * np.exp(toxicity._lambda(s, p) * s)).sum()) - 1) < 1e-9
+    counts = spark.createDataFrame([("x", 30, 2), ("y", 5, 50), ("z", 1, 1)], "feature string, toxic long, clean long")
+    got = {r.feature: r for r in toxicity.log_odds(counts, 100, 900).collect()}
+    prior = 50 * 33 / 1002
+    odds = lambda y, n: np.log(y / (n + 51 - y))
+    delta = odds(30 + prior, 100) - odds(2 + prior, 900)
+    assert set(got) == {"x"} and abs(got["x"].delta - delta) < 1e-9 and abs(got["x"].z - delta / np.sqrt(1 / (30 + prior) + 1 / (2 + prior))) < 1e-9
+    docs = spark.createDataFrame([(i, ("vile nasty " if i % 2 else "calm kind ") * 9) for i in range(200)] + [(1, "calm kind")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, max_fit=100)
+    out = toxicity.score(docs, model).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in out if len(r.text) > 20)
+    assert any(r.passages and r.text[r.passages[0].start : r.passages[0].end].startswith("vile") for r in out)
+
+
 # 2 line dedup
 
 
@@ -664,6 +689,18 @@ def test_suffix_array_and_common_prefixes():
 # the pipeline
 
 
+def brute_line_dedup(rows, min_sites=10):
+    sites, first = {}, {}
+    lines = {r.doc_id: [(ln, re.sub(r"[\x20\x09-\x0D]+", " ", ln).strip(" ").lower()) for ln in r.text.split("\n")] for r in rows}
+    for r in rows:
+        for pos, (_, norm) in enumerate(lines[r.doc_id]):
+            if norm:
+                sites.setdefault(norm, set()).add(r.source)
+                first[norm] = min(first.get(norm, (r.doc_id, pos)), (r.doc_id, pos))
+    gone = {n for n, s in sites.items() if len(s) >= min_sites}
+    return {i: "\n".join(ln for pos, (ln, norm) in enumerate(ls) if norm not in gone or first[norm] == (i, pos)) for i, ls in lines.items()}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
@@ -677,12 +714,16 @@ def test_pipeline_stages(spark):
             want = {r.doc_id for r in toxicity.score(before, model).where("predicted = 0").collect()}
             assert {r.doc_id for r in after.collect()} == want
         if name == "line_dedup":
-            assert after.count() == before.count()
+            want = brute_line_dedup(before.collect())
+            assert {r.doc_id: (r.text, r.n_chars) for r in after.collect()} == {i: (t, len(t)) for i, t in want.items()}
         if name == "near_dedup":
             want = brute_components({r.doc_id: r.text for r in before.collect()}, 5, 80)
             assert {r.doc_id for r in after.collect()} == {i for i, (_, c) in want.items() if c == i}
         if name == "decontamination":
-            assert {r.doc_id for r in after.collect()} <= {r.doc_id for r in before.collect()}
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            texts = {r.doc_id: r.text for r in before.collect()}
+            leaked = {i for i, _ in brute_leaks(items, list(texts.items()))}
+            assert leaked and {r.doc_id for r in after.collect()} == set(texts) - leaked
         before = P.staged(after, "test")
     last = P.STAGES[-1][1](spark, before, SF).collect()
     assert len(last) == before.count() and all(r.round_trip for r in last)
