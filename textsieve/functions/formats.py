@@ -131,7 +131,7 @@ def address_key(address: Column) -> Column:
     first = F.regexp_extract(base, r"^(\S*)", 1)
     name = F.regexp_extract(first, "^(" + "|".join(sorted(CANONICAL, key=lambda n: (-len(n), n))) + ")", 1)
     short = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in CANONICAL.items() for x in kv]), name), F.lit(""))
-    joined = F.when(name == "", base).otherwise(F.concat(short, F.lit(" "), F.substring(base, F.length(name) + 1, F.lit(10_000))))
+    joined = F.when(name == "", base).otherwise(F.concat(short, F.lit(" "), F.right(base, F.length(base) - F.length(name))))
     return F.regexp_replace(joined, r"(?<![0-9])\s+|\s+(?![0-9])", "")
 
 
@@ -153,7 +153,7 @@ def mask_phone(value: Column) -> Column:
 
 def mask_email(value: Column) -> Column:
     at = F.length(value) - F.length(F.substring_index(value, "@", -1))  # with the last @
-    local, domain = F.substring(value, F.lit(1), at - 1), F.substring(value, at, F.lit(10_000))
+    local, domain = F.substring(value, F.lit(1), at - 1), F.right(value, F.length(value) - at + 1)
     keep = F.when(at - 1 <= 2, 0).otherwise(2)
     masked = F.concat(F.substring(local, F.lit(1), keep), F.repeat(F.lit("*"), at - 1 - keep), domain)
     return F.when(at <= 1, F.repeat(F.lit("*"), F.length(value))).otherwise(masked)
@@ -173,5 +173,5 @@ def mask_address(value: Column) -> Column:
     region = F.regexp_extract(text, rf"^({names})", 1)
     whole = F.regexp_extract(text, rf"^((?:{names})(?:\s+[^0-9\s]*[시군구](?=\s|$))*)(?=\s|$)", 1)
     place = F.regexp_replace(F.when(whole != "", whole).otherwise(region), r"\s+", " ")
-    rest = lambda p: F.when(F.trim(F.substring(text, F.length(p) + 1, F.lit(10_000))) == "", p).otherwise(F.concat(p, F.lit(" ****")))
+    rest = lambda p: F.when(F.trim(F.right(text, F.length(text) - F.length(p))) == "", p).otherwise(F.concat(p, F.lit(" ****")))
     return F.when(road != "", rest(road)).when(lot != "", rest(lot)).when(place == "", "****").when(place == text, place).otherwise(F.concat(place, F.lit(" ****")))

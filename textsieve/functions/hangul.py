@@ -117,6 +117,19 @@ def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+#: Conjoining jamo and combining marks: a text without one is composed already.
+LOOSE = r"[\x{300}-\x{36F}\x{1100}-\x{11FF}]"
+
+
+def is_composed(text: Column) -> Column:
+    return ~F.coalesce(text.rlike(LOOSE), F.lit(False))
+
+
+def composed(text: Column) -> Column:
+    """text with syllables and accents composed (NFC); texts without loose marks don't leave the JVM's form."""
+    return F.when(is_composed(text), text).otherwise(nfc(F.when(~is_composed(text), text)))
+
+
 @F.pandas_udf(StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
@@ -149,10 +162,15 @@ def check_digit_count(value: Column, n: int) -> Column:
     return F.struct((reason == "").alias("ok"), reason.alias("reason"))
 
 
-def korean_sort_key(text: Column, width: int = 12) -> Column:
-    """Orders Hangul before Latin, and digit runs by their number."""
+def korean_sort_key(text: Column) -> Column:
+    """Orders Hangul before Latin, and digit runs by their number, however long: each is led by how many digits it has."""
+    text = composed(text)
     digits = F.regexp_extract_all(text, F.lit("[0-9]+"), 0)
     pieces = F.split(text, "[0-9]+", -1)
-    padded = F.transform(digits, lambda d: F.lpad(d, width, "0"))
-    joined = F.array_join(F.flatten(F.zip_with(pieces, padded, lambda p, d: F.array(p, F.coalesce(d, F.lit(""))))), "")
+
+    def counted(d):
+        plain = F.when(d.rlike("^0+$"), "0").otherwise(F.ltrim(d, F.lit("0")))
+        return F.concat(F.lpad(F.length(plain).cast("string"), 10, "0"), plain)
+
+    joined = F.array_join(F.flatten(F.zip_with(pieces, F.transform(digits, counted), lambda p, d: F.array(p, F.coalesce(d, F.lit(""))))), "")
     return F.concat(F.when(F.substring(text, 1, 1).rlike("[가-힣ㄱ-ㅣ]"), "1").when(F.substring(text, 1, 1).rlike("[0-9]"), "0").otherwise("2"), F.lower(joined))

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from ..functions.hangul import SPACE, mostly_non_hangul
 from ..shipping import ship
-from .positions import matches, merge_spans, overwrite, spans
+from .positions import SPANS, let, matches, merge_spans, overwrite, running_sums, spans
 
 #: Overwritten characters. Offsets stay.
 MARK = "\x01"
@@ -21,6 +18,8 @@ URLS, URLS_RE2 = r"(?<![A-Za-z0-9_])https?://[^\s]+", r"\bhttps?://[^\s]+"
 # Extensions of file names that are masked.
 EXTENSIONS = "mjs|cjs|js|ts|tsx|jsx|json|md|py|go|rs|java|kt|rb|sh|bash|zsh|yml|yaml|toml|lock|txt|csv|css|scss|html|sql|env|ini|conf|png|jpe?g|gif|svg|webp|ico|pdf"
 PARTICLES = "을|를|이|가|은|는|과|와|도|의|에서|에게|으로|로서|로써|로|까지|부터|이나|나|이란|란"
+# What may stand around a name or a path, and the patterns of what is never prose; a scan finds what
+# these leave, so their form is part of the result.
 LEAD = "(?<![^\\s(\\[\"'「【（])"
 TAIL = "(?:[)\\]\"'」】）,.:;!?]*(?:" + PARTICLES + "))?[)\\]\"'」】）,.:;!?]*(?=\\s|$)"
 ALWAYS = [
@@ -53,8 +52,6 @@ def without_ignored(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def ranges(text: Column) -> Column:
     """All ranges that are masked whatever the format, merged."""
-    from ..functions.hangul import mostly_non_hangul
-
     found = [spans(matches(text, p)) for p in [*ALWAYS, JOINED, PROMPTS]]
     found.append(spans(F.filter(matches(text, PATHS), lambda m: m["hit"].rlike("[A-Za-z0-9]"))))
     found.append(spans(F.filter(matches(text, LOG_LINES), lambda m: mostly_non_hangul(F.regexp_replace(m["hit"], r"^[^:]*:[ \t]", "")))))
@@ -90,107 +87,122 @@ def protected(docs: DataFrame, text_col: str = "text", ext_col: str | None = Non
     return apart(docs.withColumn(out, mask(text, extra)).drop("__ts_format"))
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("s", IntegerType()), StructField("e", IntegerType())])))
-def format_ranges(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Ranges that depend on the format (md, rst, adoc) and on the lines before: a state per line."""
-    for text, ext in batches:
-        yield pd.Series([[{"s": a, "e": b} for a, b in _format_ranges(t or "", x or "")] for t, x in zip(text, ext)])
+MARKDOWN = ["md", "mdx", "markdown"]
+# Front-matter keys whose values are prose; lines that open and close a listing.
+PROSE_KEYS = ["title", "description", "summary", "excerpt", "subtitle"]
+LISTING_MARKS = ["----", "....", "++++"]
+BLANK = f"^{SPACE}*$"
+HTML_CODE = [r"(?is)<pre[^>]*>.*?</pre>", r"(?is)<code[^>]*>.*?</code>"]
+#: Kinds of line, a letter each, first that fits: blank, list item or other line that is indented like code, fence or
+#: heading, list item, text. A block of indented code is then a pattern over the letters of a text.
+LINE_KINDS = [("B", BLANK), ("J", r"^(?: {4}|\t)\s*(?:[-*+]|\d+[.)])\s+\S"), ("I", r"^(?: {4}|\t)"), ("M", r"^ {0,3}(?:```|~~~|#{1,6}(?:\s|$))"), ("L", r"^\s*(?:[-*+]|\d+[.)])\s+\S")]
+#: After blank lines and no list item, after a fence or heading, or at the beginning; blank lines before count to the match.
+CODE_BLOCK = r"(?:(?:^|(?<=[MTI]))B+|^|(?<=M))[IJ](?:B*[IJ])*"
+#: Kinds of front-matter line: fence, its other end, key of prose, key in Latin letters, key, blank, more of a value, list, remark.
+KEY = r"^[^\s:*#-][^\n:]*:(?=[ \t]|$)"
+HEAD_KINDS = [
+    ("F", r"^---[ \t]*\r?$"), ("E", r"^\.\.\.[ \t]*\r?$"), ("P", rf"^(?:{'|'.join(PROSE_KEYS)})[ \t]*:(?=[ \t]|$)"),
+    ("A", r"^[A-Za-z0-9_][A-Za-z0-9_-]*[ \t]*:(?=[ \t]|$)"), ("K", KEY), ("B", BLANK), ("C", r"^\s+\S"), ("S", r"^-[ \t]"), ("H", "^#"),
+]
+FRONT_MATTER = "^F([PAK][PAKBCSH]*)[FE]"
+
+
+def _kinds(lines: Column, kinds: list[tuple[str, str]], other: str) -> Column:
+    """A letter for each line, as one string."""
+
+    def kind(line):
+        out = F.lit(other)
+        for letter, pattern in reversed(kinds):
+            out = F.when(line.rlike(pattern), letter).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(lines, kind), "")
+
 
+class _Lines:
+    """The lines of a text and where they stand."""
 
-MARKDOWN = {"md", "mdx", "markdown"}
+    def __init__(self, lines: Column, ends: Column):
+        """ends: where each line ends, its line break with it."""
+        self.lines, self.ends = lines, ends
 
+    def begin(self, i: Column) -> Column:
+        return F.when(i > 0, F.get(self.ends, i - 1)).otherwise(0)
 
-def _lines(text: str) -> list[tuple[int, int, str]]:
-    out, at = [], 0
-    for line in text.split("\n"):
-        out.append((at, at + len(line), line))
-        at += len(line) + 1
-    return out
+    def end(self, i: Column) -> Column:
+        return F.get(self.ends, i) - 1
 
+    def span(self, first: Column, last: Column) -> Column:
+        return F.struct(self.begin(first).alias("s"), self.end(last).alias("e"))
 
-def _format_ranges(text: str, ext: str) -> list[tuple[int, int]]:
-    import re
 
-    if ext in MARKDOWN:
-        tags = [m.span() for p in ("pre", "code") for m in re.finditer(rf"<{p}[^>]*>.*?</{p}>", text, re.S | re.I)]
-        return sorted(tags + indented_blocks(text) + front_matter(text))
-    if ext == "rst":
-        lines, blocks = _lines(text), {a: b for a, b in indented_blocks(text)}
-        out = []
-        for n, (a, _, line) in enumerate(lines):
-            if re.match(r"[ \t]*\.\.[ \t]+(?:code-block|code|sourcecode)::", line) or re.match(r"[ \t]*\S.*::[ \t]*$", line):
-                nxt = next((x for x in lines[n + 1 :] if x[2].strip()), None)
-                if nxt and nxt[0] in blocks:
-                    out.append((a, blocks[nxt[0]]))
-        return sorted(set(out))
-    if ext == "adoc":
-        out = []
-        for mark in ("----", "....", "++++"):
-            at = [x for x in _lines(text) if x[2].rstrip(" \t") == mark]
-            out += [(a[0], b[1]) for a, b in zip(at[::2], at[1::2])]
-        return sorted(out)
-    return []
+def _with_lines(text: Column, use) -> Column:
+    return let(F.split(text, "\n", -1), lambda lines: let(running_sums(F.transform(lines, lambda x: F.length(x) + 1)), lambda ends: use(_Lines(lines, ends))))
 
 
-def indented_blocks(text: str) -> list[tuple[int, int]]:
+def _blocks(lines: Column) -> Column:
+    """(before, first, last) of blocks of indented code, by number of line; before: the last line that is not blank, -1 for none."""
+
+    def block(m):
+        blanks = F.length(m["hit"]) - F.length(F.ltrim(m["hit"], F.lit("B")))
+        return F.struct((m["start"] - 1).alias("before"), (m["start"] + blanks).alias("first"), (m["start"] + F.length(m["hit"]) - 1).alias("last"))
+
+    return let(_kinds(lines, LINE_KINDS, "T"), lambda kinds: F.transform(matches(kinds, CODE_BLOCK), block))
+
+
+def indented_blocks(text: Column) -> Column:
     """Blocks indented by four spaces or a tab, after a blank line, a fence or a heading, but not in a list."""
-    import re
-
-    out, open_, after_blank, last = [], None, True, ""
-    for a, b, line in _lines(text):
-        body = line.strip()
-        inside = bool(body) and bool(re.match(r"(?: {4,}|\t)", line))
-        if open_ is not None:
-            if inside:
-                open_[1] = b
-                continue
-            if not body:
-                continue
-            out.append(tuple(open_))
-            open_, last = None, ""
-        if inside and after_blank and not re.match(r"\s*(?:[-*+]|\d+[.)])\s+\S", last):
-            open_ = [a, b]
-            after_blank = False
-            continue
-        mark = bool(re.match(r" {0,3}(?:```|~~~|#{1,6}(?:\s|$))", line))
-        if body:
-            last = "" if mark else line
-        after_blank = not body or mark
-    if open_ is not None:
-        out.append(tuple(open_))
-    return out
-
-
-PROSE_KEYS = ("title", "description", "summary", "excerpt", "subtitle")
-
-
-def front_matter(text: str) -> list[tuple[int, int]]:
+    return _with_lines(text, lambda t: F.transform(_blocks(t.lines), lambda b: t.span(b["first"], b["last"])))
+
+
+def literal_blocks(text: Column) -> Column:
+    """reStructuredText: indented blocks after a code directive or a line that ends in two colons, that line with them."""
+    opens = lambda line: line.rlike(r"^[ \t]*\.\.[ \t]+(?:code-block|code|sourcecode)::") | line.rlike(r"^[ \t]*\S.*::[ \t]*$")
+
+    def found(t):
+        after = F.filter(_blocks(t.lines), lambda b: F.coalesce((b["before"] >= 0) & opens(F.get(t.lines, b["before"])), F.lit(False)))
+        return F.transform(after, lambda b: t.span(b["before"], b["last"]))
+
+    return _with_lines(text, found)
+
+
+def listings(text: Column) -> Column:
+    """AsciiDoc: from each odd line of a mark to the next of the same."""
+
+    def found(t):
+        def pairs(mark):
+            at = F.filter(F.transform(t.lines, lambda x, i: F.when(x.rlike("^" + mark.replace(".", "[.]").replace("+", "[+]") + "[ \t]*$"), i)), lambda i: i.isNotNull())
+            return let(at, lambda a: F.filter(F.transform(a, lambda i, k: F.when((k % 2 == 0) & (k + 1 < F.size(a)), t.span(i, F.get(a, k + 1)))), lambda x: x.isNotNull()))
+
+        return F.concat(*map(pairs, LISTING_MARKS))
+
+    return _with_lines(text, found)
+
+
+def front_matter(text: Column) -> Column:
     """Front matter but for the values of prose keys."""
-    import re
-
-    lines = _lines(text)
-    if lines[0][2].rstrip() != "---":
-        return []
-    end = next((n for n, x in enumerate(lines[1:], 1) if x[2].rstrip() in ("---", "...")), None)
-    body = lines[1:end] if end else []
-    key = re.compile(r"[^\s:*#-][^\n:]*:(?=[ \t]|$)")
-    if not body or not key.match(body[0][2]):
-        return []
-    if any(x[2].strip() and not key.match(x[2]) and not re.match(r"\s+\S|-[ \t]|#", x[2]) for x in body):
-        return []
-    if not any(re.match(r"[A-Za-z0-9_-]+[ \t]*:(?=[ \t]|$)", x[2]) for x in body):
-        return []
-    out, prose = [(0, lines[1][0])], False
-    for a, b, line in body:
-        m = re.match(rf"(?:{'|'.join(PROSE_KEYS)})[ \t]*:", line)
-        if m:
-            out.append((a, a + m.end()))
-            prose = True
-        elif not (prose and re.match(r"\s+\S", line)):
-            out.append((a, b))
-            prose = False
-    out.append((lines[end][0], lines[end][1]))
-    return [r for r in out if r[0] < r[1]]
+
+    def found(t):
+        def ranges(kinds):
+            body = F.regexp_extract(kinds, FRONT_MATTER, 1)
+            # What goes on after a prose key is prose.
+            shown = F.split(F.regexp_replace(body, r"(?<=P)C|(?!^)\GC", "V"), "")
+            rows = F.transform(shown, lambda k, i: F.when(k == "V", None).when(k == "P", F.struct(t.begin(i + 1).alias("s"), (t.begin(i + 1) + F.locate(":", F.get(t.lines, i + 1))).alias("e"))).otherwise(t.span(i + 1, i + 1)))
+            n = F.length(body)
+            ends = F.array(F.struct(F.lit(0).alias("s"), t.begin(F.lit(1)).alias("e")), t.span(n + 1, n + 1))
+            whole = F.filter(F.concat(rows, ends), lambda r: r["s"] < r["e"])
+            return F.when(body.rlike("[PA]"), whole).otherwise(F.array().cast(SPANS))
+
+        return let(_kinds(t.lines, HEAD_KINDS, "X"), ranges)
+
+    return F.when(text.rlike(r"^---[ \t]*\r?\n"), _with_lines(text, found)).otherwise(F.array().cast(SPANS))
+
+
+def format_ranges(text: Column, ext: Column) -> Column:
+    """Ranges that depend on the format (md, rst, adoc) and on the lines before."""
+    html = [spans(matches(text, p)) for p in HTML_CODE]
+    ext, none = F.lower(ext), F.array().cast(SPANS)
+    return F.when(ext.isin(MARKDOWN), F.concat(*html, indented_blocks(text), front_matter(text))).when(ext == "rst", literal_blocks(text)).when(ext == "adoc", listings(text)).otherwise(none)
 
 
 def label_ranges(text: Column) -> Column:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import particles
-from ..functions.hangul import count_hangul, dense_length
+from ..functions.hangul import composed, count_hangul, dense_length
 from . import masks, scan
 from .identifiers import GLUED, SEPARATED, birth_date, fold, redacted
-from .positions import matches, rebuild
+from .positions import matches, rebuild, running_sums
 from .stats import classify, hangul_share, strip_noise
 
 # Documents shorter than this say nothing about a language; candidates in order.
@@ -63,15 +63,19 @@ def redact_line(line: Column) -> Column:
 def findings_by_line(docs: DataFrame, rules, *, doc: str = "doc_id", text_col: str = "masked") -> DataFrame:
     """Findings with line, col (from 1), the redacted line, and replacement where a fix applies.
 
-    Line and column come from the text before a finding: the rightmost line
-    start that is not after it.
+    Line starts and findings of a document are put in order by place; each finding
+    takes the last line start before it. Only texts with findings are moved.
     """
     found = scan.lint(docs, rules, doc=doc, text_col=text_col)
     fixes = scan.apply_fixes(docs.select(doc, text_col), rules, doc=doc, text_col=text_col).select(doc, F.explode("changes").alias("c")).select(doc, F.col("c.start").alias("start"), F.col("c.new").alias("fix"))
-    rows = found.drop("replacement").join(docs.select(doc, text_col), doc).join(fixes, [doc, "start"], "left")
-    before = F.split(F.substring(F.col(text_col), F.lit(1), F.col("start")), "\n", -1)
-    line = F.get(F.split(text_col, "\n", -1), F.size(before) - 1)
-    return rows.select(doc, F.size(before).cast("long").alias("line"), (F.length(F.element_at(before, -1)) + 1).cast("long").alias("col"), "bad", "good", "matched", F.col("fix").isNotNull().alias("fixable"), F.col("fix").alias("replacement"), redact_line(line).alias("line_text"), (redact_line(line) != line).alias("has_pii"))
+    rows = found.drop("replacement").join(fixes, [doc, "start"], "left").select(doc, F.col("start").alias("at"), F.lit(1).alias("turn"), "bad", "good", "matched", "fix")
+    texts = docs.select(doc, composed(F.col(text_col)).alias("text")).join(found.select(doc).distinct(), doc, "left_semi")
+    lines = texts.select(doc, F.split("text", "\n", -1).alias("lines")).withColumn("ends", running_sums(F.transform("lines", lambda x: F.length(x) + 1)))
+    lines = lines.select(doc, F.posexplode(F.arrays_zip("lines", "ends")).alias("n", "z")).select(doc, (F.col("z.ends") - F.length("z.lines") - 1).alias("at"), F.lit(0).alias("turn"), F.struct((F.col("n") + 1).cast("long").alias("line"), (F.col("z.ends") - F.length("z.lines") - 1).alias("begin"), F.col("z.lines").alias("text")).alias("own"))
+    before = Window.partitionBy(doc).orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.unionByName(lines, allowMissingColumns=True).withColumn("own", F.last("own", True).over(before)).where("turn = 1")
+    line = F.col("own.text")
+    return rows.select(doc, F.col("own.line").alias("line"), (F.col("at") - F.col("own.begin") + 1).cast("long").alias("col"), "bad", "good", "matched", F.col("fix").isNotNull().alias("fixable"), F.col("fix").alias("replacement"), redact_line(line).alias("line_text"), (redact_line(line) != line).alias("has_pii"))
 
 
 def line_suggestions(findings: DataFrame, doc: str = "doc_id") -> DataFrame:

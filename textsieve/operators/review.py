@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .positions import matches
+from .positions import let, matches, running_sums
+from .rules import PRIORITIES
 
 # Characters that end a URL, that it doesn't end with, and pairs of brackets.
 URL = "https?://[^\\s\"'<>\\[\\]{}`*|·\\x{2010}-\\x{206F}ᄀ-ᇿ㄰-㆏가-힣\\x{3000}-\\x{303F}]+"
@@ -13,19 +14,28 @@ TRAILING = ".,;:!?~、。”’\"'》〉」』("
 CLOSERS = {")": "(", "]": "[", "}": "{", ">": "<"}
 
 
-def trim_url(url: Column, rounds: int = 8) -> Column:
-    """url without punctuation and unbalanced closers at its end, one kind after the other, up to rounds times."""
-    count = lambda u, c: F.length(u) - F.length(F.replace(u, F.lit(c)))
+def trim_url(url: Column) -> Column:
+    """url without punctuation and unbalanced closers at its end, until there is none.
 
-    def step(u, _):
-        u = F.rtrim(u, F.lit(TRAILING))
-        last = F.right(u, F.lit(1))
-        drop = F.lit(False)
-        for close, open_ in CLOSERS.items():
-            drop = drop | ((last == close) & (count(u, close) > count(u, open_)))
-        return F.when(drop, F.substring(u, F.lit(1), F.length(u) - 1)).otherwise(u)
+    All that may go is one run of such characters at the end; of it stays what
+    leads up to the last closer that has an opener.
+    """
+    run = F.regexp_extract(url, f"[{_in_class(TRAILING + ''.join(CLOSERS))}]+$", 0)
+    head = F.substring(url, F.lit(1), F.length(url) - F.length(run))
+    count = lambda c: F.length(head) - F.length(F.replace(head, F.lit(c)))
+
+    def balanced(chars, close, open_):
+        # Closers without an opener so far; a closer stays where there is none too many.
+        net = running_sums(F.transform(chars, lambda c: (c == close).cast("int") - (c == open_).cast("int")))
+        stays = F.zip_with(chars, net, lambda c, n: (c == close) & (n + count(close) - count(open_) <= 0))
+        return F.array_max(F.transform(stays, lambda ok, i: F.when(ok, i + 1).otherwise(0)))
+
+    kept = let(F.split(run, ""), lambda chars: F.greatest(*[balanced(chars, c, o) for c, o in CLOSERS.items()]))
+    return F.when(run == "", url).otherwise(F.concat(head, F.substring(run, F.lit(1), kept)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), url, step)
+
+def _in_class(chars: str) -> str:
+    return "".join("\\" + c if c in "\\]^-[" else c for c in chars)
 
 
 def excluded_url(url: Column, own_prefix: str, hosts: list[str]) -> Column:
@@ -108,11 +118,12 @@ def comments(findings: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFram
     return inside, findings.join(lines.select(*keys).distinct(), keys, "left_anti")
 
 
-def issue_fields(issues: DataFrame, key: str, body: str, limit: int = 65_536) -> DataFrame:
+def issue_fields(issues: DataFrame, key: str, body: str) -> DataFrame:
     """Rows (key, label, value) of "### label" sections; fences go, "_No response_" is empty."""
-    text = F.substring(F.replace(F.col(body), F.lit("\r\n"), F.lit("\n")), 1, limit)
+    text = F.replace(F.col(body), F.lit("\r\n"), F.lit("\n"))
     labels = F.regexp_extract_all(text, F.lit(r"(?dm)^### ([^\n]*\S)[ \t]*$"), 1)
-    parts = F.slice(F.split(text, r"(?dm)^### [^\n]*\S[ \t]*$", -1), 2, 10_000)
+    parts = F.split(text, r"(?dm)^### [^\n]*\S[ \t]*$", -1)
+    parts = F.slice(parts, 2, F.size(parts))
     rows = issues.select(key, F.explode(F.arrays_zip(labels.alias("label"), parts.alias("value"))).alias("f")).select(key, F.trim("f.label").alias("label"), F.regexp_replace("f.value", r"^\s+|\s+$", "").alias("value"))
     fenced = F.regexp_replace("value", r"(?s)^(`{3,})[^\n]*\n(.*?)\n\1\s*$", "$2")
     return rows.withColumn("value", F.when(F.col("value") == "_No response_", "").otherwise(F.trim(fenced)))
@@ -125,29 +136,37 @@ def graded(answers: DataFrame) -> DataFrame:
     return answers.groupBy("case", "arm").agg(F.round(F.sum(F.col("weight") * ok) / F.sum("weight"), 6).alias("score"))
 
 
-def budgeted(rows: list[tuple[str, str, str, int]], total: int, share: float = 0.5) -> list[str]:
-    """Keys admitted in order of priority under a character budget, with a heading's cost at its first row.
+def budgeted(rows: list[tuple[str, str, str, int, str]], total: int, prompt_share: float = 0.5) -> list[str]:
+    """Keys admitted under a character budget, in the order of admission.
 
-    rows: (key, lane, heading, cost), by priority. The prompt lane may use share of
-    the budget at first; rows put off are tried again with what is left. A running
-    sum cannot express this: rows left out cost nothing. Hundreds of rows.
+    rows: (key, lane, heading, cost, priority), in order within a priority. Of what
+    is there for rows the prompt lane has prompt_share and the terms the rest; rows
+    alone count against a lane, rows and headings (at their first row) against
+    total. A priority is done before the next begins: what it put off for its lane
+    is tried at its end with whatever is left. A running sum cannot express this,
+    since rows left out cost nothing. Hundreds of rows, on the driver.
     """
-    used, spent, seen, taken, later = 0, {"prompt": 0}, set(), [], []
-    for again in (False, True):
-        for key, lane, heading, cost in later if again else rows:
-            price = cost + (0 if heading in seen else len(heading) + 1)
-            lane_full = lane == "prompt" and not again and spent["prompt"] + price > total * share
-            if lane_full or used + price > total:
-                if not again:
-                    later.append((key, lane, heading, cost))
-                continue
-            used += price
-            spent[lane] = spent.get(lane, 0) + price
-            seen.add(heading)
-            taken.append(key)
+    budget = {"prompt": int(total * prompt_share)}
+    budget["terms"] = total - budget["prompt"]
+    spent, used, headings, taken = {"prompt": 0, "terms": 0}, 0, set(), []
+    for key, lane, heading, cost in attempts(rows):
+        price = cost + (0 if heading in headings else len(heading) + 1)
+        if key in taken or used + price > total or (lane and spent[lane] + cost > budget[lane]):
+            continue
+        used += price
+        if lane:
+            spent[lane] += cost
+        headings.add(heading)
+        taken.append(key)
     return taken
 
 
+def attempts(rows: list[tuple[str, str, str, int, str]]) -> list[tuple[str, str | None, str, int]]:
+    """(key, lane, heading, cost) in the order in which rows are tried: each priority twice, the second time in no lane."""
+    tiers = [[r for r in rows if r[4] == p] for p in PRIORITIES]
+    return [(r[0], lane and r[1], r[2], r[3]) for tier in tiers for lane in (True, None) for r in tier]
+
+
 def escape_cell(value: Column) -> Column:
     """A cell that no spreadsheet takes for a formula, quoted where CSV asks for it."""
     text = F.coalesce(value.cast("string"), F.lit(""))

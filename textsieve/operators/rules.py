@@ -69,7 +69,7 @@ def parse_tables(files: DataFrame) -> DataFrame:
     kind, why = F.lit(None).cast("string"), plain(3)
     for tag, name in KINDS.items():
         kind = F.when(plain(3).startswith(tag), name).otherwise(kind)
-        why = F.when(plain(3).startswith(tag), F.substring(plain(3), len(tag) + 1, 10_000)).otherwise(why)
+        why = F.when(plain(3).startswith(tag), F.right(plain(3), F.length(plain(3)) - len(tag))).otherwise(why)
     valid = (F.size("cells") >= 6) & cell(4).isin(CHECKS) & cell(5).isin(PRIORITIES) & (cell(1) != "") & (cell(2) != "")
     return rows.select("source", "line", plain(0).alias("en"), cell(1).alias("bad"), cell(2).alias("good"), why.alias("why"), kind.alias("kind"), cell(4).alias("check"), cell(5).alias("priority"), valid.alias("valid"))
 

@@ -1,8 +1,9 @@
 """The rule scan: documents against rules, boundaries, overlaps, caps and fixes.
 
 Rules are a dimension of bounded size (MAX_ALTERNATIVES, checked), broadcast to
-every task; documents are never shuffled for the match itself. Ordering within a
-document uses arrays of that document's own findings.
+every task; documents are never shuffled. A match takes with it the characters
+around it that decide on its boundaries, so that no text goes further than the
+task that reads it: windows and joins see findings alone, all dealt by document.
 """
 
 from __future__ import annotations
@@ -10,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hangul import final_sound
+from ..functions.hangul import composed, final_sound, is_composed
 from ..functions.particles import HEADS
-from .positions import matches_of, rebuild
+from .positions import let, matches_of, part_of, rebuild, text_pieces
 from .rules import ALT_SCHEMA, rule_alternatives
 
 MAX_ALTERNATIVES = 20_000
@@ -38,8 +39,30 @@ def allowed_follower(rest: Column, allow_jeok: Column) -> Column:
     return F.when((rest == "") | ~rest.rlike(f"^{HANGUL}"), True).when(rest.rlike("^(?:으로|로)"), rest.rlike(RO_RIGHT)).otherwise(rest.rlike(FOLLOWER) | (allow_jeok & rest.startswith("적")))
 
 
+#: Characters after a match that its boundary can depend on.
+AROUND = 12
+
+
+def _placed(pieces: Column, hits: Column) -> Column:
+    """(start, hit, before, rest) of matches: the character before each, and AROUND after it."""
+
+    def around(h, p):
+        # A match and what follows it, cut to what can be seen from the match before.
+        steps = F.zip_with(h, F.slice(p, 2, F.size(h)), lambda x, after: F.substring(F.concat(x, F.substring(after, 1, AROUND)), 1, AROUND))
+
+        def context(m, i, steps):
+            own = F.get(p, i)
+            before = F.when(own != "", F.right(own, F.lit(1))).when(i > 0, F.right(F.get(h, i - 1), F.lit(1))).otherwise("")
+            rest = F.concat(F.substring(F.get(p, i + 1), 1, AROUND), F.array_join(F.slice(steps, i + 2, AROUND), ""))
+            return F.struct(m["start"].alias("start"), m["hit"].alias("hit"), before.alias("before"), F.substring(rest, 1, AROUND).alias("rest"))
+
+        return let(steps, lambda s: F.transform(matches_of(p, h), lambda m, i: context(m, i, s)))
+
+    return let(F.struct(pieces.alias("p"), hits.alias("h")), lambda x: around(x["h"], x["p"]))
+
+
 def raw_hits(docs: DataFrame, rules, text_col: str = "masked") -> DataFrame:
-    """Rows (doc columns, rule columns, start, len) of every match of every alternative.
+    """Rows (doc columns but the text, rule columns, start, len, matched, before, rest) of every match of every alternative.
 
     docs × rules is a broadcast nested-loop join on "the text contains the
     rule's longest literal"; patterns run only on pairs that pass it.
@@ -52,15 +75,16 @@ def raw_hits(docs: DataFrame, rules, text_col: str = "masked") -> DataFrame:
     pairs = docs.join(F.broadcast(alts), F.col(text_col).contains(F.col("literal")))
     # Literal alternatives are quoted patterns; only those with a wildcard hold more.
     pieces, found = F.split(F.col(text_col), F.col("pattern"), -1), F.regexp_extract_all(F.col(text_col), F.col("pattern"), F.lit(0))
-    hits = pairs.withColumn("m", F.explode(matches_of(pieces, found)))
-    return hits.withColumns({"start": F.col("m.start"), "len": F.length("m.hit")}).drop("m")
+    keep = [c for c in docs.columns if c != text_col]
+    hits = pairs.select(*keep, *names, F.explode(_placed(pieces, found)).alias("__m"))
+    return hits.select(*keep, *names, F.col("__m.start").alias("start"), F.length("__m.hit").alias("len"), F.col("__m.hit").alias("matched"), F.col("__m.before").alias("before"), F.col("__m.rest").alias("rest"))
 
 
-def within_boundaries(hits: DataFrame, text_col: str = "masked") -> DataFrame:
-    before = F.when(F.col("start") > 0, F.substring(F.col(text_col), F.col("start"), F.lit(1))).otherwise("")
-    rest = F.substring(F.col(text_col), F.col("start") + F.col("len") + 1, F.lit(12))
-    ok = ~(F.col("left") & before.rlike(HANGUL)) & ~(F.col("left_digit") & before.rlike("[0-9.]")) & (~F.col("right") | allowed_follower(rest, F.col("allow_jeok")))
-    return hits.where(ok)
+def within_boundaries(hits: DataFrame) -> DataFrame:
+    """hits whose neighbours don't make them part of another word; before and rest go."""
+    before = F.col("before")
+    ok = ~(F.col("left") & before.rlike(HANGUL)) & ~(F.col("left_digit") & before.rlike("[0-9.]")) & (~F.col("right") | allowed_follower(F.col("rest"), F.col("allow_jeok")))
+    return hits.where(ok).drop("before", "rest")
 
 
 def first_per_rule(hits: DataFrame, n: int, by: list[str]) -> DataFrame:
@@ -82,30 +106,38 @@ def resolve_overlaps(hits: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Longest first, then place, then rule: what meets an accepted one goes.
 
     Findings of rules with a wildcard inside neither give way nor push others
-    out. The fold runs over one document's findings, which travel whole, so hits
-    is computed once.
+    out. Only what hangs together by overlaps is ordered and folded as one: an
+    island, which ends where all before have ended.
     """
     order = ["neg", "start", "rule_ord", "alt_ord"]
     rest = [c for c in hits.columns if c not in (doc, *order)]
-    rows = hits.withColumn("neg", -F.col("len"))
-    kind = "array<struct<" + ",".join(f"`{c}`:{rows.schema[c].dataType.simpleString()}" for c in order + rest) + ">>"
-    per = rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("all"))
+    ordered = Window.partitionBy(doc).orderBy("start", "rule_ord", "alt_ord")
+    plain = hits.where("not wild").withColumn("__end", F.max(F.col("start") + F.col("len")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+    plain = plain.withColumn("__island", F.count_if(F.col("__end").isNull() | (F.col("start") >= F.col("__end"))).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = plain.withColumn("neg", -F.col("len"))
+    per = rows.groupBy(doc, "__island").agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("all"))
+    kind = per.schema["all"].dataType
 
     def step(acc, x):
         meets = F.exists(acc, lambda a: (a["start"] < x["start"] + x["len"]) & (x["start"] < a["start"] + a["len"]))
         return F.when(meets, acc).otherwise(F.array_append(acc, x))
 
-    plain = F.aggregate(F.filter("all", lambda x: ~x["wild"]), F.array().cast(kind), step)
-    return per.select(doc, F.inline(F.concat(plain, F.filter("all", lambda x: x["wild"])))).select(*hits.columns)
+    taken = F.when(F.size("all") == 1, F.col("all")).otherwise(F.aggregate("all", F.array().cast(kind), step))
+    return per.select(doc, F.inline(taken)).select(*hits.columns).unionByName(hits.where("wild"))
 
 
 def lint(docs: DataFrame, rules, *, doc: str = "doc_id", text_col: str = "masked", exhaustive: bool = False) -> DataFrame:
-    """Findings (doc, FINDING) of all scanned rules: matches in bounds, overlaps resolved, at most MAX_PER_RULE of a rule unless exhaustive."""
-    hits = raw_hits(docs.select(doc, text_col), rules, text_col)
+    """Findings (doc, FINDING) of all scanned rules: matches in bounds, overlaps resolved, at most MAX_PER_RULE of a rule unless exhaustive.
+
+    Rules are written in composed Hangul; a text may be decomposed, so the match
+    runs on its composed form and places are those of that form (functions.hangul.nfc).
+    """
+    texts = docs.select(doc, composed(F.col(text_col)).alias(text_col))
+    hits = raw_hits(texts, rules, text_col)
+    hits = hits.drop("literal", "pattern").repartition(doc)
     if not exhaustive:
         hits = first_per_rule(hits, MAX_TRIED, [doc, "rule_ord"])
-    hits = within_boundaries(hits, text_col).withColumn("matched", F.substring(F.col(text_col), F.col("start") + 1, F.col("len")))
-    hits = leftmost_alternative(hits.select(doc, *FINDING), doc)
+    hits = leftmost_alternative(within_boundaries(hits).select(doc, *FINDING), doc)
     if not exhaustive:
         hits = first_per_rule(hits, MAX_RAW, [doc, "rule_ord"])
     hits = resolve_overlaps(hits, doc)
@@ -133,25 +165,42 @@ def apply_fixes(docs: DataFrame, rules, *, doc: str = "doc_id", text_col: str =
     """docs with fixed (text), n_fixed and changes (start, len, new).
 
     Terms are found in text_col; what stands next to them and the fixed text are
-    of original, a column of equal length (text_col itself, unless named). Decided from right to left, since the character after a fix can be the first
-    of the next one; put together from left to right.
+    of original, a column of equal length (text_col itself, unless named). A text
+    whose Hangul is decomposed is left as it is: places in it are not those of
+    its composed form. Decided from right to left, since the character after a
+    fix can be the first of the next one; put together from left to right.
     """
-    found = lint(docs, rules, doc=doc, text_col=text_col, exhaustive=True).where(F.col("check") == "치환")
+    text = F.col(original or text_col)
+    fixable = docs.where(is_composed(text))
+    found = lint(fixable, rules, doc=doc, text_col=text_col, exhaustive=True).where(F.col("check") == "치환")
     item = F.struct("start", "len", F.col("matched").alias("bad"), F.col("replacement").alias("new"))
     per = found.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("todo"))
     rows = docs.join(per, doc, "left")
-    text = F.col(original or text_col)
-    zero = F.struct(F.lit(-1).alias("at"), F.lit("").alias("head"), F.array().cast("array<struct<start:int,len:int,new:string>>").alias("out"))
+    out_type = "array<struct<start:int,len:int,new:string>>"
 
-    def step(acc, x):
-        end = x["start"] + x["len"]
-        after = F.when(acc["at"] == end, acc["head"]).otherwise(F.substring(text, end + 1, F.lit(1)))
-        before = F.when(x["start"] > 0, F.substring(text, x["start"], F.lit(1))).otherwise("")
-        good = x["new"].isNotNull() & particle_risk(x["bad"], x["new"], after, before).isNull()
-        change = F.struct(x["start"].alias("start"), x["len"].alias("len"), x["new"].alias("new"))
-        done = F.struct(x["start"].alias("at"), F.substring(x["new"], 1, 1).alias("head"), F.concat(F.array(change), acc["out"]).alias("out"))
-        return F.when(good, done).otherwise(F.struct(F.lit(-1).alias("at"), F.lit("").alias("head"), acc["out"].alias("out")))
-
-    changes = F.aggregate(F.reverse(F.coalesce("todo", F.array().cast("array<struct<start:int,len:int,bad:string,new:string>>"))), zero, step)["out"]
-    rows = rows.withColumn("__changes", changes)
+    def decided(todo, pieces):
+        char = lambda at: part_of(pieces, at, F.lit(1))
+        near = F.transform(todo, lambda x: F.struct(x.alias("x"), F.when(x["start"] > 0, char(x["start"] - 1)).otherwise("").alias("before"), char(x["start"] + x["len"]).alias("after")))
+        # Runs of fixes that touch: within one, each depends on the next.
+        zero = F.struct(F.lit(-1).alias("at"), F.lit("").alias("head"), F.lit(False).alias("good"), F.lit(None).cast("struct<start:int,len:int,new:string>").alias("out"))
+
+        def step(acc, z):
+            x = z["x"]
+            after = F.when(acc["at"] == x["start"] + x["len"], acc["head"]).otherwise(z["after"])
+            good = x["new"].isNotNull() & particle_risk(x["bad"], x["new"], after, z["before"]).isNull()
+            change = F.struct(x["start"].alias("start"), x["len"].alias("len"), x["new"].alias("new"))
+            return F.struct(F.when(good, x["start"]).otherwise(-1).alias("at"), F.when(good, F.substring(x["new"], 1, 1)).otherwise("").alias("head"), good.alias("good"), change.alias("out"))
+
+        def run(group):
+            return F.aggregate(F.reverse(group), F.array(zero), lambda acc, z: F.concat(F.array(step(acc[0], z)), acc))
+
+        def groups(n):
+            starts = F.filter(F.transform(n, lambda z, i: F.when((i == 0) | (z["x"]["start"] != F.get(n, i - 1)["x"]["start"] + F.get(n, i - 1)["x"]["len"]), i)), lambda i: i.isNotNull())
+            return let(starts, lambda at: F.transform(at, lambda i, k: F.slice(n, i + 1, F.coalesce(F.get(at, k + 1), F.size(n)) - i)))
+
+        done = F.flatten(F.transform(let(near, groups), run))
+        return F.transform(F.filter(done, lambda d: d["good"]), lambda d: d["out"])
+
+    changes = F.when(F.size("todo") > 0, let(text_pieces(text), lambda p: decided(F.col("todo"), p))).otherwise(F.array().cast(out_type))
+    rows = rows.withColumn("__changes", F.coalesce(changes, F.array().cast(out_type)))
     return rows.withColumns({"fixed": rebuild(text, F.col("__changes")), "n_fixed": F.size("__changes").cast("long"), "changes": F.col("__changes")}).drop("__changes", "todo")

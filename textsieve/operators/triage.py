@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .positions import matches, rebuild
+from .positions import let, matches, rebuild, running_sums
 from .rules import _strip, alternative_pattern, alternatives, replacement
 
 MAX_PATTERN, MAX_SUBSTITUTE = 40, 24
@@ -113,19 +113,15 @@ def replace_block(text: Column, begin: str, end: str, body: Column) -> Column:
 
 def cut_to_bytes(text: Column, limit: int) -> Column:
     """The longest beginning of whole lines within limit bytes of UTF-8."""
-    zero = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"), F.lit(True).alias("open"))
-
-    def step(acc, line):
-        n = acc["n"] + F.octet_length(line) + 1
-        fits = acc["open"] & (n - 1 <= limit)
-        return F.struct(F.when(fits, n).otherwise(acc["n"]).alias("n"), F.when(fits, F.array_append(acc["out"], line)).otherwise(acc["out"]).alias("out"), fits.alias("open"))
-
-    return F.array_join(F.aggregate(F.split(text, "\n", -1), zero, step)["out"], "\n")
+    ends = lambda lines: running_sums(F.transform(lines, lambda x: F.octet_length(x) + 1))
+    fitting = lambda lines: F.size(F.filter(ends(lines), lambda e: e - 1 <= limit))
+    return let(F.split(text, "\n", -1), lambda lines: F.array_join(F.slice(lines, 1, fitting(lines)), "\n"))
 
 
 def within_size(df: DataFrame, key: str, text_col: str, limit: int = 2_000_000) -> DataFrame:
-    """df with fixable: whether all texts of its key together stay within limit characters."""
-    return df.withColumn("fixable", F.sum(F.coalesce(F.length(text_col), F.lit(0))).over(Window.partitionBy(key)) <= limit)
+    """df with fixable: whether all texts of its key together stay within limit characters. Sums are aggregated, texts stay."""
+    sizes = df.groupBy(F.col(key).alias("__ts_key")).agg((F.sum(F.coalesce(F.length(text_col), F.lit(0))) <= limit).alias("fixable"))
+    return df.drop("fixable").join(sizes, F.col(key).eqNullSafe(F.col("__ts_key"))).drop("__ts_key")
 
 
 def rank_scores(ranks: DataFrame) -> DataFrame:

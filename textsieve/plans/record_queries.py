@@ -294,9 +294,25 @@ def latency_regression(spark, d):
     return s.select("payload", F.round(F.col("1") - F.col("0"), 6).alias("delta"), stats.is_regression(F.col("0"), F.col("1")).alias("regression"))
 
 
+BODY_BUDGET = 120
+BODY_ROWS = [(r[1], "prompt" if r[4] == "프롬프트" else "terms", r[7], len(r[1]) + len(r[2]) + len(r[3]), r[5]) for r in rules.RULES]
+
+
 def budgeted_body(spark, d):
-    rows = [(r[1], "prompt" if r[4] == "프롬프트" else "terms", r[7], len(r[1]) + len(r[2]) + len(r[3])) for r in sorted(rules.RULES, key=lambda r: rules.PRIORITIES.index(r[5]))]
-    return spark.createDataFrame([(k, n) for n, k in enumerate(review.budgeted(rows, 120))], "bad string, place long")
+    return spark.createDataFrame([(k, n) for n, k in enumerate(review.budgeted(BODY_ROWS, BODY_BUDGET))], "bad string, place long")
+
+
+def budgeted_sql() -> str:
+    """One attempt after the other: a recursion over their numbers."""
+    tried = ", ".join(f"({n}, '{key}', '{lane or ''}', '{heading}', {cost})" for n, (key, lane, heading, cost) in enumerate(review.attempts(BODY_ROWS)))
+    half = BODY_BUDGET // 2
+    return f"""WITH RECURSIVE a AS (SELECT * FROM (VALUES {tried}) AS t(n, bad, lane, heading, cost)),
+s AS (SELECT -1 AS n, 0 AS used, 0 AS prompt, 0 AS terms, []::VARCHAR[] AS heads, []::VARCHAR[] AS taken
+  UNION ALL SELECT n, CASE WHEN ok THEN used + price ELSE used END, CASE WHEN ok AND lane = 'prompt' THEN prompt + cost ELSE prompt END,
+    CASE WHEN ok AND lane = 'terms' THEN terms + cost ELSE terms END, CASE WHEN ok THEN list_append(heads, heading) ELSE heads END, CASE WHEN ok THEN list_append(taken, bad) ELSE taken END
+  FROM (SELECT *, NOT list_contains(taken, bad) AND used + price <= {BODY_BUDGET} AND CASE lane WHEN 'prompt' THEN prompt + cost <= {half} WHEN 'terms' THEN terms + cost <= {BODY_BUDGET - half} ELSE true END AS ok
+    FROM (SELECT a.n, bad, lane, heading, cost, used, prompt, terms, heads, taken, cost + CASE WHEN list_contains(heads, heading) THEN 0 ELSE length(heading) + 1 END AS price FROM s JOIN a ON a.n = s.n + 1)))
+SELECT unnest(taken) AS bad, cast(unnest(range(len(taken))) AS bigint) AS place FROM (SELECT taken FROM s ORDER BY n DESC LIMIT 1)"""
 
 
 COMMANDS = ["git commit -m 'fix the scan'", 'git add . && git commit -m "one" -m "two \\"quoted\\""', "git commit --message=short", "ls -la; echo git commit", "bash -c 'git commit -m \"inner\"'", "FOO=1 git -C dir commit -am done", "git commit -m \"$(cat <<'EOF'\nbody line\nEOF\n)\"", "git commit -F - <<'EOF'\nfrom a file\nEOF", "git commit -mattached", "(git commit -m group)", "out=$(git commit -m 'in a subshell')", "git commit -m first -- -m path"]
@@ -371,7 +387,7 @@ QUERIES = {
     "rule_impact_top10": (rule_impact_top10, None),
     "latency_summary": (latency_summary, "SELECT event_type AS payload, user_id % 2 AS side, round(median(value), 6) AS median, quantile_disc(value, 0.9) AS p90, count(*) AS n FROM events WHERE event_id % 10 >= 2 GROUP BY 1, 2"),
     "latency_regression": (latency_regression, "WITH m AS (SELECT event_type AS payload, median(value) FILTER (WHERE user_id % 2 = 0) AS b, median(value) FILTER (WHERE user_id % 2 = 1) AS h FROM events WHERE event_id % 10 >= 2 GROUP BY 1) SELECT payload, round(h - b, 6) AS delta, h - b >= 10 AND (b <= 0 OR (h - b) / b >= 0.2) AS regression FROM m"),
-    "budgeted_body": (budgeted_body, None),
+    "budgeted_body": (budgeted_body, budgeted_sql()),
     "commit_targets": (commit_targets, None),
     "guard_decisions": (guard_decisions, "SELECT event_id, cast(CASE WHEN event_id % 6 < 2 THEN 1 ELSE 0 END AS bigint) AS n_pii, cast(CASE WHEN event_id % 6 = 2 THEN 2 ELSE 0 END AS bigint) AS n_tone, CASE WHEN event_id % 6 < 2 THEN 'deny' WHEN event_id % 6 = 2 THEN 'warn' ELSE 'none' END AS decision FROM events"),
     "issue_form_fields": (issue_form_fields, "SELECT event_id, 'Where' AS label, 'file ' || cast(event_id AS varchar) AS value FROM events UNION ALL SELECT event_id, 'Why', CASE WHEN event_id % 2 = 0 THEN '' ELSE 'because' END FROM events"),
