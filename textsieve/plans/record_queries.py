@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, hangul, workdays
 from ..operators import guard, identifiers, record_masking, review, rules, shell, stats
+from . import record_sql
 from .derived import ADDRESS_SQL, BIZ_SQL, NAME_SQL, PHONE_SQL, RRN_SQL, count, ko_docs, long, table, view
 
 CENTURY = "CASE WHEN substr(back, 1, 1) IN ('1','2','5','6') THEN '19' ELSE '20' END"
@@ -318,6 +319,13 @@ SELECT unnest(taken) AS bad, cast(unnest(range(len(taken))) AS bigint) AS place
 COMMANDS = ["git commit -m 'fix the scan'", 'git add . && git commit -m "one" -m "two \\"quoted\\""', "git commit --message=short", "ls -la; echo git commit", "bash -c 'git commit -m \"inner\"'", "FOO=1 git -C dir commit -am done", "git commit -m \"$(cat <<'EOF'\nbody line\nEOF\n)\"", "git commit -F - <<'EOF'\nfrom a file\nEOF", "git commit -mattached", "(git commit -m group)", "out=$(git commit -m 'in a subshell')", "git commit -m first -- -m path"]
 
 
+# The messages of each command above, written down by hand: where they stand, and in what quotes.
+MESSAGES = [
+    [(15, 27, "fix the scan", "'")], [(28, 31, "one", '"'), (37, 51, 'two "quoted"', '"')], [(21, 26, "short", "")], [], [(24, 29, "inner", '"')], [(28, 32, "done", "")],
+    [(29, 38, "body line", "heredoc")], [(24, 35, "from a file", "heredoc")], [(13, 21, "attached", "")], [(15, 20, "group", "")], [(21, 34, "in a subshell", "'")], [(14, 19, "first", "")],
+]
+
+
 def commit_targets(spark, d):
     e = table(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("event_id") % len(COMMANDS) + 1).cast("int")).alias("command"))
     return shell.commit_messages(e, "event_id", "command")
@@ -362,18 +370,18 @@ QUERIES = {
     "mask_people": (mask_people, MASK_SQL),
     "mask_record_struct": (mask_record_struct, MASK_SQL),
     "mask_phone": (mask_phone, f"{PHONES} SELECT id, CASE WHEN length(a) < 9 THEN repeat('*', length(value)) ELSE substr(a, 1, CASE WHEN starts_with(a, '02') THEN 2 ELSE 3 END) || '-****-' || right(a, 4) END AS masked FROM g"),
-    "mask_address": (mask_address, None),
+    "mask_address": (mask_address, record_sql.MASKED_ADDRESSES),
     "phone_kinds": (phone_kinds, f"{PHONES} SELECT id, CASE WHEN ok THEN k ELSE 'none' END AS kind, CASE WHEN NOT ok THEN value WHEN k = 'shared' THEN substr(x, 1, 4) || '-' || substr(x, 5) ELSE substr(x, 1, n) || '-' || substr(x, n + 1, length(x) - n - 4) || '-' || right(x, 4) END AS formatted FROM r2"),
     "phone_international": (phone_international, f"{PHONES} SELECT id, CASE WHEN ok THEN '+82' || regexp_replace(x, '^0', '') ELSE '' END AS number FROM r2"),
     "biz_number_valid": (biz_number_valid, BIZ),
     "address_kind": (address_kind, f"WITH a AS ({ADDRESS_SQL}) SELECT id, CASE WHEN regexp_matches(value, '[로길]\\s*(지하\\s*)?[0-9]+(-[0-9]+)?([^0-9가-]|$)') THEN 'road' WHEN regexp_matches(value, '[동리가]\\s*(산\\s*)?[0-9]+(-[0-9]+)?([^0-9-]|$)') THEN 'lot' ELSE 'unknown' END AS kind FROM a"),
-    "address_same": (address_same, None),
+    "address_same": (address_same, record_sql.SAME_ADDRESSES),
     "sort_korean_topn": (sort_korean_topn, "WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '나' ELSE 'item' END || cast(p_partkey AS varchar) AS name FROM part) SELECT p_partkey, name FROM p ORDER BY p_partkey % 3 <> 0, p_partkey LIMIT 50"),
     "width_clean": (width_clean, CELL_SQL),
     "business_days_add": (business_days_add, f"WITH c AS (SELECT * FROM {CLOSED_SQL}), cal AS (SELECT cast(x AS date) AS d FROM generate_series(date '2023-12-01', date '2025-12-31', INTERVAL 1 DAY) t(x)), o AS (SELECT d, isodow(d) < 6 AND d NOT IN (SELECT d FROM c) AS op FROM cal), k AS (SELECT *, sum(op::int) OVER (ORDER BY d) AS n FROM o), e AS (SELECT event_id, date '2024-01-01' + cast(event_id % 300 AS int) AS day, event_id % 12 AS n FROM events) SELECT event_id, strftime(CASE WHEN e.n <= 0 THEN day ELSE t.d END, '%Y-%m-%d') AS due FROM e JOIN k ON k.d = e.day LEFT JOIN k t ON t.op AND t.n = k.n + e.n"),
     "bank_closed": (bank_closed, f"SELECT DISTINCT strftime(d, '%Y-%m-%d') AS d FROM (SELECT d FROM {CLOSED_SQL} UNION ALL SELECT make_date(y, 5, 1) FROM range(2023, 2026) r(y))"),
     "kst_daily_events": (kst_daily_events, "SELECT strftime(cast(ts + INTERVAL 9 HOUR AS date), '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1"),
-    "substitute_holidays": (substitute_holidays, None),
+    "substitute_holidays": (substitute_holidays, record_sql.substitutes(HOLIDAYS)),
     "links_extract": (links_extract, f"SELECT page_id, cast(l AS bigint) AS line, {TRIMMED} AS url FROM pages, range(1, 3) r(l)"),
     "links_trimmed": (links_trimmed, f"SELECT page_id, {TRIMMED} AS url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages"),
     "links_grouped": (links_grouped, "WITH p AS (SELECT page_id % 7 AS file, page_id AS line, regexp_extract(url, '^https?://[^/]+') AS url FROM pages) SELECT url, count(*) AS n, string_agg(cast(file AS varchar) || ':' || cast(line AS varchar), ',' ORDER BY file, line) AS locations FROM p GROUP BY url"),
@@ -384,11 +392,11 @@ QUERIES = {
     "diff_commentable_lines": (diff_commentable_lines, f"{DIFF} SELECT * FROM s"),
     "comments_in_out_diff": (comments_in_out_diff, f"{DIFF} SELECT p.page_id AS filename, p.page_id % 40 + 1 AS line, (p.page_id, p.page_id % 40 + 1) IN (SELECT (page_id, line) FROM s) AS inside FROM pages p"),
     "rule_diff": (rule_diff, DIFF_RULES),
-    "rule_impact_top10": (rule_impact_top10, None),
+    "rule_impact_top10": (rule_impact_top10, record_sql.impact(rules.RULES, _HEAD)),
     "latency_summary": (latency_summary, "SELECT event_type AS payload, user_id % 2 AS side, round(median(value), 6) AS median, quantile_disc(value, 0.9) AS p90, count(*) AS n FROM events WHERE event_id % 10 >= 2 GROUP BY 1, 2"),
     "latency_regression": (latency_regression, "WITH m AS (SELECT event_type AS payload, median(value) FILTER (WHERE user_id % 2 = 0) AS b, median(value) FILTER (WHERE user_id % 2 = 1) AS h FROM events WHERE event_id % 10 >= 2 GROUP BY 1) SELECT payload, round(h - b, 6) AS delta, h - b >= 10 AND (b <= 0 OR (h - b) / b >= 0.2) AS regression FROM m"),
     "budgeted_body": (budgeted_body, budgeted_sql()),
-    "commit_targets": (commit_targets, None),
+    "commit_targets": (commit_targets, record_sql.commit_targets(MESSAGES)),
     "guard_decisions": (guard_decisions, "SELECT event_id, cast(CASE WHEN event_id % 6 < 2 THEN 1 ELSE 0 END AS bigint) AS n_pii, cast(CASE WHEN event_id % 6 = 2 THEN 2 ELSE 0 END AS bigint) AS n_tone, CASE WHEN event_id % 6 < 2 THEN 'deny' WHEN event_id % 6 = 2 THEN 'warn' ELSE 'none' END AS decision FROM events"),
     "issue_form_fields": (issue_form_fields, "SELECT event_id, 'Where' AS label, 'file ' || cast(event_id AS varchar) AS value FROM events UNION ALL SELECT event_id, 'Why', CASE WHEN event_id % 2 = 0 THEN '' ELSE 'because' END FROM events"),
     "grader_weighted_score": (grader_weighted_score, "SELECT conv_id % 10 AS \"case\", role AS arm, round(sum(CASE WHEN regexp_matches(text, 'the|der|les') = (turn % 2 = 0) THEN turn + 1.0 ELSE 0 END) / sum(turn + 1.0), 6) AS score FROM conversations GROUP BY 1, 2"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hangul, particles
 from ..operators import masks, rules, scan, stats
 from ..operators.positions import matches, merge_spans, spans
+from . import record_sql, scan_sql
 from .derived import IGNORE, KO_SQL, count, ko_docs, long, md_docs, table
 
 ALTS = rules.rule_alternatives(rules.RULES)
@@ -135,10 +136,11 @@ def log_line_nonhangul(spark, d):
 
 
 WORDS = ["commit", "API", "HTTP", "S3", "v1", "10", "7", "server", "unknownword", "URL", "LOCK", "3", "URL2", "x12", "token", "file"]
+PARTICLES = ["을", "를", "로", "으로", "이"]
 
 
 def final_sound_words(spark, d):
-    df = spark.createDataFrame([(w, p) for w in WORDS for p in ("을", "를", "로", "으로", "이")], "word string, particle string")
+    df = spark.createDataFrame([(w, p) for w in WORDS for p in PARTICLES], "word string, particle string")
     return df.select("word", "particle", F.coalesce(particles.word_final_sound(F.col("word")), F.lit("?")).alias("final"), F.coalesce(particles.correct_particle(F.col("word"), F.col("particle")), F.lit("")).alias("correct"))
 
 
@@ -198,9 +200,9 @@ QUERIES = {
     "rule_hits_positions": (rule_hits_positions, f"WITH {AT} SELECT doc_id, cast(rule_ord AS bigint) AS rule_ord, alt, start FROM p"),
     "rule_hits_bounded": (rule_hits_bounded, f"WITH {BOUND} SELECT doc_id, cast(rule_ord AS bigint) AS rule_ord, alt, start FROM b"),
     "rule_hits_capped3": (rule_hits_capped3, f"WITH {BOUND}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rule_ord, start ORDER BY alt_ord) AS f FROM b), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, bad ORDER BY start, rule_ord) AS n FROM f WHERE f = 1) SELECT doc_id, bad, start FROM n WHERE n <= 3"),
-    "overlap_resolved": (overlap_resolved, None),
-    "lint_findings": (lint_findings, None),
-    "fixed_docs": (fixed_docs, None),
+    "overlap_resolved": (overlap_resolved, scan_sql.OVERLAPS),
+    "lint_findings": (lint_findings, scan_sql.LINT),
+    "fixed_docs": (fixed_docs, scan_sql.FIXED),
     "alternatives_exploded": (alternatives_exploded, "SELECT cast(rule_ord AS bigint) AS rule_ord, cast(alt_ord AS bigint) AS alt_ord, alt, lft AS \"left\", lft_digit AS left_digit, rgt AS \"right\", jeok AS allow_jeok FROM " + ALT_SQL.rsplit(") AS r", 1)[0] + "".join(f", ({a['rule_ord']}, {a['alt_ord']}, {_q(a['bad'])}, {_q(a['alt'])}, {_b(a['left'])}, {_b(a['left_digit'])}, {_b(a['right'])}, {_b(a['allow_jeok'])}, {_q(a['source'])})" for a in ALTS if a["wild"]) + ") AS r" + ALT_SQL.rsplit(") AS r", 1)[1]),
     "counts_by_check_rollup": (counts_by_check_rollup, f'SELECT coalesce(source, \'*\') AS source, coalesce("check", \'*\') AS "check", count(*) AS n FROM {RULES_SQL} GROUP BY ROLLUP (source, "check")'),
     "rules_by_priority": (rules_by_priority, f"SELECT bad, priority, row_number() OVER (ORDER BY list_position([{', '.join(map(_q, rules.PRIORITIES))}], priority), rule_ord) AS place FROM {RULES_SQL}"),
@@ -213,12 +215,12 @@ QUERIES = {
     "language_by_source": (language_by_source, f"WITH k AS ({KO_SQL}), h AS (SELECT source, len(regexp_extract_all(text, '[가-힣ᄀ-ᇿ㄰-㆏]')) AS n, len(regexp_extract_all(text, '[A-Za-z]')) AS l FROM k), s AS (SELECT source, avg(CASE WHEN n >= 2 OR (n = 1 AND l < 3) THEN 1.0 ELSE 0.0 END) AS share, count(*) AS c FROM h WHERE n > 0 OR l >= 3 GROUP BY source) SELECT source, round(share, 6) AS share, c AS n_samples, CASE WHEN c < 3 THEN 'unknown' WHEN share >= 0.6 THEN 'korean' WHEN share <= 0.1 THEN 'english' ELSE 'mixed' END AS language FROM s"),
     "hangul_share_docs": (hangul_share_docs, f"WITH k AS ({KO_SQL}), n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<!--.*?-->', ' ', 'gs'), '`[^`\\n]*`', ' ', 'g'), '<[^>\\n]{{0,300}}>', ' ', 'g'), 'https?://\\S+', ' ', 'g') AS t FROM k), h AS (SELECT doc_id, len(regexp_extract_all(t, '[가-힣ᄀ-ᇿ㄰-㆏]')) AS h, len(regexp_extract_all(t, '[A-Za-z]')) AS l FROM n) SELECT doc_id, round(CASE WHEN h + l = 0 THEN 0.0 ELSE h / (h + l / 2.5) END, 6) AS share FROM h"),
     "log_line_nonhangul": (log_line_nonhangul, f"WITH k AS ({KO_SQL}), l AS (SELECT doc_id, unnest(string_split(text, '. ')) AS ln FROM k), c AS (SELECT doc_id, len(regexp_extract_all(ln, '\\p{{L}}')) AS a, len(regexp_extract_all(ln, '[가-힣]')) AS h FROM l) SELECT doc_id, count(*) AS n_lines FROM c WHERE a = 0 OR h / a < 0.3 GROUP BY doc_id"),
-    "final_sound_words": (final_sound_words, None),
-    "particle_errors": (particle_errors, None),
-    "particle_fix": (particle_fix, None),
-    "latin_verb_hits": (latin_verb_hits, None),
+    "final_sound_words": (final_sound_words, record_sql.final_sounds(WORDS, PARTICLES)),
+    "particle_errors": (particle_errors, scan_sql.ERRORS),
+    "particle_fix": (particle_fix, scan_sql.PUT_RIGHT),
+    "latin_verb_hits": (latin_verb_hits, record_sql.LATIN_VERBS),
     "density_per_1000": (density_per_1000, f"WITH {BOUND}, h AS (SELECT doc_id, len(regexp_extract_all(text, '[가-힣ᄀ-ᇿ㄰-㆏]')) AS h FROM k) SELECT h.doc_id, round(coalesce(n, 0) / greatest(h, 1) * 1000, 1) AS density FROM h LEFT JOIN (SELECT doc_id, count(*) AS n FROM b GROUP BY doc_id) x USING (doc_id)"),
-    "style_metrics": (style_metrics, None),
+    "style_metrics": (style_metrics, record_sql.STYLE),
     "chosung_index": (chosung_index, f"WITH k AS ({KO_SQL}) SELECT doc_id, list_aggregate(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) BETWEEN 44032 AND 55203 THEN substr('{hangul.INITIALS}', cast((unicode(c) - 44032) // 588 + 1 AS bigint), 1) ELSE c END), 'string_agg', '') AS initials FROM k"),
     "chosung_search": (chosung_search, f"WITH k AS ({KO_SQL}) SELECT doc_id FROM k WHERE regexp_matches(regexp_replace(text, '\\s', '', 'g'), '[ㅋ카-킿][ㅌ타-팋][ㅊ차-칳]')"),
     "line_col_lookup": (line_col_lookup, "WITH p AS (SELECT doc_id, string_split(text, 'the ') AS s, unnest(range(1, len(string_split(text, 'the ')))) AS i FROM documents), q AS (SELECT doc_id, array_to_string(list_slice(s, 1, i), 'the ') AS head FROM p) SELECT doc_id, length(head) AS start, cast(len(string_split(head, chr(10))) AS bigint) AS line, length(string_split(head, chr(10))[-1]) + 1 AS col FROM q"),

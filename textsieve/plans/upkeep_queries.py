@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import masks, reports, review, rules, stats, triage
+from . import record_sql, scan_sql
 from .derived import KO_SQL, count, ko_docs, long, md_docs, table
 from .record_queries import _HEAD, _values
 from .text_queries import _q
@@ -146,7 +147,7 @@ QUERIES = {
     "rule_locations": (rule_locations, "SELECT bad, cast(line AS bigint) AS line FROM (VALUES " + ", ".join(f"({_q(r[1])}, {n})" for n, r in _rows) + ") AS t(bad, line)"),
     "finding_owners": (finding_owners, f'SELECT h.bad, coalesce(r.source, \'none\') AS owner FROM {_values(_HEAD).replace("AS r(", "AS h(")} LEFT JOIN {_values(rules.RULES)} ON h.bad = r.bad AND h.good = r.good AND h."check" = r."check"'),
     "prompt_matches": (prompt_matches, f"WITH k AS ({KO_SQL}) SELECT doc_id, '데이터베이스' AS bad FROM k WHERE contains(text, '데이터베이스')"),
-    "bearable_checks": (bearable_checks, None),
+    "bearable_checks": (bearable_checks, record_sql.bearable(rules.RULES)),
     "report_labels": (report_labels, "WITH e AS (SELECT event_id, event_id % 3 <> 0 AS lint, CASE WHEN event_id % 2 = 0 THEN event_id % 5 % 2 = 0 ELSE event_id % 5 % 2 > 0 END AS shows, event_id % 7 = 0 AS r FROM events) SELECT event_id, concat_ws(',', CASE WHEN lint THEN CASE WHEN shows THEN 'reproduced' ELSE 'not-reproduced' END END, CASE WHEN r THEN 'needs-info' END) AS labels FROM e"),
     "body_transitions": (body_transitions, "SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'entered' ELSE 'left' END AS move, c_custkey % 5 = 0 AS changed FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 AND (c_custkey % 2 = 0) <> (c_custkey % 3 = 0)"),
     "versions": (versions, "WITH e AS (SELECT event_id, event_id % 3 AS a, event_id % 4 AS b, event_id % 12 AS c, event_id % 10 <> 0 AS ok, event_id % 5 AS m FROM events) SELECT event_id, CASE WHEN NOT ok THEN 'none' WHEN event_id % 2 = 0 THEN a || '.' || (b + 1) || '.0' ELSE a || '.' || b || '.' || (c + 1) END AS next, CASE WHEN NOT ok THEN 'invalid-version' WHEN (a, b, c) <= (1, m, 3) THEN 'version-not-bumped' WHEN event_id % 6 = 0 THEN 'subject-format' ELSE 'ok' END AS problem FROM e"),
@@ -159,9 +160,9 @@ QUERIES = {
     "code_spans": (code_spans, "SELECT page_id, repeat('`', page_id % 4 + 1) || repeat('`', page_id % 4) || 'x' || repeat('`', page_id % 4 + 1) AS code FROM pages"),
     "cut_reports": (cut_reports, "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), s AS (SELECT doc_id, sum(strlen(ln) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM l) SELECT doc_id, cast(coalesce(max(n) FILTER (WHERE n <= 600), 0) AS bigint) AS n_bytes FROM s GROUP BY doc_id"),
     "doc_language": (doc_language, "SELECT c_custkey AS repo, CASE c_custkey % 4 WHEN 0 THEN 'korean' WHEN 1 THEN 'english' ELSE 'unknown' END AS language FROM customer"),
-    "fixed_texts": (fixed_texts, None),
-    "findings_by_line": (findings_by_line, None),
-    "line_suggestions": (line_suggestions, None),
+    "fixed_texts": (fixed_texts, scan_sql.FIXED_TEXTS),
+    "findings_by_line": (findings_by_line, scan_sql.FINDINGS_BY_LINE),
+    "line_suggestions": (line_suggestions, scan_sql.SUGGESTIONS),
     "imported_rules": (imported_rules, "WITH r AS (SELECT p_partkey AS ord, 'a' || chr(92) || '|' || cast(p_partkey % 300 AS varchar) AS bad, 'b ' || cast(p_partkey AS varchar) AS good, CASE p_partkey % 3 WHEN 0 THEN '핵심' ELSE '보통' END AS priority FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0) SELECT ord, bad, good, priority FROM (SELECT *, row_number() OVER (PARTITION BY bad ORDER BY ord) AS n FROM r) WHERE n = 1"),
     "rules_in_text": (rules_in_text, "SELECT bad FROM (VALUES " + ", ".join(f"({_q(r[1])})" for r in rules.RULES if r[1] != "컨텐츠") + ") AS t(bad)"),
     "issue_values": (issue_values, "SELECT event_id, 'f' || cast(event_id AS varchar) AS place, CASE WHEN event_id % 2 = 0 THEN 'w' ELSE '' END AS reason FROM events"),
