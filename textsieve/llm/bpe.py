@@ -4,7 +4,8 @@ Tier one is a minimal perfect hash over the vocabulary: a pre-token that is a
 vocabulary entry is one probe and one comparison. Tier two merges the bytes of
 any other pre-token: a linked list of parts and a heap of adjacent pairs by
 (rank, place), so a pre-token of n bytes costs n log n and not n squared. Each
-worker remembers the pre-tokens it has met, twice MEMO of them at most.
+worker remembers the pre-tokens it has met, about twice MEMO of them at most,
+within a long text too. Decoding copies the bytes of all ids of a batch at once.
 
 The vocabulary (a file of "base64 rank" lines) is read on the driver and
 broadcast; its size is fixed by the tokenizer. Texts go through one Arrow pass
@@ -21,6 +22,7 @@ import base64
 import re
 from array import array
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from .stage import fields, map_arrow
 
 MEMO = 400_000
 CHUNK = 4_000_000
+#: Pre-tokens of a long text that are looked up at a time.
+PIECES = 200_000
 
 
 # Letters and numbers of the pattern engine used here that Unicode had
@@ -65,7 +69,7 @@ class PerfectHash:
             at = np.array([h % size for h in left])
             alone = np.bincount(at, minlength=size) == 1
             rank = np.where(alone, base + np.cumsum(alone) - 1, -1)
-            self.levels.append((size, rank.tolist()))
+            self.levels.append((size, array("i", rank.tolist())))
             base += int(alone.sum())
             left = [h for h, ok in zip(left, alone[at].tolist()) if not ok]
 
@@ -85,7 +89,11 @@ class Tokenizer:
         self.slots: list = [None] * len(ranks)
         for k, r in ranks.items():
             self.slots[self.hash.slot(k)] = (k, r)
-        self.of_id = {r: k for k, r in ranks.items()}
+        # The bytes of every id, one after the other, and where each id's begin.
+        self.joined = np.frombuffer(b"".join(k for _, k in sorted((r, k) for k, r in ranks.items())), dtype=np.uint8)
+        sizes = np.zeros(max(ranks.values(), default=-1) + 2, dtype=np.int64)
+        sizes[[r + 1 for r in ranks.values()]] = [len(k) for k in ranks]
+        self.at = np.cumsum(sizes)
         self._ready = self.pairs = None
 
     def __getstate__(self):
@@ -171,9 +179,9 @@ class Tokenizer:
 
         def pieces(text):
             if text.isascii() or not NEWER.search(text):
-                return pattern.findall(text)
+                return pattern.findall(text) if len(text) <= CHUNK else (m.group() for m in pattern.finditer(text))
             # Any other sign stands in for them while the pattern looks.
-            return [text[m.start() : m.end()] for m in pattern.finditer(NEWER.sub("\u2020", text))]
+            return (text[m.start() : m.end()] for m in pattern.finditer(NEWER.sub("\u2020", text)))
 
         self._ready = (pieces, Memo())
         return self._ready
@@ -181,15 +189,36 @@ class Tokenizer:
     def packed(self, text: str) -> bytes:
         """The ids as 32-bit integers, one after the other."""
         find, memo = self._ready or self._start()
-        if len(memo) > MEMO:
-            memo.turn()
-        return b"".join(map(memo.__getitem__, find(text)))
+        found, out = find(text), []
+        if isinstance(found, list) and len(found) <= PIECES:
+            if len(memo) > MEMO:
+                memo.turn()
+            return b"".join(map(memo.__getitem__, found))
+        found = iter(found)
+        while part := list(islice(found, PIECES)):
+            if len(memo) > MEMO:
+                memo.turn()
+            out.append(b"".join(map(memo.__getitem__, part)))
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), dtype=np.int32).tolist()
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.of_id.__getitem__, ids))
+        return self.bytes_of(np.asarray(ids, dtype=np.int64))[0].tobytes()
+
+    def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and where each id's end."""
+        size = self.at[ids + 1] - self.at[ids]
+        parts = [np.empty(0, dtype=np.uint8)]
+        for a in range(0, len(ids), PIECES):
+            n = size[a : a + PIECES]
+            ends = np.cumsum(n)
+            # Within one id places go up by one; between two they jump.
+            place = np.repeat(self.at[ids[a : a + PIECES]] - (ends - n), n)
+            place += np.arange(len(place))
+            parts.append(self.joined[place])
+        return np.concatenate(parts), np.cumsum(size)
 
 
 def _apply(df: DataFrame, tok: Tokenizer, in_col: str, new: list[tuple[str, str]], work) -> DataFrame:
@@ -218,6 +247,22 @@ def _ids(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
 
 
+def _bytes(tok: Tokenizer, rows: list[bytes]) -> pa.Array:
+    """The bytes of rows of ids, about CHUNK ids at a time."""
+    parts, a = [], 0
+    while a < len(rows):
+        b, n = a, 0
+        while b < len(rows) and (b == a or n + len(rows[b]) // 4 <= CHUNK):
+            n += len(rows[b]) // 4
+            b += 1
+        data, ends = tok.bytes_of(np.frombuffer(b"".join(rows[a:b]), dtype=np.int32).astype(np.int64))
+        cut = np.concatenate(([0], np.cumsum([len(x) // 4 for x in rows[a:b]])))
+        offsets = np.concatenate(([0], ends))[cut].astype(np.int32)
+        parts.append(pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
+        a = b
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+
 def encode(df: DataFrame, tok: Tokenizer, text_col: str = "text") -> DataFrame:
     """df with ids."""
     return _apply(df, tok, text_col, [("ids", "array<int>")], lambda t, col: [_ids([t.packed(x or "") for x in col.to_pylist()])])
@@ -225,7 +270,7 @@ def encode(df: DataFrame, tok: Tokenizer, text_col: str = "text") -> DataFrame:
 
 def decode(df: DataFrame, tok: Tokenizer, ids_col: str = "ids") -> DataFrame:
     """df with decoded (binary), from ids."""
-    return _apply(df, tok, ids_col, [("decoded", "binary")], lambda t, col: [pa.array([t.decode(x or ()) for x in col.to_pylist()], pa.binary())])
+    return _apply(df, tok, ids_col, [("decoded", "binary")], lambda t, col: [_bytes(t, [np.asarray(x or (), dtype=np.int32).tobytes() for x in col.to_pylist()])])
 
 
 def round_trip(df: DataFrame, tok: Tokenizer, text_col: str = "text") -> DataFrame:
@@ -233,7 +278,7 @@ def round_trip(df: DataFrame, tok: Tokenizer, text_col: str = "text") -> DataFra
 
     def work(t, col):
         ids = [t.packed(x or "") for x in col.to_pylist()]
-        return [_ids(ids), pa.array([t.decode(np.frombuffer(x, dtype=np.int32).tolist()) for x in ids], pa.binary())]
+        return [_ids(ids), _bytes(t, ids)]
 
     return _apply(df, tok, text_col, [("ids", "array<int>"), ("decoded", "binary")], work)
 
