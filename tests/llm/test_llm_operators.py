@@ -734,4 +734,21 @@ def test_digest_of_queries(spark, library):
     got = {r.doc_id: r for r in bpe.query(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
         ids = library.encode_ordinary(r.text)
-        assert got[r.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        g = got[r.doc_id]
+        assert g.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and g.n_tokens == len(ids)
+        assert g.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+
+
+def test_bpe_of_long_texts(tokenizer, library, monkeypatch):
+    """Long texts in pieces, and a memory that is turned over within one."""
+    rnd = random.Random(18)
+    text = " ".join(f"w{rnd.randint(0, 10**6)} größe" for _ in range(3000)) + "\u1c8a 数据"
+    want = library.encode_ordinary(text)
+    for chunk, pieces, memo in [(100, 500, 300), (10**6, 500, 300), (100, 10**6, 10)]:
+        monkeypatch.setattr(bpe, "CHUNK", chunk)
+        monkeypatch.setattr(bpe, "PIECES", pieces)
+        monkeypatch.setattr(bpe, "MEMO", memo)
+        assert tokenizer.encode(text) == want and tokenizer.decode(want) == text.encode()
+        assert len(tokenizer._ready[1]) <= pieces + memo + 1
+        rows = [np.asarray(want[:k], dtype=np.int32).tobytes() for k in (0, 5, 0, 900, 3)]
+        assert bpe._bytes(tokenizer, rows).to_pylist() == [b"".join(library.decode_single_token_bytes(i) for i in want[:k]) for k in (0, 5, 0, 900, 3)]
