@@ -125,9 +125,27 @@ def is_composed(text: Column) -> Column:
     return ~F.coalesce(text.rlike(LOOSE), F.lit(False))
 
 
+#: A syllable in conjoining jamo.
+SYLLABLE = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?"
+
+
 def composed(text: Column) -> Column:
-    """text with syllables and accents composed (NFC); texts without loose marks don't leave the JVM's form."""
-    return F.when(is_composed(text), text).otherwise(nfc(F.when(~is_composed(text), text)))
+    """text with its syllables composed, as NFC has them. A text without loose jamo costs one look."""
+    from ..operators.positions import let, matches, rebuild
+
+    def syllable(hit):
+        code = lambda i: F.ascii(F.substring(hit, i, 1))
+        last = F.when(F.length(hit) > 2, code(3) - 0x11A7).otherwise(0)
+        return let(FIRST + ((code(1) - 0x1100) * 21 + code(2) - 0x1161) * 28 + last, _character)
+
+    change = lambda m: F.struct(m["start"].alias("start"), F.length(m["hit"]).alias("len"), syllable(m["hit"]).alias("new"))
+    return F.when(text.rlike(SYLLABLE), rebuild(text, F.transform(matches(text, SYLLABLE), change))).otherwise(text)
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point of three bytes in UTF-8."""
+    byte = lambda head, shift: F.hex((F.lit(head) + F.shiftright(code, shift).bitwiseAND(F.lit(63 if head == 128 else 15))).cast("long"))
+    return F.decode(F.unhex(F.concat(byte(224, 12), byte(128, 6), byte(128, 0))), "UTF-8")
 
 
 @F.pandas_udf(StringType())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,17 +76,29 @@ def apart(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(lambda batches: batches, rows.schema)
 
 
+def masked(docs: DataFrame, text_col: str = "text", out: str = "masked") -> DataFrame:
+    """docs with out: the text with the ranges of all formats overwritten."""
+    return docs.withColumn(out, _mask_column(id(docs.sparkSession.sparkContext._gateway), text_col, None, False))
+
+
 def protected(docs: DataFrame, text_col: str = "text", ext_col: str | None = None, out: str = "masked") -> DataFrame:
     """docs with out: the text with all ranges overwritten, those of its format (ext_col) and of defined labels too.
 
     Without ext_col a text has no format, as a commit message.
     """
+    return apart(docs.withColumn(out, _mask_column(id(docs.sparkSession.sparkContext._gateway), text_col, ext_col, True)))
+
+
+@lru_cache(maxsize=64)
+def _mask_column(gateway: int, text_col: str, ext_col: str | None, labels: bool) -> Column:
+    """The mask of a column, kept for the JVM it was built in: building it is thousands of calls."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    if not labels:
+        return mask(text)
     extra = label_ranges(text)
     if ext_col:
-        docs = docs.withColumn("__ts_format", format_ranges(text, F.coalesce(F.col(ext_col), F.lit(""))))
-        extra = F.concat(extra, F.col("__ts_format"))
-    return apart(docs.withColumn(out, mask(text, extra)).drop("__ts_format"))
+        extra = F.concat(extra, format_ranges(text, F.coalesce(F.col(ext_col), F.lit(""))))
+    return mask(text, extra)
 
 
 MARKDOWN = ["md", "mdx", "markdown"]

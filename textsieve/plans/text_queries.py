@@ -55,12 +55,11 @@ def rule_hits_capped3(spark, d):
 
 
 def overlap_resolved(spark, d):
-    docs = ko_docs(spark, d).withColumn("masked", masks.mask(F.col("text")))
-    return scan.lint(docs, rules.RULES, exhaustive=True).select("doc_id", "bad", "alt", long(F.col("start")).alias("start"), long(F.col("len")).alias("len"))
+    return scan.lint(masks.masked(ko_docs(spark, d)), rules.RULES, exhaustive=True).select("doc_id", "bad", "alt", long(F.col("start")).alias("start"), long(F.col("len")).alias("len"))
 
 
 def lint_findings(spark, d):
-    docs = masks.without_ignored(ko_docs(spark, d)).where(hangul.looks_korean(F.col("text"))).withColumn("masked", masks.mask(F.col("text")))
+    docs = masks.masked(masks.without_ignored(ko_docs(spark, d)).where(hangul.looks_korean(F.col("text"))))
     return scan.lint(docs, rules.RULES).select("doc_id", "bad", "good", long(F.col("start")).alias("start"), "matched")
 
 

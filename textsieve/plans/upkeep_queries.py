@@ -94,7 +94,7 @@ def section_counts(spark, d):
 
 
 def edit_contexts(spark, d):
-    docs = ko_docs(spark, d).withColumn("masked", masks.mask(F.col("text")))
+    docs = masks.masked(ko_docs(spark, d))
     return docs.select("doc_id", triage.edit_context(F.col("text"), F.col("masked"), F.lit("`이슈`"), masks.MARK).alias("context"))
 
 
