@@ -15,8 +15,9 @@ r"""MinHash near-duplicate groups.
    signatures agree with one of another component meet again with their texts,
    and there pairs are verified in place; only links leave. After that every pair
    of a bucket is in one component, verified, or below what a linked pair's
-   signatures show. A bucket of m members with v visitors costs m + v * m / BLOCK
-   rows.
+   signatures show. Visitors come in groups, so a meeting has about BLOCK members
+   and as many visitors; a bucket of m members with v visitors costs about
+   m + 2 * v * m / BLOCK rows.
 
 The number of bands follows the threshold: a pair right at it shares no band
 with chance under one in a million.
@@ -218,25 +219,27 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def meeting(rows: DataFrame, payload: list[str]) -> DataFrame:
-    """Rows (key, t, side, s, band, node, component, away, payload) in order of key, block t, side, node.
+    """Rows (key, t, g, side, s, band, node, component, away, payload) in order of key, block t, group g, side, node.
 
-    rows: key, blocks, band, node, component, away. Side 0 are the members of block t,
-    side 1 those away from the largest component, of block s, which visit it.
+    rows: key, blocks, groups, band, node, component, away. Side 0 are the members of
+    block t, side 1 those away from the largest component, of block s and group g,
+    which visit it.
     """
-    dealt = rows.withColumn("s", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumns({"s": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "own": F.pmod(F.xxhash64("node", F.lit(1)), F.col("groups")).cast("int")})
     cols = ["s", "band", "node", "component", "away", *payload]
-    home = dealt.select("key", F.col("s").alias("t"), F.lit(0).alias("side"), *cols)
-    visits = dealt.where("away").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"), F.lit(1).alias("side"), *cols)
-    return home.unionByName(visits).repartition("key", "t").sortWithinPartitions("key", "t", "side", "node")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    home = dealt.select("key", F.col("s").alias("t"), all_of("groups").alias("g"), F.lit(0).alias("side"), *cols)
+    visits = dealt.where("away").select("key", all_of("blocks").alias("t"), F.col("own").alias("g"), F.lit(1).alias("side"), *cols)
+    return home.unionByName(visits).repartition("key", "t", "g").sortWithinPartitions("key", "t", "g", "side", "node")
 
 
 def _runs(batch: pa.RecordBatch):
-    """(key, t, side, first row, row after the last) of a batch in order."""
+    """((key, t, g), side, first row, row after the last) of a batch in order."""
     if batch.num_rows:
-        ids = [batch.column(i).to_numpy() for i in range(3)]
+        ids = [batch.column(i).to_numpy() for i in range(4)]
         cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in ids], axis=0)) + 1
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
-            yield ids[0][a], ids[1][a], ids[2][a], a, b
+            yield tuple(int(c[a]) for c in ids[:3]), ids[3][a], a, b
 
 
 class Members:
@@ -244,11 +247,11 @@ class Members:
 
     def __init__(self, batch: pa.RecordBatch, a: int, b: int):
         part = batch.slice(a, b - a)
-        self.s, self.band, self.node, self.component = (part.column(i).to_numpy().copy() for i in range(3, 7))
-        self.away = np.array(part.column(7).to_pylist())
-        self.signature = np.frombuffer(b"".join(part.column(8).to_pylist()), dtype=np.uint8).reshape(-1, MINIMA)
-        self.bands = np.array(part.column(9).to_pylist())
-        self.texts = part.column(10).to_pylist() if batch.num_columns > 10 else None
+        self.s, self.band, self.node, self.component = (part.column(i).to_numpy().copy() for i in range(4, 8))
+        self.away = np.array(part.column(8).to_pylist())
+        self.signature = np.frombuffer(b"".join(part.column(9).to_pylist()), dtype=np.uint8).reshape(-1, MINIMA)
+        self.bands = np.array(part.column(10).to_pylist())
+        self.texts = part.column(11).to_pylist() if batch.num_columns > 11 else None
         self.sets: dict[int, np.ndarray] = {}
 
     def shingles(self, i: int, k: int) -> np.ndarray:
@@ -272,27 +275,31 @@ def met(rows: DataFrame, visit, names: list[str]) -> DataFrame:
         at, home = None, []
         for batch in batches:
             out: set[tuple] = set()
-            for key, t, side, a, b in _runs(batch):
-                if (key, t) != at:
-                    at, home = (key, t), []
+            for place, side, a, b in _runs(batch):
+                if place != at:
+                    at, home = place, []
                 part = Members(batch, a, b)
                 if side == 0:
                     home.append(part)
                 else:
                     for own in home:
-                        out.update(visit(int(key), int(t), own, part))
+                        out.update(visit(*place[:2], own, part))
             cols = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
     return map_arrow(rows, run, ", ".join(f"{n} long" for n in names)).distinct()
 
 
+def blocks_of(n):
+    return F.ceil(n / BLOCK).cast("int")
+
+
 def missed_links(members: DataFrame, nodes: DataFrame, links: DataFrame, texts: DataFrame, k: int, percent: int, least: int) -> DataFrame:
     """Links (a, b) between different components that share a bucket; a link joins its two components for the rest of a meeting."""
     rows = members.join(links, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
     per = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    open_ = staged(per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds"), "open")
-    rows = join_counted(rows, open_, ["key"], "m").select("key", "band", "node", "component", (F.col("component") != F.col("home")).alias("away"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    open_ = staged(per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.sum("n").alias("m"), F.max("n").alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds"), "open")
+    rows = join_counted(rows, open_, ["key"], "m").select("key", "band", "node", "component", (F.col("component") != F.col("home")).alias("away"), blocks_of(F.col("m")).alias("blocks"), blocks_of(F.col("m") - F.col("most")).alias("groups"))
     rows = staged(rows.join(nodes.select("node", "signature", "bands"), "node"), "open-members")
 
     def alike(key, t, home, guests):
@@ -303,10 +310,11 @@ def missed_links(members: DataFrame, nodes: DataFrame, links: DataFrame, texts:
                 yield from ((key, int(n)) for n in home.node[other])
 
     active = staged(met(meeting(rows, ["signature", "bands"]), alike, ["key", "node"]), "alike")
-    rows = rows.drop("blocks").join(active, ["key", "node"]).join(texts, "node")
-    sizes = active.join(texts.select("node", F.octet_length("text").alias("bytes")), "node").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes"))
-    sizes = staged(sizes.select("key", "m", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "alike-sizes")
-    rows = join_counted(rows, sizes, ["key"], "m")
+    rows = rows.drop("blocks", "groups").join(active, ["key", "node"])
+    bytes_ = rows.select("key", "node", "away").join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+    sizes = bytes_.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes"), F.count_if("away").alias("guests"))
+    sizes = staged(sizes.select("key", "m", F.greatest(blocks_of(F.col("m")), F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")).alias("blocks"), F.greatest(blocks_of(F.col("guests")), F.lit(1)).alias("groups")), "alike-sizes")
+    rows = join_counted(rows, sizes, ["key"], "m").join(texts, "node")
 
     def verify(key, t, home, guests):
         for j in range(len(guests.node)):
