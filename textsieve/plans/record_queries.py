@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, hangul, workdays
-from ..operators import guard, identifiers, record_masking, review, rules, shell, stats
+from ..operators import guard, identifiers, record_masking, review, rules, shell, stats, tone
 from . import record_sql
 from .derived import ADDRESS_SQL, BIZ_SQL, NAME_SQL, PHONE_SQL, RRN_SQL, count, ko_docs, long, table, view
 
@@ -342,6 +342,42 @@ def guard_decisions(spark, d):
     return guard.decisions(guard.parsed(e)).select("event_id", long(F.col("n_pii")).alias("n_pii"), long(F.col("n_tone")).alias("n_tone"), F.coalesce("decision", F.lit("none")).alias("decision"))
 
 
+CALLS = [
+    ("Write", "PostToolUse", '"file_path":"a.md","content":"레버리지와 `니즈`를 살핍니다"'),
+    ("MultiEdit", "PostToolUse", '"file_path":"a.md","edits":[{"old_string":"x","new_string":"commit를 올립니다"},{"old_string":"y","new_string":"니즈는 이슈입니다"}]'),
+    ("Bash", "PostToolUse", '"command":"git commit -m \'이슈를 고칩니다\' -m \'컨텐츠 정리\'"'),
+    ("Write", "PreToolUse", '"file_path":"a.md","content":"이슈를 봅니다. https://example.com/이슈"'),
+    ("Bash", "PreToolUse", '"command":"git commit -m \'니즈를 봅니다\' && echo 이슈"'),
+    ("Write", "PreToolUse", '"file_path":"a.md","content":"이슈 900101-1234567 입니다"'),
+    ("Edit", "PreToolUse", '"file_path":"a.md","old_string":"x","new_string":"이슈를 봅니다"'),
+    ("Write", "PostToolUse", '"file_path":"robots.txt","content":"레버리지와 니즈를 살핍니다"'),
+    ("Write", "PostToolUse", '"file_path":"a.md","content":"plain words and nothing else"'),
+    ("Write", "PostToolUse", '"file_path":"a.py","content":"레버리지와 니즈를 살핍니다"'),
+]
+CALL = "CASE event_id % 10 " + " ".join(f"WHEN {n} THEN '" + ('{"tool_name":"' + t + '","hook_event_name":"' + e + '","tool_input":{' + i + "}}").replace("'", "''") + "'" for n, (t, e, i) in enumerate(CALLS)) + " END"
+# By hand, for each of the calls above: findings, particles, decision without and with fixes, and the fixed text.
+VERDICTS = [
+    (1, 0, "warn", "warn", ""), (2, 1, "warn", "warn", ""), (2, 0, "warn", "warn", ""), (0, 0, "none", "fix", "문제를 봅니다. https://example.com/이슈"),
+    (0, 0, "none", "fix", "git commit -m '요구를 봅니다' && echo 이슈"), (0, 0, "deny", "deny", ""), (0, 0, "none", "none", ""), (0, 0, "none", "none", ""), (0, 0, "none", "none", ""), (0, 0, "none", "none", ""),
+]
+
+
+def _calls(spark, d):
+    return guard.parsed(table(spark, d, "events").selectExpr("event_id", f"{CALL} AS value")).drop("value")
+
+
+def tone_verdicts(spark, d):
+    out = tone.verdicts(_calls(spark, d), "event_id")
+    return out.select("event_id", long(F.col("n_findings")).alias("n_findings"), long(F.col("n_particles")).alias("n_particles"), F.coalesce("decision", F.lit("none")).alias("decision"))
+
+
+def tone_fixes(spark, d):
+    out = tone.verdicts(_calls(spark, d), "event_id", mode=tone.FIX)
+    return out.select("event_id", F.coalesce("decision", F.lit("none")).alias("decision"), F.coalesce("updated.content", "updated.command", F.lit("")).alias("text"))
+
+
+_verdicts = "(VALUES " + ", ".join(f"({n}, {f}, {p}, '{a}', '{b}', '" + t.replace("'", "''") + "')" for n, (f, p, a, b, t) in enumerate(VERDICTS)) + ") AS v(n, f, p, a, b, t)"
+
 BODY = "'### Where' || chr(10) || chr(10) || 'file ' || cast(event_id AS varchar(12)) || chr(10) || chr(10) || '### Why' || chr(10) || chr(10) || CASE WHEN event_id % 2 = 0 THEN '_No response_' ELSE 'because' END || chr(10)"
 
 
@@ -398,6 +434,8 @@ QUERIES = {
     "budgeted_body": (budgeted_body, budgeted_sql()),
     "commit_targets": (commit_targets, record_sql.commit_targets(MESSAGES)),
     "guard_decisions": (guard_decisions, "SELECT event_id, cast(CASE WHEN event_id % 6 < 2 THEN 1 ELSE 0 END AS bigint) AS n_pii, cast(CASE WHEN event_id % 6 = 2 THEN 2 ELSE 0 END AS bigint) AS n_tone, CASE WHEN event_id % 6 < 2 THEN 'deny' WHEN event_id % 6 = 2 THEN 'warn' ELSE 'none' END AS decision FROM events"),
+    "tone_verdicts": (tone_verdicts, f"SELECT event_id, cast(f AS bigint) AS n_findings, cast(p AS bigint) AS n_particles, a AS decision FROM events JOIN {_verdicts} ON event_id % 10 = n"),
+    "tone_fixes": (tone_fixes, f"SELECT event_id, b AS decision, t AS text FROM events JOIN {_verdicts} ON event_id % 10 = n"),
     "issue_form_fields": (issue_form_fields, "SELECT event_id, 'Where' AS label, 'file ' || cast(event_id AS varchar) AS value FROM events UNION ALL SELECT event_id, 'Why', CASE WHEN event_id % 2 = 0 THEN '' ELSE 'because' END FROM events"),
     "grader_weighted_score": (grader_weighted_score, "SELECT conv_id % 10 AS \"case\", role AS arm, round(sum(CASE WHEN regexp_matches(text, 'the|der|les') = (turn % 2 = 0) THEN turn + 1.0 ELSE 0 END) / sum(turn + 1.0), 6) AS score FROM conversations GROUP BY 1, 2"),
     "document_emails_masked": (json_props_masked, "WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+')) AS email FROM documents), l AS (SELECT *, length(string_split(email, '@')[1]) AS n FROM e) SELECT doc_id, email, CASE WHEN n <= 2 THEN repeat('*', n) || substr(email, n + 1) ELSE substr(email, 1, 2) || repeat('*', n - 2) || substr(email, n + 1) END AS masked FROM l"),
