@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import masks, reports, review, rules, stats, triage
+from ..operators import masks, notes, reports, review, rules, stats, triage
 from . import record_sql, scan_sql
 from .derived import KO_SQL, count, ko_docs, long, md_docs, table
-from .record_queries import _HEAD, _values
+from .record_queries import _HEAD, DIFF_RULES, _values
 from .text_queries import _q
 
 TABLE = "\n".join(["# rules", "| 원어 | 안 쓸 말 | 쓸 말 | 이유 | 검사 | 우선 |", "|---|---|---|---|---|---|"] + [f"| {r[0]} | {r[1]} | {r[2]} | {r[3]} | {r[4]} | {r[5]} |" for r in rules.RULES])
@@ -141,6 +141,91 @@ def issue_values(spark, d):
     return reports.issue_values(review.issue_fields(e, "event_id", "body"), "event_id", {"place": "Where", "reason": "Why"})
 
 
+def link_report(spark, d):
+    p = table(spark, d, "pages").selectExpr("url", "page_id", "CASE page_id % 3 WHEN 0 THEN 'dead' WHEN 1 THEN 'unverified' ELSE 'ok' END AS status")
+    places = F.transform(F.sequence(F.lit(1), F.col("page_id") % 8 + 1), lambda i: F.struct(F.concat(F.lit("f"), F.col("page_id").cast("string")).alias("file"), i.alias("line")))
+    return notes.link_report(p.withColumn("locations", places))
+
+
+_LINKS = """WITH p AS (SELECT *, '- <' || url || '> ' || array_to_string(list_transform(range(1, least(page_id % 8 + 1, 5) + 1), lambda i: 'f' || page_id || ':' || i), ', ')
+  || CASE WHEN page_id % 8 + 1 > 5 THEN ' and ' || (page_id % 8 - 4) || ' more' ELSE '' END AS line FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id % 3 ORDER BY url, line) AS n, count(*) OVER (PARTITION BY page_id % 3) AS c FROM p WHERE page_id % 3 < 2),
+s AS (SELECT page_id % 3 AS k, '## ' || CASE page_id % 3 WHEN 0 THEN 'dead' ELSE 'unverified' END || ' (' || any_value(c) || ')' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY n) FILTER (WHERE n <= 30)
+  || CASE WHEN any_value(c) > 30 THEN chr(10) || '- and ' || (any_value(c) - 30) || ' more' ELSE '' END || chr(10) AS body FROM r GROUP BY 1)
+SELECT '# Links' || chr(10) || chr(10) || string_agg(body, chr(10) ORDER BY k) AS body FROM s"""
+
+
+def review_bodies(spark, d):
+    found = table(spark, d, "pages").selectExpr("CASE page_id % 3 WHEN 0 THEN '이슈' WHEN 1 THEN '니즈' ELSE '`코드`' END AS bad", "'말' AS good", "concat('f', cast(page_id % 7 AS string)) AS filename", "page_id AS line")
+    return notes.review_body(found)
+
+
+_REVIEW = """WITH f AS (SELECT CASE page_id % 3 WHEN 0 THEN '`이슈`' WHEN 1 THEN '`니즈`' ELSE '```코드```' END AS code, CASE WHEN page_id % 3 = 2 THEN '``' || '`코드`' || '``' END AS fenced, 'f' || (page_id % 7) AS filename, page_id AS line FROM pages),
+k AS (SELECT coalesce(fenced, code) AS code, count(*) AS n, min((filename, line)) AS first FROM f GROUP BY 1)
+SELECT '# Expressions' || chr(10) || chr(10) || '## Kinds (' || count(*) || ')' || chr(10) || chr(10) || string_agg('- ' || code || ' → `말`' || CASE WHEN n > 1 THEN ' (' || n || ' times)' ELSE '' END, chr(10) ORDER BY first) || chr(10) AS body FROM k"""
+
+
+def latency_reports(spark, d):
+    e = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    rows = e.select(F.col("event_type").alias("payload"), (F.col("n") / 8).alias("base"), (F.col("n") / 4).alias("head"))
+    return notes.latency_report(rows.withColumn("regression", stats.is_regression(F.col("base"), F.col("head")) & (F.length("payload") > 5)))
+
+
+_LATENCY = """WITH e AS (SELECT event_type AS p, count(*) AS n FROM events GROUP BY 1), l AS (SELECT p, '- ' || p || ': ' || cast(round(n / 8, 1) AS varchar) || ' ms to ' || cast(round(n / 4, 1) AS varchar) || ' ms' AS line, n / 8 >= 10 AND length(p) > 5 AS slow FROM e),
+s AS (SELECT slow, '## ' || CASE WHEN slow THEN 'Slower' ELSE 'Others' END || ' (' || count(*) || ')' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY p) || chr(10) AS body FROM l GROUP BY slow)
+SELECT '# Latency' || chr(10) || chr(10) || string_agg(body, chr(10) ORDER BY slow DESC) AS body FROM s"""
+
+
+def impact_reports(spark, d):
+    base, head = rules.rules_frame(spark), rules.rules_frame(spark, _HEAD)
+    counts = table(spark, d, "part").selectExpr("'terms' AS source", "concat('r', cast(p_partkey AS string)) AS bad", "p_partkey AS before", "p_size + 0L AS after").where("before <> after")
+    moves = table(spark, d, "nation").selectExpr("n_name AS key", "CASE WHEN n_nationkey % 2 = 0 THEN 'entered' ELSE 'left' END AS move")
+    return notes.impact_report(rules.diff_rules(base, head), counts, moves)
+
+
+_IMPACT = f"""WITH c AS (SELECT 'r' || p_partkey AS bad, p_partkey AS b, cast(p_size AS bigint) AS h FROM part WHERE p_partkey <> p_size),
+cn AS (SELECT *, row_number() OVER (ORDER BY abs(h - b) DESC, bad) AS n, count(*) OVER () AS c FROM c),
+d AS ({DIFF_RULES}), m AS (SELECT n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'entered' ELSE 'left' END AS move FROM nation),
+s AS (SELECT 1 AS k, '## Rules (' || count(*) || ')' || chr(10) || chr(10) || string_agg('- `' || bad || '` (' || source || '): ' || change || CASE WHEN columns <> '' THEN ' ' || columns ELSE '' END, chr(10) ORDER BY source, bad) || chr(10) AS body FROM d
+  UNION ALL SELECT 2, '## Findings (' || any_value(c) || ')' || chr(10) || chr(10) || string_agg('- `' || bad || '` (terms): ' || b || ' to ' || h, chr(10) ORDER BY n) FILTER (WHERE n <= 30) || CASE WHEN any_value(c) > 30 THEN chr(10) || '- and ' || (any_value(c) - 30) || ' more' ELSE '' END || chr(10) FROM cn
+  UNION ALL SELECT 3, '## In and out of the document (' || count(*) || ')' || chr(10) || chr(10) || string_agg('- ' || n_name || ' ' || move, chr(10) ORDER BY n_name) || chr(10) FROM m)
+SELECT '# Impact of the rules' || chr(10) || chr(10) || string_agg(body, chr(10) ORDER BY k) AS body FROM s"""
+
+
+def triage_comments(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    found = F.when(F.col("turn") % 2 == 0, F.array(F.lit("이슈"), F.lit("니즈"))).otherwise(F.array().cast("array<string>"))
+    return c.select("conv_id", "turn", notes.triage_comment(F.array(F.lit("reproduced")), F.col("text"), found).alias("body"))
+
+
+def reviews_to_minimize(spark, d):
+    r = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("author"), F.concat(F.when(F.col("turn") % 2 == 0, F.lit("<!-- ours -->")).otherwise(F.lit("")), F.col("text")).alias("body"))
+    return notes.reviews_to_minimize(r, "assistant", "<!-- ours -->", 2002)
+
+
+def format_masks(spark, d):
+    """Ranges of four formats over the documents' own texts, put among code blocks, front matter and listings."""
+    docs = table(spark, d, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, FORMATS)), (F.col("doc_id") % len(FORMATS) + 1).cast("int")).alias("ext"), F.expr(FORMATTED).alias("text"))
+    ranges = masks.format_ranges(F.col("text"), F.col("ext"))
+    return docs.select("doc_id", F.explode(ranges).alias("r")).select("doc_id", long(F.col("r.s")).alias("s"), long(F.col("r.e")).alias("e"))
+
+
+FORMATS = ["md", "rst", "adoc", "txt"]
+_BODY = "replace(replace(text, chr(10), ' '), '<', ' ')"
+FORMATTED = f"CASE doc_id % 8 WHEN 0 THEN concat('---', chr(10), 'title: ', {_BODY}, chr(10), '  more', chr(10), 'tags: x', chr(10), '---', chr(10), {_BODY}, chr(10), chr(10), '    code') WHEN 4 THEN concat({_BODY}, chr(10), chr(10), '    code', chr(10), chr(10), '    more', chr(10), '- item', chr(10), chr(10), '    in list', chr(10), '# head', chr(10), chr(9), 'tab') ELSE concat({_BODY}, '::', chr(10), chr(10), '    lit', chr(10), '----', chr(10), 'x', chr(10), '----') END"
+_at = lambda before, it: f"SELECT doc_id, cast(length({before}) AS bigint) AS s, cast(length({before}) + length({it}) AS bigint) AS e FROM t"
+_LF = "chr(10)"
+#: The places in each of the texts above, from the lengths of their parts.
+_FORMAT_SQL = f"WITH t AS (SELECT doc_id, {_BODY} AS b FROM documents) " + " UNION ALL ".join(
+    f"{_at(before, it)} WHERE doc_id % {n} = {k}"
+    for n, k, before, it in [
+        (8, 0, "''", "'---' || chr(10)"), (8, 0, "'---' || chr(10)", "'title:'"), (8, 0, "'---.title: ' || b || '...more.'", "'tags: x'"), (8, 0, "'---.title: ' || b || '...more.tags: x.'", "'---'"), (8, 0, "'---.title: ' || b || '...more.tags: x.---.' || b || '..'", "'    code'"),
+        (8, 4, "b || '..'", "'    code..    more'"), (8, 4, "b || '..    code..    more.- item..    in list.# head.'", "'.tab'"),
+        (4, 1, "''", "b || '::..    lit'"), (4, 2, "b || '::..    lit.'", "'----.x.----'"),
+    ]
+)
+
+
 _rows = [(n + 4, r) for n, r in enumerate(rules.RULES)]
 QUERIES = {
     "rule_table_parsed": (rule_table_parsed, "SELECT cast(line AS bigint) AS line, bad, good, \"check\", priority FROM (VALUES " + ", ".join(f"({n - 1}, {_q(r[1])}, {_q(r[2])}, {_q(r[4])}, {_q(r[5])})" for n, r in _rows) + ') AS t(line, bad, good, "check", priority)'),
@@ -163,6 +248,13 @@ QUERIES = {
     "fixed_texts": (fixed_texts, scan_sql.FIXED_TEXTS),
     "findings_by_line": (findings_by_line, scan_sql.FINDINGS_BY_LINE),
     "line_suggestions": (line_suggestions, scan_sql.SUGGESTIONS),
+    "link_report": (link_report, _LINKS),
+    "review_body": (review_bodies, _REVIEW),
+    "latency_report": (latency_reports, _LATENCY),
+    "impact_report": (impact_reports, _IMPACT),
+    "triage_comment": (triage_comments, "SELECT conv_id, turn, 'Labels: reproduced' || chr(10) || chr(10) || '> ' || replace(CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '…' ELSE text END, chr(10), chr(10) || '> ') || chr(10) || chr(10) || CASE WHEN turn % 2 = 0 THEN '- `이슈`' || chr(10) || '- `니즈`' ELSE 'Nothing found.' END AS body FROM conversations"),
+    "reviews_to_minimize": (reviews_to_minimize, "SELECT conv_id * 1000 + turn AS id FROM conversations WHERE role = 'assistant' AND (turn % 2 = 0 OR contains(text, '<!-- ours -->')) AND conv_id * 1000 + turn <> 2002"),
+    "format_masks": (format_masks, _FORMAT_SQL),
     "imported_rules": (imported_rules, "WITH r AS (SELECT p_partkey AS ord, 'a' || chr(92) || '|' || cast(p_partkey % 300 AS varchar) AS bad, 'b ' || cast(p_partkey AS varchar) AS good, CASE p_partkey % 3 WHEN 0 THEN '핵심' ELSE '보통' END AS priority FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0) SELECT ord, bad, good, priority FROM (SELECT *, row_number() OVER (PARTITION BY bad ORDER BY ord) AS n FROM r) WHERE n = 1"),
     "rules_in_text": (rules_in_text, "SELECT bad FROM (VALUES " + ", ".join(f"({_q(r[1])})" for r in rules.RULES if r[1] != "컨텐츠") + ") AS t(bad)"),
     "issue_values": (issue_values, "SELECT event_id, 'f' || cast(event_id AS varchar) AS place, CASE WHEN event_id % 2 = 0 THEN 'w' ELSE '' END AS reason FROM events"),

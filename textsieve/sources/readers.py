@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rules import read_rule_tables  # noqa: F401  (the rule source)
 
-MAX_BYTES = 262_144
+MAX_BYTES, MAX_CONTEXT = 262_144, 1_000_000
+#: Folders that no walk goes into.
+SKIPPED_FOLDERS = ["node_modules", ".git", "dist", "build", "vendor", "__pycache__"]
 
 
 def glob_to_regex(glob: str) -> str:
@@ -46,10 +50,45 @@ def read_documents(spark: SparkSession, folder: str, glob: str = "*") -> DataFra
     return files.select("path", bounded_text(F.col("content")).alias("text"))
 
 
-def read_legacy_csv(spark: SparkSession, path: str, encoding: str = "MS949") -> DataFrame:
-    """CSV in a legacy Korean encoding; the session must allow Java's charsets."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return spark.read.option("header", True).option("encoding", encoding).csv(path)
+def read_for_context(spark: SparkSession, folder: str, glob: str = "*", limit: int = MAX_CONTEXT) -> DataFrame:
+    """Rows (path, text) of whole files; null where a file is longer than limit or no text. Long files are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    small = files.where(F.col("length") <= limit).select("path", bounded_text(F.col("content"), limit).alias("text"))
+    return small.unionByName(files.where(F.col("length") > limit).select("path", F.lit(None).cast("string").alias("text")))
+
+
+def outside(paths: DataFrame, folders: list[str] = SKIPPED_FOLDERS, path_col: str = "path") -> DataFrame:
+    """paths that lie in none of the folders, at any depth."""
+    inner = "|".join(re.escape(f) for f in folders)
+    return paths.where(~F.col(path_col).rlike(f"(?:^|/)(?:{inner})/"))
+
+
+def snapshot(versions: DataFrame, sha: str) -> DataFrame:
+    """Rows (path, text) of the files (path, sha, text) as they stood at one version."""
+    return versions.where(F.col("sha") == sha).select("path", "text")
+
+
+def read_legacy_csv(spark: SparkSession, path: str, schema: str, encoding: str = "cp949") -> DataFrame:
+    """CSV files with a header line in a legacy Korean encoding; rows of files that are not in it are left out.
+
+    Bytes are decoded in Arrow batches: Spark's own reader takes such an encoding
+    only with a setting of the whole session. Fields hold no line breaks.
+    """
+
+    @F.pandas_udf("string")
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def text(b):
+            try:
+                return bytes(b).decode(encoding)
+            except UnicodeDecodeError:
+                return None
+
+        for s in batches:
+            yield s.map(text)
+
+    files = spark.read.format("binaryFile").load(path)
+    lines = files.select(F.posexplode(F.split(decoded("content"), "\r?\n", -1)).alias("n", "line")).where("n > 0 AND line <> ''")
+    return lines.select(F.from_csv("line", schema).alias("r")).select("r.*")
 
 
 def read_rules_json(spark: SparkSession, path: str) -> DataFrame:

@@ -15,6 +15,25 @@ def write_excel_csv(df: DataFrame, path: str, order: list[str]) -> None:
     body.select(F.when(first, F.concat(F.lit("﻿"), F.col("value"))).otherwise(F.col("value")).alias("value")).write.option("lineSep", "\r\n").text(path)
 
 
+def json_lines(df: DataFrame, order: list[str]) -> DataFrame:
+    """The lines (value) of one JSON array with a row a line, in order and in one part; the last line is the bracket's."""
+    names = [f"o{i}" for i in range(len(order))]
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"), *[F.col(c).alias(n) for c, n in zip(order, names)])
+    lines = rows.orderBy(*names).select("value").coalesce(1).select(F.concat(F.when(F.monotonically_increasing_id() == 0, F.lit("[")).otherwise(F.lit(",")), F.col("value")).alias("value"))
+    last = df.agg(F.when(F.count(F.lit(1)) == 0, "[]").otherwise("]").alias("value"))
+    return lines.unionByName(last).coalesce(1)
+
+
+def write_json(df: DataFrame, path: str, order: list[str]) -> None:
+    """One JSON array with a line break at its end: for results that a program reads whole."""
+    json_lines(df, order).write.text(path)
+
+
+def write_text(df: DataFrame, path: str, column: str, order: list[str]) -> None:
+    """The lines of column in order, in one part, each with a line break."""
+    df.orderBy(*order).select(F.col(column).cast("string").alias("value")).coalesce(1).write.text(path)
+
+
 def annotation(file: Column, line: Column, col: Column, message: Column) -> Column:
     """A CI annotation; % goes first, since the others bring it in."""
     plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
