@@ -77,6 +77,18 @@ def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ko_docs(spark, sf_dir).withColumn("ext", F.lit("md"))
 
 
+#: Texts put together to a longer one.
+TOGETHER = 50
+LONG_SQL = f"SELECT doc_id // {TOGETHER} AS doc_id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM ({KO_SQL}) WHERE NOT contains(text, '{IGNORE}') GROUP BY 1"
+
+
+def long_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of ko_docs, TOGETHER neighbours a document: many findings in one, over many lines."""
+    rows = ko_docs(spark, sf_dir).where(~F.contains("text", F.lit(IGNORE)))
+    per = rows.groupBy(F.floor(F.col("doc_id") / TOGETHER).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("n"), "text"))).alias("parts"))
+    return per.select("doc_id", F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("text"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

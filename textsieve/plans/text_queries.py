@@ -9,7 +9,7 @@ from ..functions import hangul, particles
 from ..operators import masks, rules, scan, stats
 from ..operators.positions import matches, merge_spans, spans
 from . import record_sql, scan_sql
-from .derived import IGNORE, KO_SQL, count, ko_docs, long, md_docs, table
+from .derived import IGNORE, KO_SQL, count, ko_docs, long, long_docs, md_docs, table
 
 ALTS = rules.rule_alternatives(rules.RULES)
 PLAIN = [a for a in ALTS if not a["wild"]]
@@ -68,6 +68,15 @@ def fixed_docs(spark, d):
     return scan.apply_fixes(docs, rules.RULES, original="text").select("doc_id", "fixed", "n_fixed")
 
 
+def lint_long(spark, d):
+    return scan.lint(masks.masked(long_docs(spark, d)), rules.RULES).select("doc_id", "bad", "good", long(F.col("start")).alias("start"), "matched")
+
+
+def fixed_long(spark, d):
+    docs = masks.protected(long_docs(spark, d).withColumn("ext", F.lit("md")), ext_col="ext")
+    return scan.apply_fixes(docs, rules.RULES, original="text").select("doc_id", "fixed", "n_fixed")
+
+
 def alternatives_exploded(spark, d):
     df = rules.alternatives_frame(spark)
     return df.select(long(F.col("rule_ord")).alias("rule_ord"), long(F.col("alt_ord")).alias("alt_ord"), "alt", "left", "left_digit", "right", "allow_jeok")
@@ -202,6 +211,8 @@ QUERIES = {
     "overlap_resolved": (overlap_resolved, scan_sql.OVERLAPS),
     "lint_findings": (lint_findings, scan_sql.LINT),
     "fixed_docs": (fixed_docs, scan_sql.FIXED),
+    "lint_long": (lint_long, scan_sql.LINT_LONG),
+    "fixed_long": (fixed_long, scan_sql.FIXED_LONG),
     "alternatives_exploded": (alternatives_exploded, "SELECT cast(rule_ord AS bigint) AS rule_ord, cast(alt_ord AS bigint) AS alt_ord, alt, lft AS \"left\", lft_digit AS left_digit, rgt AS \"right\", jeok AS allow_jeok FROM " + ALT_SQL.rsplit(") AS r", 1)[0] + "".join(f", ({a['rule_ord']}, {a['alt_ord']}, {_q(a['bad'])}, {_q(a['alt'])}, {_b(a['left'])}, {_b(a['left_digit'])}, {_b(a['right'])}, {_b(a['allow_jeok'])}, {_q(a['source'])})" for a in ALTS if a["wild"]) + ") AS r" + ALT_SQL.rsplit(") AS r", 1)[1]),
     "counts_by_check_rollup": (counts_by_check_rollup, f'SELECT coalesce(source, \'*\') AS source, coalesce("check", \'*\') AS "check", count(*) AS n FROM {RULES_SQL} GROUP BY ROLLUP (source, "check")'),
     "rules_by_priority": (rules_by_priority, f"SELECT bad, priority, row_number() OVER (ORDER BY list_position([{', '.join(map(_q, rules.PRIORITIES))}], priority), rule_ord) AS place FROM {RULES_SQL}"),
