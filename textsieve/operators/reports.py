@@ -9,7 +9,7 @@ from ..functions import particles
 from ..functions.hangul import composed, count_hangul, dense_length
 from . import masks, scan
 from .identifiers import GLUED, SEPARATED, birth_date, fold, redacted
-from .positions import matches, rebuild, running_sums
+from .positions import let, matches, rebuild, running_sums
 from .stats import classify, hangul_share, strip_noise
 
 # Documents shorter than this say nothing about a language; candidates in order.
@@ -69,7 +69,7 @@ def findings_by_line(docs: DataFrame, rules, *, doc: str = "doc_id", text_col: s
     found = scan.lint(docs, rules, doc=doc, text_col=text_col)
     fixes = scan.apply_fixes(docs.select(doc, text_col), rules, doc=doc, text_col=text_col).select(doc, F.explode("changes").alias("c")).select(doc, F.col("c.start").alias("start"), F.col("c.new").alias("fix"))
     rows = found.drop("replacement").join(fixes, [doc, "start"], "left").select(doc, F.col("start").alias("at"), F.lit(1).alias("turn"), "bad", "good", "matched", "fix")
-    texts = docs.select(doc, composed(F.col(text_col)).alias("text")).join(found.select(doc).distinct(), doc, "left_semi")
+    texts = docs.select(doc, F.coalesce(let(F.col(text_col), composed), F.lit("")).alias("text")).join(found.select(doc).distinct(), doc, "left_semi")
     lines = texts.select(doc, F.split("text", "\n", -1).alias("lines")).withColumn("ends", running_sums(F.transform("lines", lambda x: F.length(x) + 1)))
     lines = lines.select(doc, F.posexplode(F.arrays_zip("lines", "ends")).alias("n", "z")).select(doc, (F.col("z.ends") - F.length("z.lines") - 1).alias("at"), F.lit(0).alias("turn"), F.struct((F.col("n") + 1).cast("long").alias("line"), (F.col("z.ends") - F.length("z.lines") - 1).alias("begin"), F.col("z.lines").alias("text")).alias("own"))
     before = Window.partitionBy(doc).orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -132,7 +132,8 @@ def lint(docs: DataFrame, rules, *, doc: str = "doc_id", text_col: str = "masked
     Rules are written in composed Hangul; a text may be decomposed, so the match
     runs on its composed form and places are those of that form (functions.hangul.nfc).
     """
-    texts = docs.select(doc, composed(F.col(text_col)).alias(text_col))
+    # Used once and never null, so that a mask in text_col is worked out once.
+    texts = docs.select(doc, F.coalesce(let(F.col(text_col), composed), F.lit("")).alias(text_col))
     hits = raw_hits(texts, rules, text_col)
     hits = hits.drop("literal", "pattern").repartition(doc)
     if not exhaustive:
