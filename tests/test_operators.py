@@ -488,3 +488,80 @@ def test_commit_targets_of_all_forms(command, texts):
     got = shell.commit_targets(command)
     assert [t for _, _, t, _, _ in got] == texts
     assert all(command[s:e] == t for s, e, t, quote, ok in got if ok and quote != '"')
+
+
+# the tone of tool calls
+
+
+def calls(spark, rows):
+    import json
+
+    lines = [(i, json.dumps({"tool_name": t, "hook_event_name": e, "tool_input": g}, ensure_ascii=False)) for i, (t, e, g) in enumerate(rows)]
+    return guard.parsed(spark.createDataFrame(lines, "event_id long, value string")).drop("value")
+
+
+def test_tone_of_calls(spark):
+    from textsieve.operators import tone
+
+    pre, post = "PreToolUse", "PostToolUse"
+    rows = [
+        ("Edit", pre, {"file_path": "a.md", "old_string": "옛 글", "new_string": "이슈를 봅니다"}),
+        ("Edit", pre, {"file_path": "a.md", "old_string": "코드 글", "new_string": "이슈를 봅니다"}),
+        ("MultiEdit", pre, {"file_path": "a.md", "edits": [{"old_string": "옛 글", "new_string": "니즈는 이슈입니다"}, {"old_string": "없음", "new_string": "이슈를 봅니다"}]}),
+        ("Edit", pre, {"file_path": "off.md", "old_string": "옛 글", "new_string": "이슈를 봅니다"}),
+        ("Bash", pre, {"command": 'git commit -m "이슈를 \\"봅니다\\""'}),
+        ("Write", pre, {"file_path": "a.md", "content": "이슈 900101-1234567 봅니다"}),
+        ("Write", post, {"file_path": "a.md", "content": "commit를 봅니다 그리고 또"}),
+    ]
+    files = spark.createDataFrame([("a.md", "옛 글\n`코드 글`\n"), ("off.md", f"{'<!-- textsieve:ignore-file -->'}\n옛 글")], "path string, text string")
+    events = calls(spark, rows)
+    fix = {r.event_id: r for r in tone.verdicts(events, "event_id", mode=tone.FIX, files=files, block_pii=False).collect()}
+    assert len(fix) == len(rows) and fix[0].decision == "fix" and fix[0].updated.new_string == "문제를 봅니다"
+    assert fix[1].decision is None and fix[3].decision is None, "masked places and files that say so stay"
+    assert [e.new_string for e in fix[2].updated.edits] == ["요구는 문제입니다", "이슈를 봅니다"], "an edit without a place is not fixed"
+    assert fix[4].updated.command == 'git commit -m "문제를 \\"봅니다\\""'
+    assert fix[5].n_pii == 1 and fix[5].decision == "fix" and (fix[6].decision, fix[6].n_particles) == ("warn", 1)
+    block = {r.event_id: r.decision for r in tone.verdicts(events.where("event_id in (0, 5, 6)"), "event_id", mode=tone.BLOCK).collect()}
+    assert block == {0: "deny", 5: "deny", 6: "warn"}
+
+
+def test_notes(spark, tmp_path):
+    from textsieve.operators import notes
+
+    links = spark.createDataFrame([(f"https://e.org/{i:03}", "dead", [("f", k) for k in range(7)]) for i in range(40)], "url string, status string, locations array<struct<file:string,line:int>>")
+    body = notes.link_report(links).first().body
+    assert body.startswith("# Links\n\n## dead (40)\n\n- <https://e.org/000> f:0, f:1, f:2, f:3, f:4 and 2 more\n") and body.endswith("- and 10 more\n")
+    assert "alive" in notes.link_report(links.where("false")).first().body and "No link" in notes.link_report(links, outage=True).first().body
+    reviews = spark.createDataFrame([(1, "me", "<!-- m --> a"), (2, "me", "b"), (3, "you", "<!-- m -->"), (4, "me", "<!-- m --> c")], "id long, author string, body string")
+    assert [r.id for r in notes.reviews_to_minimize(reviews, "me", "<!-- m -->", keep=4).collect()] == [1]
+    got = spark.range(1).select(notes.triage_comment(F.array(F.lit("a"), F.lit("b")), F.lit("x" * 2001), F.array().cast("array<string>")).alias("c"), notes.leak_advice(F.lit("path"), F.lit(1), F.lit(None).cast("string")).alias("l")).first()
+    assert got.c == "Labels: a, b\n\n> " + "x" * 2000 + "…\n\nNothing found." and got.l.startswith("1 resident number in the file's name;")
+    c = spark.createDataFrame([("r", "unknown"), ("s", "korean")], "repo string, language string")
+    d = spark.createDataFrame([("r", "english"), ("t", "mixed")], "repo string, language string")
+    assert dict(notes.repository_language(c, d, "repo").collect()) == {"r": "english", "s": "korean", "t": "mixed"}
+    df = spark.createDataFrame([("missed-expression", 0, "이슈", ["니즈"]), ("missed-expression", 1, "이슈", ["이슈"]), ("false-positive", 1, "", ["이슈"])], "t string, n int, w string, f array<string>")
+    assert [r[0] for r in df.select(notes.reproduced(F.col("t"), F.col("n"), F.col("w"), F.col("f"))).collect()] == [True, False, True]
+
+
+def test_more_sources_and_sinks(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(2, None), (1, "가")], "k int, v string")
+    for name, rows, want in (("j", df, [{"k": 1, "v": "가"}, {"k": 2, "v": None}]), ("e", df.where("false"), [])):
+        writers.write_json(rows, str(tmp_path / name), ["k"])
+        body = "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+        assert body.endswith("]\n") and json.loads(body) == want
+    writers.write_text(df, str(tmp_path / "t"), "k", ["k"])
+    assert "".join(p.read_text() for p in sorted((tmp_path / "t").glob("part-*"))) == "1\n2\n"
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "a.csv").write_bytes("이름,값\n가나,1\n다라,2\n".encode("cp949"))
+    (tmp_path / "csv" / "b.csv").write_bytes(b"\xff\xff\xff")
+    assert sorted(tuple(r) for r in readers.read_legacy_csv(spark, str(tmp_path / "csv"), "name string, n int").collect()) == [("가나", 1), ("다라", 2)]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "s.md").write_text("가")
+    (tmp_path / "w" / "l.md").write_text("나" * 50)
+    assert {r.path[-4:]: r.text for r in readers.read_for_context(spark, str(tmp_path / "w"), limit=100).collect()} == {"s.md": "가", "l.md": None}
+    paths = spark.createDataFrame([("a/b.md",), ("a/node_modules/b.md",), (".git/x",), ("distant/x",)], "path string")
+    assert sorted(r.path for r in readers.outside(paths).collect()) == ["a/b.md", "distant/x"]
+    versions = spark.createDataFrame([("a", "1", "x"), ("a", "2", "y")], "path string, sha string, text string")
+    assert [tuple(r) for r in readers.snapshot(versions, "2").collect()] == [("a", "y")]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.positions import matches, rebuild
@@ -84,6 +86,17 @@ def particle_errors(masked: Column, original: Column | None = None, lexicon: dic
     return F.array_sort(F.filter(both, lambda e: e["correct"].isNotNull()))
 
 
+def with_errors(docs: DataFrame, masked_col: str, text_col: str, out: str) -> DataFrame:
+    """docs with out: particle_errors of two columns, by an expression that is built once for a JVM."""
+    rows = docs.withColumns({"__ts_masked": F.col(masked_col), "__ts_text": F.col(text_col)})
+    return rows.withColumn(out, _errors_column(id(docs.sparkSession.sparkContext._gateway))).drop("__ts_masked", "__ts_text")
+
+
+@lru_cache(maxsize=4)
+def _errors_column(gateway: int) -> Column:
+    return particle_errors(F.col("__ts_masked"), F.col("__ts_text"))
+
+
 #: A match alone has nothing after it, so the look-ahead holds.
 TOKEN_ALONE, PAREN_ALONE = f"^{TOKEN}", f"^{PAREN}"
 

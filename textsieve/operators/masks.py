@@ -78,7 +78,7 @@ def apart(rows: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame, text_col: str = "text", out: str = "masked") -> DataFrame:
     """docs with out: the text with the ranges of all formats overwritten."""
-    return docs.withColumn(out, _mask_column(id(docs.sparkSession.sparkContext._gateway), text_col, None, False))
+    return _overwritten(docs, text_col, None, out, False)
 
 
 def protected(docs: DataFrame, text_col: str = "text", ext_col: str | None = None, out: str = "masked") -> DataFrame:
@@ -86,19 +86,23 @@ def protected(docs: DataFrame, text_col: str = "text", ext_col: str | None = Non
 
     Without ext_col a text has no format, as a commit message.
     """
-    return apart(docs.withColumn(out, _mask_column(id(docs.sparkSession.sparkContext._gateway), text_col, ext_col, True)))
+    return apart(_overwritten(docs, text_col, ext_col, out, True))
 
 
-@lru_cache(maxsize=64)
-def _mask_column(gateway: int, text_col: str, ext_col: str | None, labels: bool) -> Column:
-    """The mask of a column, kept for the JVM it was built in: building it is thousands of calls."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def _overwritten(docs: DataFrame, text_col: str, ext_col: str | None, out: str, labels: bool) -> DataFrame:
+    text, ext = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(ext_col), F.lit("")) if ext_col else None
+    rows = docs.withColumns({"__ts_text": text} | ({"__ts_ext": ext} if ext_col else {}))
+    return rows.withColumn(out, _mask_column(id(docs.sparkSession.sparkContext._gateway), ext_col is not None, labels)).drop("__ts_text", "__ts_ext")
+
+
+@lru_cache(maxsize=16)
+def _mask_column(gateway: int, formats: bool, labels: bool) -> Column:
+    """The mask of the column __ts_text, kept for the JVM it was built in: building it is thousands of calls."""
+    text = F.col("__ts_text")
     if not labels:
         return mask(text)
     extra = label_ranges(text)
-    if ext_col:
-        extra = F.concat(extra, format_ranges(text, F.coalesce(F.col(ext_col), F.lit(""))))
-    return mask(text, extra)
+    return mask(text, F.concat(extra, format_ranges(text, F.col("__ts_ext"))) if formats else extra)
 
 
 MARKDOWN = ["md", "mdx", "markdown"]

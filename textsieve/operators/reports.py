@@ -42,7 +42,7 @@ def fix_texts(docs: DataFrame, rules, *, doc: str = "doc_id", text_col: str = "t
     """docs with fixed: particles, then terms, then particles again where a term changed. What is masked stays."""
 
     def particles_fixed(rows, col):
-        rows = masks.apart(masks.protected(rows, col, ext_col, "__masked").withColumn("__errors", particles.particle_errors(F.col("__masked"), F.col(col))))
+        rows = masks.apart(particles.with_errors(masks.protected(rows, col, ext_col, "__masked"), "__masked", col, "__errors"))
         return rows, F.coalesce(particles.fix_particles(F.col(col), F.col("__errors")), F.lit(""))
 
     rows, once = particles_fixed(docs, text_col)

@@ -63,23 +63,32 @@ def _placed(rows: DataFrame, files: DataFrame | None) -> DataFrame:
     return rows.withColumn("safe", F.col("__where") == "ok")
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("target", F.concat_ws(":", F.col("key").cast("string"), F.col("n").cast("string"), "field"))
+def _named(rows: DataFrame) -> DataFrame:
+    """rows with target, a name for text and format: calls that are tried again write the same, and it is looked at once."""
+    return rows.withColumn("target", F.sha2(F.concat_ws("\x00", "ext", "text"), 256))
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    return rows.select("target", "text", "ext").dropDuplicates(["target"])
 
 
 def judged(rows: DataFrame, of=rules.RULES) -> DataFrame:
     """Rows (key, n_findings, n_particles) of the calls with either."""
-    texts = masks.protected(_numbered(rows), "text", "ext")
-    texts = texts.where(~F.col("text").rlike(masks.IGNORE_FILE))
+    rows = _named(rows)
+    texts = masks.protected(_once(rows.where(~F.col("text").rlike(masks.IGNORE_FILE))), "text", "ext")
     found = scan.lint(texts, of, doc="target").groupBy("target").agg(F.count(F.lit(1)).alias("f"))
-    wrong = texts.select("key", "target", F.size(particles.particle_errors(F.col("masked"), F.col("text"))).alias("p"))
-    return wrong.join(found, "target", "left").groupBy("key").agg(F.sum(F.coalesce("f", F.lit(0))).alias("n_findings"), F.sum("p").alias("n_particles")).where("n_findings + n_particles > 0")
+    wrong = particles.with_errors(texts, "masked", "text", "p").select("target", F.size("p").alias("p"))
+    counts = wrong.join(found, "target", "left").select("target", F.coalesce("f", F.lit(0)).alias("f"), "p").where("f + p > 0")
+    return rows.select("key", "target").join(counts, "target").groupBy("key").agg(F.sum("f").alias("n_findings"), F.sum("p").alias("n_particles"))
 
 
 def fixed_inputs(events: DataFrame, rows: DataFrame, key: str, of=rules.RULES, limit: int = MAX_FIXED) -> DataFrame:
     """Rows (key, updated, n_changed): the input of each call whose texts can be fixed, with the fixed ones in their places."""
+    rows = _named(rows)
     sizes = rows.groupBy("key").agg(F.sum(F.length("text")).alias("__size")).where(F.col("__size") <= limit).select("key")
-    fixed = reports.fix_texts(_numbered(rows.where("safe")).join(sizes, "key", "left_semi"), of, doc="target", ext_col="ext").where(F.col("fixed") != F.col("text"))
+    rows = rows.where("safe").join(sizes, "key", "left_semi")
+    new = reports.fix_texts(_once(rows), of, doc="target", ext_col="ext").where(F.col("fixed") != F.col("text")).select("target", "fixed")
+    fixed = rows.join(new, "target")
     # In double quotes what was escaped is escaped again.
     shown = F.when((F.col("quote") == '"') & (F.col("end") - F.col("start") != F.length("text")), F.regexp_replace("fixed", r'([\\"$`])', r"\\$1")).otherwise(F.col("fixed"))
     per = fixed.groupBy("key").agg(
@@ -111,8 +120,9 @@ def verdicts(events: DataFrame, key: str, of=rules.RULES, *, mode: str = WARN, f
     base = guard.decisions(events, [], block=block_pii).drop("n_tone", "decision")
     before = F.col("hook_event_name") == "PreToolUse"
     asked = base.where(F.col("tool_name").isNotNull() & (~before if mode == WARN else F.col("hook_event_name").isNotNull()) & ~((F.col("n_pii") > 0) & F.lit(block_pii)))
-    rows = targets(asked, key, files)
-    found = judged(rows, of).withColumnRenamed("key", "__key")
+    # With fixes, what is found before a call is fixed and not told.
+    told = asked.where(~before) if mode == FIX else asked
+    found = judged(targets(told, key, files), of).withColumnRenamed("key", "__key")
     out = base.join(found, F.col(key) == F.col("__key"), "left").drop("__key")
     if mode == FIX:
         ready = asked.where(before)
