@@ -24,6 +24,7 @@ PARTICLES = "을|를|이|가|은|는|과|와|도|의|에서|에게|으로|로서
 # these leave, so their form is part of the result.
 LEAD = "(?<![^\\s(\\[\"'「【（])"
 TAIL = "(?:[)\\]\"'」】）,.:;!?]*(?:" + PARTICLES + "))?[)\\]\"'」】）,.:;!?]*(?=\\s|$)"
+# What is no prose in any format.
 ALWAYS = [
     r"(?s)```.*?```",
     r"(?s)~~~.*?~~~",
