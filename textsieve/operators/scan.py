@@ -65,17 +65,18 @@ def raw_hits(docs: DataFrame, rules, text_col: str = "masked") -> DataFrame:
     """Rows (doc columns but the text, rule columns, start, len, matched, before, rest) of every match of every alternative.
 
     docs × rules is a broadcast nested-loop join on "the text contains the
-    rule's longest literal"; patterns run only on pairs that pass it.
+    rule's longest literal"; patterns run only on pairs that pass it. Columns of
+    docs that are named as a rule's give way to it.
     """
     rows = rule_alternatives(rules)
     if len(rows) > MAX_ALTERNATIVES:
         raise ValueError(f"{len(rows)} alternatives; a scan takes {MAX_ALTERNATIVES}, split the table")
     names = [c.split()[0] for c in ALT_SCHEMA.split(", ")]
     alts = docs.sparkSession.createDataFrame([tuple(r[n] for n in names) for r in rows], ALT_SCHEMA)
-    pairs = docs.join(F.broadcast(alts), F.col(text_col).contains(F.col("literal")))
+    keep = [c for c in docs.columns if c != text_col and c not in names]
+    pairs = docs.select(*keep, text_col).join(F.broadcast(alts), F.col(text_col).contains(F.col("literal")))
     # Literal alternatives are quoted patterns; only those with a wildcard hold more.
     pieces, found = F.split(F.col(text_col), F.col("pattern"), -1), F.regexp_extract_all(F.col(text_col), F.col("pattern"), F.lit(0))
-    keep = [c for c in docs.columns if c != text_col]
     hits = pairs.select(*keep, *names, F.explode(_placed(pieces, found)).alias("__m"))
     return hits.select(*keep, *names, F.col("__m.start").alias("start"), F.length("__m.hit").alias("len"), F.col("__m.hit").alias("matched"), F.col("__m.before").alias("before"), F.col("__m.rest").alias("rest"))
 
