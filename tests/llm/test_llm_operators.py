@@ -670,6 +670,22 @@ def test_repeated_substrings_of_long_texts_and_null_ids(spark, monkeypatch):
     assert got == sorted(brute_removed([(t or "").encode() for t in texts], 40))
 
 
+def test_repeats_of_a_context_that_occurs_twice_in_another_shard(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    monkeypatch.setattr(suffix_dedup, "SHARD", 1)
+    rnd = random.Random(14)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    texts = []
+    for _ in range(80):
+        core = word(100)
+        texts += [core + word(30), word(30) + core, word(50) + core[30:75] + word(50)]
+    df = docs_of(spark, texts)
+    got = {r.doc_id: r for r in suffix_dedup.dedup_substrings(df, length=40, gram=16).collect()}
+    for i, w in enumerate(brute_removed([t.encode() for t in texts], 40)):
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == w, i
+
+
 def test_suffix_array_and_common_prefixes():
     rnd = random.Random(10)
     for _ in range(60):
